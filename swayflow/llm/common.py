@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,67 @@ def blocks_for(df: DataFrame, target: int) -> int:
     """Blocks of about `target` estimated bytes each; at least one per shuffle partition."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(1 << 20, plan_bytes(df) // target + 1))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Text is hashed in pieces of about this many bytes, cut between words.
+PIECE = 2 << 20
+_PRIME = 0x9E3779B97F4A7C15
+_INVERSE = pow(_PRIME, -1, 1 << 64)
+_LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, PIECE + 64)
+        made = []
+        for base in (_PRIME, _INVERSE):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            made.append(np.cumprod(x, dtype=np.uint64))
+        if size > 8 * PIECE:
+            return tuple(made)  # not kept: a single word of such a length
+        _POWERS[:] = made
+    return _POWERS[0], _POWERS[1]
+
+
+def word_numbers(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit numbers of all words of the texts, A-Z lowered, one after another, and how many each text has.
+
+    A word's number is a polynomial in its bytes, taken as the difference of two running sums,
+    so that a batch costs a few passes over its bytes and no object per word.
+    """
+    joined = b"\n".join([t or b"" for t in texts]) + b"\n"
+    raw = np.frombuffer(joined, np.uint8)
+    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
+    numbers, counts, at = [], np.zeros(len(texts), np.int64), 0
+    while at < len(raw):
+        to = min(at + PIECE, len(raw))
+        if to < len(raw):
+            blank = np.flatnonzero(_SPACE[raw[at:to]])
+            if len(blank):
+                to = at + int(blank[-1]) + 1
+            else:
+                while to < len(raw) and not _SPACE[raw[to]]:
+                    to += 1
+        x = raw[at:to]
+        word = np.zeros(len(x) + 2, bool)
+        word[1:-1] = ~_SPACE[x]
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        start, end = edge[::2], edge[1::2]
+        up, down = _powers(len(x) + 1)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_LETTER[x] * up[: len(x)], out=sums[1:])
+        numbers.append(mixed((sums[end] - sums[start]) * down[start]))
+        counts += np.bincount(np.searchsorted(bounds, start + at, side="right"), minlength=len(texts))
+        at = to
+    return np.concatenate(numbers) if numbers else np.zeros(0, np.uint64), counts

@@ -8,7 +8,7 @@ fragment by fragment: partial overlaps are counted separately and summed per pai
 
 Equal sets are one class from the start. A list of classes that share a prefix n-gram is first
 compared with one pivot per round; lists whose classes have all been joined need no more, and
-what is left after the rounds is compared in full. No pair that could join two components is
+what is left is compared in full once that is no more than a few pairs per row, or after the rounds. No pair that could join two components is
 left out, but a group of near copies is never expanded into all its pairs.
 
 N-grams are known by 40 bits and their fragment's number, sets by 64 bits of a digest: a false
@@ -25,46 +25,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, plan_bytes
+from .common import Scratch, load, mixed, plan_bytes, word_numbers
 
 WIDTH, PERCENT = 5, 75
 #: Estimated input bytes per fragment, n-grams gathered before they are sent, holders in one gathering from which an n-gram is heavy.
 FRAGMENT_BYTES, GATHER, HEAVY = 16 << 20, 2_000_000, 256
 #: Fragments in which overlaps of pairs are counted; rounds with pivots before the full comparison.
 PARTS, ROUNDS = 4, 6
+#: Full comparison when it makes at most so many pairs per row of the open lists.
+FULL = 8
+#: Texts hashed at once.
+SLICE = 512
 KEY_BITS = 40
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Words(dict):
-    """64-bit numbers of words; remembers a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1
-        if len(word) < 64:
-            self[word] = out
-        return out
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: bytes | None, words: Words, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit n-gram numbers of a whole text: A-Z lowered, the whole sequence if it is short, none without words."""
-    parts = (text or b"").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts)).view(np.uint64)
-    n = min(width, len(h))
-    out = h[: len(h) - n + 1].copy()
-    for k in range(1, n):
-        out = out * ODD + h[k : len(h) - n + 1 + k]
-    return np.unique(mixed(out + np.uint64(n)))
+_ODD = 0xC2B2AE3D27D4EB4F
+
+
+def shingles(texts: list[bytes | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit n-gram numbers of each whole text: A-Z lowered, the whole sequence if it is short, none without words."""
+    h, counts = word_numbers(texts)
+    powers = [np.uint64(pow(_ODD, width - 1 - k, 1 << 64)) for k in range(width)]
+    m = max(0, len(h) - width + 1)
+    all_ = np.zeros(m, np.uint64)
+    for k in range(width):
+        all_ += h[k : k + m] * powers[k]
+    all_ = mixed(all_ + np.uint64(width))
+    at = 0
+    for n in counts.tolist():
+        if n >= width:
+            s = np.sort(all_[at : at + n - width + 1])
+            yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) > 1 else s
+        elif n:
+            yield mixed((h[at : at + n] * powers[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))
+        else:
+            yield np.zeros(0, np.uint64)
+        at += n
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -95,7 +89,6 @@ class Gathering:
 
     def __init__(self, fragments: int, homes: int):
         self.fragments, self.homes = fragments, homes
-        self.words = Words()
         self.clear()
 
     def clear(self) -> None:
@@ -105,8 +98,7 @@ class Gathering:
         self.classes: list[int] = []
         self.total = 0
 
-    def add(self, doc: int | None, text: bytes | None) -> None:
-        s = shingles(text, self.words)
+    def add(self, doc: int | None, s: np.ndarray) -> None:
         c = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
         self.docs.append((doc, c, len(s)))
         if len(s) and c not in self.seen:
@@ -236,10 +228,12 @@ def sets_of(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Gathering(fragments, homes)
         for batch in batches:
-            for k in range(batch.num_rows):
-                g.add(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
-                if g.total >= GATHER or len(g.docs) >= 100_000:
-                    yield _table(g.sent(), _RUNS)
+            for at in range(0, batch.num_rows, SLICE):
+                ids, texts = (batch.column(c).slice(at, SLICE).to_pylist() for c in (0, 1))
+                for doc, s in zip(ids, shingles(texts)):
+                    g.add(doc, s)
+                    if g.total >= GATHER or len(g.docs) >= 100_000:
+                        yield _table(g.sent(), _RUNS)
         yield _table(g.sent(), _RUNS)
 
     sent = docs.mapInArrow(send, RUNS)
@@ -253,9 +247,9 @@ def _fragments(docs: DataFrame) -> int:
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, root (the smallest node it is linked to) for every node of the edges u, v: large-star and small-star steps until nothing moves."""
+    """node, root (the smallest node it is linked to) for every node of the edges u, v: large-star and small-star steps until only stars are left."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    before, k = None, 0
+    k = 0
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -263,12 +257,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
         e = scratch.save(f"{name}-{k}", small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if k:
             scratch.drop(f"{name}-{k - 1}")
-        if now == before:
+        # A node is a centre or has one centre: then each component is a star.
+        sides = e.select("u", F.lit(1).alias("as_u")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("as_u")))
+        if sides.groupBy("u").agg(F.sum("as_u").alias("n"), F.min("as_u").alias("low")).where("n > 1 or (n = 1 and low = 0)").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before, k = now, k + 1
+        k += 1
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -304,14 +299,20 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     roots = None  # class, root of those that have been joined
     links = tested = None
     for k in range(ROUNDS + 1):
-        named = lists if roots is None else lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        if roots is None:
-            named = named.withColumn("root", F.col("class"))
+        named = lists.withColumn("root", F.col("class")) if roots is None else lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         top = named.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", F.lit(k))).alias("pivot")).where("r0 <> r1")
         open_lists = named.join(top.select("token", "pivot"), "token")
-        if k < ROUNDS:
+        if k:
+            open_lists = scratch.save(f"open-{k}", open_lists)
+            held = open_lists.groupBy("token", "root").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+            left_over = held.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("x"), F.sum("m").alias("m")).first()
+            if not left_over["m"]:
+                break
+        last = k == ROUNDS or (k > 0 and left_over["x"] <= FULL * left_over["m"])
+        if not last:
             drawn = open_lists.where("root <> pivot.root").select(F.col("pivot.class").alias("p"), F.col("pivot.n").alias("pn"), "class", "n")
-            drawn = drawn.select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b"), F.when(F.col("p") < F.col("class"), F.col("pn")).otherwise(F.col("n")).alias("na"), F.when(F.col("p") < F.col("class"), F.col("n")).otherwise(F.col("pn")).alias("nb"))
+            less = F.col("p") < F.col("class")
+            drawn = drawn.select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b"), F.when(less, F.col("pn")).otherwise(F.col("n")).alias("na"), F.when(less, F.col("n")).otherwise(F.col("pn")).alias("nb"))
         else:
             left = open_lists.select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
             right = open_lists.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
@@ -320,15 +321,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.save(f"pairs-{k}", pairs)
-        if pairs.isEmpty():
-            if k < ROUNDS and not open_lists.isEmpty():
-                continue
-            break
         tested = pairs if tested is None else tested.unionByName(pairs)
         good = scratch.save(f"links-{k}", verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
         links = good if links is None else links.unionByName(good)
         if not good.isEmpty():
             roots = components(links, scratch, f"cc-{k}").select(F.col("node").alias("class"), "root")
+        if last:
+            break
     real = rows.where("n > 0")
     of_class = real.groupBy("class").agg(F.min("doc_id").alias("low"))
     if roots is None:

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, plan_bytes
-from .jaccard import KEY_BITS, Words, _pack, _unpack, mixed
+from .common import load, mixed, plan_bytes, word_numbers
+from .jaccard import KEY_BITS, _pack, _unpack
 
 BLOCK_BYTES = 10 << 20
 MIN_COUNT, DISCOUNT = 2, 0.75
@@ -39,18 +39,17 @@ class Block:
     """The tokens of some documents and their distinct bigrams, in an order that depends on the contents only."""
 
     def __init__(self, table: pa.Table, buckets: int):
-        words = Words()
         self.ids = table.column("doc_id").to_pylist()
-        texts = []
-        for x in table.column("text").cast(pa.large_binary()):
-            parts = (x.as_py() or b"").lower().split()
-            h = np.full(len(parts) + 2, END, np.uint64)
-            h[0] = START
-            h[1:-1] = np.fromiter(map(words.__getitem__, parts), np.int64, len(parts)).view(np.uint64)
-            texts.append(h)
-        self.size = np.array([len(h) - 1 for h in texts], np.int64)  # tokens with the end
+        flat, self.size = [], []
+        for batch in table.select(["text"]).to_batches(max_chunksize=512):
+            h, counts = word_numbers(batch.column(0).cast(pa.large_binary()).to_pylist())
+            # Before each text its start, after it the end token.
+            to = np.cumsum(counts)
+            out = np.insert(h >> np.uint64(1), np.stack([to - counts, to], 1).ravel(), np.tile(np.array([START, END], np.uint64), len(counts)))
+            flat.append(out)
+            self.size.append(counts + 1)  # tokens with the end
+        flat, self.size = np.concatenate(flat), np.concatenate(self.size)
         self.held = np.array([held_out(d) for d in self.ids], bool)
-        flat = np.concatenate(texts)
         self.vocab, local = np.unique(flat, return_inverse=True)
         first = np.cumsum(self.size + 1) - (self.size + 1)
         is_first = np.zeros(len(flat), bool)
