@@ -143,7 +143,7 @@ def coincidence(trains: DataFrame, n: int, fs: float, surrogates: int, shift_s:
     spread = F.explode(F.sequence(F.lit(-(frame - frame // 2 - 1)), F.lit(frame // 2)))
     draws = ones.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(surrogates))))
     shift = F.when(F.col("draw") == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "draw", F.lit(seed)), F.lit(2 * span + 1)) - span)
-    at = draws.withColumn("c", F.pmod(F.col("i") + shift, F.lit(n))).withColumn("i", F.col("c") + spread).where((F.col("i") >= 0) & (F.col("i") < n))
+    at = draws.withColumn("c", F.pmod(F.col("i") + shift, F.lit(n))).withColumn("o", spread).withColumn("i", F.col("c") + F.col("o")).where((F.col("i") >= 0) & (F.col("i") < n))
     counts = at.groupBy("draw", "i").agg(F.count("*").alias("c"))
     seen = counts.where("draw = 0").select("i", F.col("c").alias("obs"))
     above = counts.where("draw > 0").join(seen, "i").groupBy("i", "obs").agg(F.count_if(F.col("c") >= F.col("obs")).alias("above"))
