@@ -54,15 +54,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the input's size; it sets the number of blocks, never the result."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def blocks_for(df: DataFrame, target: int) -> int:
-    """Blocks of about `target` estimated bytes each; at least one per shuffle partition."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 20, plan_bytes(df) // target + 1))
+def plan_bytes(df: DataFrame, text: str) -> int:
+    """The input's size: Spark's own estimate, or, where Spark knows none, the summed lengths of the texts. It sets the number of blocks, never the result."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -222,7 +222,7 @@ def _assembled(table: pa.Table, fragments: int, percent: int) -> pa.Table:
 def sets_of(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Rows of all documents (doc_id, class, n) and of the classes that may link (class, n, kept)."""
     docs = docs.select(F.col(key).cast("long"), F.col(text).cast("binary"))
-    fragments = _fragments(docs)
+    fragments = _fragments(docs, text)
     homes = fragments
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +241,9 @@ def sets_of(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     return counted.groupBy("at").applyInArrow(lambda t: _assembled(t, fragments, percent), SETS)
 
 
-def _fragments(docs: DataFrame) -> int:
+def _fragments(docs: DataFrame, text: str) -> int:
     least = min(24, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return min(1 << 20, max(least, plan_bytes(docs) // FRAGMENT_BYTES + 1))
+    return min(1 << 20, max(least, plan_bytes(docs, text) // FRAGMENT_BYTES + 1))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -175,9 +175,9 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     add-half probability. An empty table gives none. Successors are told apart by 40-bit numbers within a state.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = plan_bytes(docs)
+    size = plan_bytes(docs, "text")
     least = min(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = buckets = max(least, size // BLOCK_BYTES + 1)
+    blocks = buckets = min(1 << 20, max(least, size // BLOCK_BYTES + 1))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     asked = dealt.groupBy("block").applyInArrow(lambda t: _asked(t, buckets), ASK)
     replies = asked.groupBy("bucket").applyInArrow(_learned, REPLY)
