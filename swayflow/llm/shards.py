@@ -20,7 +20,7 @@ from .common import Scratch, load
 
 SHARDS, ROUNDS = 24, 5
 #: Rows per bucket of a distributed numbering.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def numbered(df: DataFrame, part: str, name: str, order: list[Column], buckets: int) -> DataFrame:
