@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import load, mixed, plan_bytes, word_numbers
 from .jaccard import KEY_BITS, _pack, _unpack
 
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 5 << 20
 MIN_COUNT, DISCOUNT = 2, 0.75
 FOLDS, HELD_OUT = 5, 1
 #: Numbers of the state before the first word and of the end token; words get 63-bit numbers below these.
