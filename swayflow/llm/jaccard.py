@@ -7,9 +7,11 @@ two similar sets share an n-gram of their prefixes in that order. Candidates are
 fragment by fragment: partial overlaps are counted separately and summed per pair.
 
 Equal sets are one class from the start. A list of classes that share a prefix n-gram is first
-compared with one pivot per round; lists whose classes have all been joined need no more, and
-what is left is compared in full once that is no more than a few pairs per row, or after the rounds. No pair that could join two components is
-left out, but a group of near copies is never expanded into all its pairs.
+compared with one pivot per round, then in full, but for classes that are in one component
+already; lists whose classes have all been joined need no more. A pair is drawn only where the
+sizes and what follows the n-gram in both sets leave room for enough overlap, so what a list of
+unlike classes can cost is bounded by pairs that are close to the threshold. No pair that could
+join two components is left out, but a group of near copies is never expanded into all its pairs.
 
 N-grams are known by 40 bits and their fragment's number, sets by 64 bits of a digest: a false
 meeting within one pair of texts is expected once in some 10^8 pairs and shifts its overlap by one.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, load, mixed, plan_bytes, word_numbers
@@ -31,9 +33,7 @@ WIDTH, PERCENT = 5, 75
 #: Estimated input bytes per fragment, n-grams gathered before they are sent, holders in one gathering from which an n-gram is heavy.
 FRAGMENT_BYTES, GATHER, HEAVY = 16 << 20, 2_000_000, 256
 #: Fragments in which overlaps of pairs are counted; rounds with pivots before the full comparison.
-PARTS, ROUNDS = 4, 6
-#: Full comparison when it makes at most so many pairs per row of the open lists.
-FULL = 8
+PARTS, ROUNDS = 4, 2
 #: Texts hashed at once.
 SLICE = 512
 KEY_BITS = 40
@@ -267,16 +267,44 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b (with na, nb) whose overlap is large enough: partial overlaps by fragment, summed."""
+    """The pairs a, b (with na, nb and what else they carry) whose overlap is large enough: partial overlaps by fragment, summed."""
     def of_part(f: int):
         return F.filter("kept", lambda x: F.pmod(x, F.lit(PARTS)) == f)
 
     cut = sets.select("class", F.posexplode(F.array(*map(of_part, range(PARTS)))).alias("f", "seg"))
     a = pairs.join(cut.select(F.col("class").alias("a"), "f", F.col("seg").alias("seg_a")), "a")
     both = a.join(cut.select(F.col("class").alias("b"), "f", F.col("seg").alias("seg_b")), ["b", "f"])
-    part = both.select("a", "b", "na", "nb", F.size(F.array_intersect("seg_a", "seg_b")).alias("part"))
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
-    return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
+    part = both.select(*pairs.columns, F.size(F.array_intersect("seg_a", "seg_b")).alias("part"))
+    total = part.groupBy(*pairs.columns).agg(F.sum("part").alias("overlap"))
+    return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two holders of an n-gram can be similar if it is the first that they share: by their sizes, and by what follows it in both."""
+    na, nb, ra, rb = (F.col(f"{x}.{y}") for y in ("n", "rest") for x in (a, b))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * F.least(ra, rb) >= percent * (na + nb))
+
+
+def pairs_of(drawn: DataFrame) -> DataFrame:
+    """Distinct pairs from the sides p, q of drawn, the smaller class as a."""
+    less = F.col("p.class") < F.col("q.class")
+    sides = [(F.when(less, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")), o) for c, o in (("class", ""), ("n", "n"), ("root", "r")) for x, y, o in (("p", "q", o + "a"), ("q", "p", o + "b"))]
+    return drawn.select(*[c.alias(o) for c, o in sides]).distinct()
+
+
+def merged(roots: DataFrame | None, links: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """class, root after links between roots ra, rb: every root takes the least within two links, which joins stars whole."""
+    both = links.select(F.explode(F.array(F.struct(F.col("ra").alias("u"), F.col("rb").alias("v")), F.struct(F.col("rb").alias("u"), F.col("ra").alias("v")))).alias("e")).select("e.u", "e.v").distinct()
+    both = scratch.save(f"edges-{k}", both)
+    near = scratch.save(f"near-{k}", both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
+    far = both.join(near, "v").groupBy("u").agg(F.min("m").alias("to"))
+    if roots is None:
+        out = far.select(F.col("u").alias("class"), F.col("to").alias("root"))
+    else:
+        # Roots that had no row yet are classes of their own.
+        known = roots.join(far, roots["root"] == far["u"], "left").select("class", F.coalesce("to", "root").alias("root"))
+        out = known.unionByName(far.join(roots, far["u"] == roots["class"], "left_anti").select(F.col("u").alias("class"), F.col("to").alias("root")))
+    return scratch.save(f"roots-{k}", out)
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -293,47 +321,49 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     rows = found.where("kind = 'doc'").select("doc_id", "class", "n")
     sets = found.where("kind = 'set'").select("class", "n", "kept")
     need = F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int")
-    prefix = sets.select("class", "n", F.explode(F.slice("kept", F.lit(1), F.size("kept") - need + 1)).alias("token"))
-    lists = scratch.save("lists", prefix)
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    roots = None  # class, root of those that have been joined
-    links = tested = None
+    held = F.size("kept")
+    prefix = sets.select("class", "n", held.alias("held"), F.posexplode(F.slice("kept", F.lit(1), held - need + 1)).alias("pos", "token"))
+    lists = scratch.save("lists", prefix.select("token", "class", "n", (F.col("held") - F.col("pos")).alias("rest"), "held"))
+    side = F.struct("class", "n", "rest", "root")
+    roots = links = None  # roots: class, root of those that have been joined
     for k in range(ROUNDS + 1):
         named = lists.withColumn("root", F.col("class")) if roots is None else lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        top = named.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", F.lit(k))).alias("pivot")).where("r0 <> r1")
-        open_lists = named.join(top.select("token", "pivot"), "token")
-        if k:
-            open_lists = scratch.save(f"open-{k}", open_lists)
-            held = open_lists.groupBy("token", "root").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-            left_over = held.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("x"), F.sum("m").alias("m")).first()
-            if not left_over["m"]:
-                break
-        last = k == ROUNDS or (k > 0 and left_over["x"] <= FULL * left_over["m"])
-        if not last:
-            drawn = open_lists.where("root <> pivot.root").select(F.col("pivot.class").alias("p"), F.col("pivot.n").alias("pn"), "class", "n")
-            less = F.col("p") < F.col("class")
-            drawn = drawn.select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b"), F.when(less, F.col("pn")).otherwise(F.col("n")).alias("na"), F.when(less, F.col("n")).otherwise(F.col("pn")).alias("nb"))
+        # The first pivot has the fewest n-grams of its own: it is similar to most of a group of near copies.
+        turn = F.struct(F.lit(0.0) if k else F.col("held") / F.col("n"), F.xxhash64("class", F.lit(k)))
+        top = named.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by(side, turn).alias("p")).where("r0 <> r1")
+        lists = scratch.save(f"open-{k}", named.join(top.select("token", "p"), "token"))
+        if lists.isEmpty():
+            break
+        last = k == ROUNDS
+        q = lists.select("token", side.alias("q"), "p")
+        if last:
+            drawn = q.drop("p").join(q.select("token", F.col("q").alias("p")), "token").where((F.col("p.class") < F.col("q.class")) & (F.col("p.root") != F.col("q.root")) & may_link("p", "q", percent))
         else:
-            left = open_lists.select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            right = open_lists.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            drawn = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b", "na", "nb")
-        pairs = drawn.where(fits).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.save(f"pairs-{k}", pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        good = scratch.save(f"links-{k}", verified(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+            drawn = q.where((F.col("p.root") != F.col("q.root")) & may_link("p", "q", percent))
+        lists = lists.select("token", "class", "n", "rest", "held")
+        good = scratch.save(f"links-{k}", verified(pairs_of(drawn), sets, percent).select("a", "b", "ra", "rb"))
         links = good if links is None else links.unionByName(good)
-        if not good.isEmpty():
-            roots = components(links, scratch, f"cc-{k}").select(F.col("node").alias("class"), "root")
         if last:
             break
+        if not good.isEmpty():
+            roots = merged(roots, good, scratch, k)
     real = rows.where("n > 0")
     of_class = real.groupBy("class").agg(F.min("doc_id").alias("low"))
-    if roots is None:
+    if links is None or links.isEmpty():
         of_class = of_class.withColumn("root", F.col("class"))
     else:
-        of_class = of_class.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        # Links between the roots as they are now; each class is at most one step from its root's component.
+        def now(df: DataFrame, x: str, to: str) -> DataFrame:
+            if roots is None:
+                return df.withColumn(to, F.col(x))
+            return df.join(roots.select(F.col("class").alias(x), F.col("root").alias(to)), x, "left").withColumn(to, F.coalesce(to, x))
+
+        between = scratch.save("between", now(now(links.select("a", "b"), "a", "u"), "b", "v").where("u <> v").select("u", "v").distinct())
+        if not between.isEmpty():
+            stars = components(between, scratch, "cc").select(F.col("node").alias("root"), F.col("root").alias("to"))
+            of_class = now(of_class, "class", "root").join(stars, "root", "left").select("class", "low", F.coalesce("to", "root").alias("root"))
+        else:
+            of_class = now(of_class, "class", "root")
     of_root = of_class.groupBy("root").agg(F.min("low").alias("component_id"))
     of_class = of_class.join(of_root, "root").select("class", "component_id")
     out = real.join(of_class, "class").unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")))
