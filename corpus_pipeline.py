@@ -13,7 +13,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep all rules."""
-    return quality.judged(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    judged = quality.judged(docs.select(*COLUMNS))
+    # A filter on `kept` itself would be pushed below the counts and repeat their expressions without end; one on a generated column stays above them.
+    return judged.select(*COLUMNS, F.explode_outer(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_k")).where("_k IS NOT NULL").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
