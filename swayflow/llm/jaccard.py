@@ -9,9 +9,9 @@ fragment by fragment: partial overlaps are counted separately and summed per pai
 Equal sets are one class from the start. A list of classes that share a prefix n-gram is first
 compared with one pivot per round, then in full, but for classes that are in one component
 already; lists whose classes have all been joined need no more. A pair is drawn only where the
-sizes and what follows the n-gram in both sets leave room for enough overlap, so what a list of
-unlike classes can cost is bounded by pairs that are close to the threshold. No pair that could
-join two components is left out, but a group of near copies is never expanded into all its pairs.
+sizes and what follows the n-gram in both sets leave room for enough overlap. No pair that could
+join two components is left out. Members of one component are not compared again; the pairs
+between components that pass the bounds in the full comparison have no proven limit.
 
 N-grams are known by 40 bits and their fragment's number, sets by 64 bits of a digest: a false
 meeting within one pair of texts is expected once in some 10^8 pairs and shifts its overlap by one.
