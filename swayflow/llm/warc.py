@@ -73,18 +73,20 @@ def records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
 
 
 def inflated(source) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, piece by piece."""
-    one = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or more members, in pieces of at most CHUNK however well they compress; a file that ends inside a member raises."""
+    one, within = zlib.decompressobj(31), False
     while data := source.read(CHUNK):
         while data:
-            yield one.decompress(data)
-            data = one.unused_data
+            if piece := one.decompress(data, CHUNK):
+                yield piece
+            within = not one.eof
+            data = one.unconsumed_tail
             if one.eof:
-                one = zlib.decompressobj(31)
-            elif not data:
-                break
-    if not one.eof and one.unconsumed_tail:
-        raise ValueError("the archive is cut off")
+                data, one = one.unused_data, zlib.decompressobj(31)
+    if within:
+        yield one.flush()
+        if not one.eof:
+            raise ValueError("the archive is cut off")
 
 
 def gzipped(data: bytes) -> bytes:

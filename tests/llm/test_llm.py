@@ -179,6 +179,19 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_inflation_is_bounded_and_sees_cut_archives():
+    import io
+
+    body = b"a" * (5 * warc.CHUNK) + b"end"
+    file = warc.gzipped(body) + warc.gzipped(b"") + warc.gzipped(b"next")
+    pieces = list(warc.inflated(io.BytesIO(file)))
+    assert b"".join(pieces) == body + b"next" and max(map(len, pieces)) <= warc.CHUNK
+    assert list(warc.inflated(io.BytesIO(b""))) == []
+    for cut in (1, 5, 9, 12):
+        with pytest.raises(ValueError):
+            list(warc.inflated(io.BytesIO(file[:-cut])))
+
+
 def test_sharding(docs, none):
     rows = shards.sharded(docs, 6).collect()
     by = {}
