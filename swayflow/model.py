@@ -35,6 +35,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation of two columns, null where one does not vary (`corr` raises there in ANSI mode)."""
+    return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def runs(df: DataFrame, flag: Column, name: str = "run") -> DataFrame:
     """Numbers the runs of equal flags along i within each id (gaps and islands)."""
     df = df.withColumn("_f", flag)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..model import along, ratio
+from ..model import along, pearson, ratio
 
 
 def path_length(df: DataFrame, fs: float) -> DataFrame:
@@ -132,7 +132,7 @@ def circ_corr(df: DataFrame) -> DataFrame:
 def circ_corr_linear(df: DataFrame) -> DataFrame:
     """Correlation of a direction with v: r squared from three Pearson coefficients, and p."""
     d = df.where("angle is not null and v is not null").withColumns({"_c": F.cos("angle"), "_s": F.sin("angle")})
-    m = d.groupBy("id").agg(F.count("*").alias("n"), F.corr("_c", "v").alias("xc"), F.corr("_s", "v").alias("xs"), F.corr("_c", "_s").alias("cs"))
+    m = d.groupBy("id").agg(F.count("*").alias("n"), pearson("_c", "v").alias("xc"), pearson("_s", "v").alias("xs"), pearson("_c", "_s").alias("cs"))
     r2 = ratio(F.pow("xc", F.lit(2)) + F.pow("xs", F.lit(2)) - 2 * F.col("xc") * F.col("xs") * F.col("cs"), 1 - F.pow("cs", F.lit(2)))
     r2 = F.least(F.lit(1.0), F.greatest(F.lit(0.0), r2))
     return m.select("id", "n", F.sqrt(r2).alias("r"), F.exp(-F.col("n") * r2 / 2).alias("p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import along, ratio, runs, wholly
+from ..model import along, pearson, ratio, runs, wholly
 
 
 def measured_rate(df: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def binned_correlation(a: DataFrame, b: DataFrame, step_a: int, step_b: int) ->
         return df.groupBy("id", F.floor(F.col("i") / step).alias("s")).agg(F.avg("v").alias(name), F.count("*").alias("_n")).where(F.col("_n") == step).drop("_n")
 
     both = per(a, step_a, "a").join(per(b, step_b, "b"), ["id", "s"])
-    return both.groupBy("id").agg(F.when(F.count("*") >= 3, F.corr("a", "b")).alias("r"), F.count("*").alias("n"))
+    return both.groupBy("id").agg(F.when(F.count("*") >= 3, pearson("a", "b")).alias("r"), F.count("*").alias("n"))
 
 
 def lag_products(a: DataFrame, b: DataFrame, max_lag: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal
 from ..model import to_series
-from ..operators import checks, geometry, kernels, scaling, timing
+from ..operators import channels, checks, geometry, kernels, scaling, timing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -315,6 +315,29 @@ def q_edge_levels(spark, d):
     return rounded(checks.edge_levels(points(spark, d).withColumn("v", F.col("x")), 1.0, 10.0, (20.0, 100.0)), 4)
 
 
+@query(P + """ SELECT id, round(n, 6) AS norm, CASE WHEN abs(n - 1) <= 0.25 THEN 'g' WHEN abs(n - 1000) <= 250 THEN 'mg' WHEN abs(n - 9.80665) <= 0.25 * 9.80665 THEN 'm/s^2' END AS unit
+FROM (SELECT id, median(sqrt((x / 5) * (x / 5) + (y / 5) * (y / 5) + (z / 5) * (z / 5))) AS n FROM p GROUP BY id)""")
+def q_acceleration_unit(spark, d):
+    return rounded(channels.acceleration_unit(points(spark, d).select("id", *[(F.col(c) / 5).alias(c) for c in "xyz"])))
+
+
+@query(P + """, u AS (SELECT DISTINCT id, x::DOUBLE AS v FROM p WHERE x IS NOT NULL), d AS (SELECT id, v, v - lag(v) OVER (PARTITION BY id ORDER BY v) AS d FROM u),
+m AS (SELECT id, count(*) AS levels, max(v) - min(v) AS span, min(d) AS lo, max(d) AS hi, greatest(4, least(64, count(*) - 1)) AS k FROM d GROUP BY id),
+b AS (SELECT id, d, lo, hi, k, CASE WHEN hi > lo THEN least(floor((d - lo) / ((hi - lo) / k)), k - 1) ELSE 0 END AS b FROM d JOIN m USING (id) WHERE d IS NOT NULL),
+f AS (SELECT id, b AS fb, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, b) AS r FROM b GROUP BY id, b),
+s AS (SELECT id, median(d) AS step FROM b JOIN f USING (id) WHERE r = 1 AND d >= lo + fb * ((hi - lo) / k) AND d <= CASE WHEN hi = lo OR fb = k - 1 THEN hi ELSE lo + (fb + 1) * ((hi - lo) / k) END GROUP BY id)
+SELECT id, levels, round(span, 6) AS span, round(coalesce(step, 0), 6) AS step, CASE WHEN step > 0 THEN round(5 / step, 6) ELSE 'inf'::DOUBLE END AS ratio FROM m LEFT JOIN s USING (id)""")
+def q_channel_resolution(spark, d):
+    return rounded(channels.channel_resolution(points(spark, d).select("id", F.col("x").cast("double").alias("v")), 5.0))
+
+
+@query(V + """, a AS (SELECT id, i // 4 AS s, avg(v) AS a FROM s WHERE i // 4 < 16 GROUP BY ALL), b AS (SELECT id, i // 2 AS s, avg(v * v) AS b FROM s WHERE i // 2 < 32 GROUP BY ALL)
+SELECT id, count(*) AS n, round(corr(a, b), 6) AS r FROM a JOIN b USING (id, s) GROUP BY id""")
+def q_compare_envelopes(spark, d):
+    s = samples(spark, d)
+    return rounded(channels.compare_envelopes(s, s.withColumn("v", F.col("v") * F.col("v")), 4.0, 2.0))
+
+
 @query("SELECT sha, n FROM (SELECT sha256(coalesce(text, '')) AS sha, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
 def q_duplicate_contents(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -388,3 +411,16 @@ def q_complexity(spark, d):
         return {"sampen": kernels.sampen(x), "apen": kernels.apen(x), **{k.lower(): v for k, v in kernels.rqa(x).items()}}
 
     return kernels.apply(signals(spark, d), kernel, ["x"], "sampen double, apen double, rr double, det double, lmax long, lmean double, entr double")
+
+
+@query()
+def q_search_lag(spark, d):
+    """The shift of each user's events against the same readings two seconds later by another clock."""
+    e = to_series(events(spark, d).withColumn("t", F.col("t") - F.min("t").over(Window.partitionBy("id"))), "t", "v")
+
+    def kernel(t, v):
+        return kernels.search_lag(t, v, t + 2.0 * np.ptp(t) / 100, v, np.ptp(t) / 10, max(np.ptp(t) / 100, 1e-3), np.ptp(t) / 2)
+
+    import numpy as np
+
+    return kernels.apply(e, kernel, ["t", "v"], "lag_s double, r double, n_overlap long, confident boolean")

@@ -5,7 +5,7 @@ import pytest
 
 from swayflow.functions import signal as S
 from swayflow.functions import stats as T
-from swayflow.operators import geometry, kernels
+from swayflow.operators import channels, geometry, kernels
 from swayflow.sources import readers
 
 
@@ -85,3 +85,48 @@ def test_readers(tmp_path, spark):
     phone = ["time;gFx;gFy;gFz", "0,00;0,1;−0,2;1", "0,01;0,1;0;1", "0,02;0;0;0"]
     got = readers.read_phone(phone)
     assert abs(got["x"][0, 1] + 0.2 * 9.80665) < 1e-9 and np.isnan(got["x"][2]).all() and abs(got["fs"] - 100) < 1e-6
+
+
+def test_search_lag_carries_the_clocks_origins():
+    t = np.arange(0, 900, 0.5)
+    x = np.cumsum(np.random.default_rng(4).normal(size=len(t)))
+    got = kernels.search_lag(t, x, t + 1037, x)
+    assert got["lag_s"] == 1037 and got["r"] > 0.99 and got["confident"]
+    assert math.isnan(kernels.search_lag(t[:50], x[:50], t[:50], x[:50])["lag_s"])
+
+
+def test_phases_of_a_steady_breath():
+    fs = 25
+    x = np.sin(2 * np.pi * 0.25 * np.arange(120 * fs) / fs)
+    got = kernels.respiratory_phases(x, fs)
+    assert 27 <= got["n_breaths"] <= 30 and set(np.diff(got["onsets"])) <= {99, 100, 101}
+    assert not (got["inspiration_v"] & ~got["inspiration"]).any() and not (got["post_expiration"] & ~got["expiration"]).any()
+    inner = slice(10 * fs, 110 * fs)
+    assert got["velocity"][inner][got["inspiration"][inner]].min() > 0 and got["velocity"][inner][got["expiration_v"][inner]].max() < 0
+    assert 0.2 < got["inspiration_high"].sum() / got["inspiration"].sum() < 0.4
+    with pytest.raises(ValueError):
+        kernels.respiratory_phases(np.full(100, np.nan), fs)
+
+
+def test_pose_speed_in_torso_lengths():
+    rng, t = np.random.default_rng(5), np.arange(3000) / 30
+    pose = rng.normal(size=(1, 25, 2)) + np.sin(2 * np.pi * t)[:, None, None] * 0.1
+    one, two = kernels.normalized_qom(pose, 30), kernels.normalized_qom(3 * pose, 30)
+    assert abs(one["qom"] - two["qom"]) < 1e-9 and one["qom"] > 0
+    assert math.isnan(kernels.normalized_qom(pose, 30, scale=0.0)["qom"])
+
+
+def test_channels(spark):
+    inf, nan = math.inf, math.nan
+    rows = [(1, k, float(v)) for k, v in enumerate([0.0, 0.5, 1.0, 1.5, 9.0, 0.5, nan, inf])] + [(2, 0, 4.0), (2, 1, 4.0), (3, 0, None)]
+    got = {r["id"]: r for r in channels.channel_resolution(spark.createDataFrame(rows, "id long, i long, v double"), 1.0).collect()}
+    assert (got[1]["levels"], got[1]["span"], got[1]["step"], got[1]["ratio"]) == (5, 9.0, 0.5, 2.0)
+    assert (got[2]["levels"], got[2]["step"], got[2]["ratio"]) == (1, 0.0, inf) and 3 not in got
+    acc = spark.createDataFrame([(1, 0.0, 0.0, 1.1), (1, None, 0.0, 99.0), (2, 0.0, 9.8, 0.5), (3, 0.0, 0.0, 990.0), (4, 5.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    assert {r["id"]: r["unit"] for r in channels.acceleration_unit(acc).collect()} == {1: "g", 2: "m/s^2", 3: "mg", 4: None}
+    with pytest.raises(Exception, match="no unit fits"):
+        channels.acceleration_unit(acc, strict=True).collect()
+    wave = [(1, k, math.sin(k / 7)) for k in range(95)] + [(2, k, 1.0) for k in range(95)] + [(3, k, 1.0) for k in range(20)]
+    w = spark.createDataFrame(wave, "id long, i long, v double")
+    got = {r["id"]: (r["n"], r["r"]) for r in channels.compare_envelopes(w, w.withColumn("v", -w["v"]), 10.0, 10.0).collect()}
+    assert got[1][0] == 9 and abs(got[1][1] + 1) < 1e-9 and got[2] == (9, None) and got[3] == (2, None)
