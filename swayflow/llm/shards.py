@@ -25,7 +25,8 @@ BUCKET_ROWS = 2_000
 
 def numbered(df: DataFrame, part: str, name: str, order: list[Column], buckets: int) -> DataFrame:
     """Numbers rows 0, 1, ... within each value of `part`, by bucket and then by `order`; `part` values should be few and df written or deterministic."""
-    b = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    # Each numbering has hashes of its own: rows that one numbering put side by side, as those that fill a shard, would else share a bucket in the next.
+    b = F.pmod(F.xxhash64(F.lit(f"{part}/{name}"), *order), F.lit(buckets))
     df = df.withColumn("_b", b)
     sums = Window.partitionBy(part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy(part, "_b").agg(F.count("*").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(sums), F.lit(0))).select(part, "_b", "_off")
