@@ -109,6 +109,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: st
     rows = scratch.save("numbered", numbered(rows.withColumn("_one", F.lit(0)), "_one", "rid", order, buckets).drop("_one"))
     scratch.drop("rows")
     twice = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", F.xxhash64("digest").alias("grp"))
+    # Written, so that the join below has a shuffle of its own on both sides: Spark splits a hot digest's rows only then.
+    twice = scratch.save("twice", twice)
     members = scratch.save("members", rows.select("rid", "digest").join(twice, "digest").select("rid", "grp"))
     placed = balanced(rows.select("rid"), members, shards, ROUNDS, scratch)
     out = scratch.save("out", rows.select("rid", "doc_id", "size", "text_crc32").join(placed, "rid"))
