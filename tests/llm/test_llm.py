@@ -210,6 +210,30 @@ def test_sharding(docs, none):
     assert shards.sharded(none, 6).count() == 0
 
 
+@pytest.mark.parametrize("sizes,single,most", [([1600] + [3] * 40, 3080, 0), ([100] * 12 + [7] * 40, 1000, 0), ([2] * 1000, 1, 7), ([3] * 400, 0, 23)])
+def test_sharding_cuts_no_more_groups_than_sizes_ask(spark, sizes, single, most):
+    # 15 shards of 83 rows can't be filled with pairs, so 7 of these must be cut; groups of three can't fill shards of 50, with no free row.
+    rows = [(f"g{g}",) for g, size in enumerate(sizes) for _ in range(size)] + [(f"s{k}",) for k in range(single)]
+    random.Random(1).shuffle(rows)
+    docs = spark.createDataFrame([(k, t) for k, (t,) in enumerate(rows)], "doc_id long, text string").repartition(3)
+    placed = shards.sharded(docs, 24).select("doc_id", "shard").join(docs, "doc_id").selectExpr("doc_id AS rid", "xxhash64(text) AS grp", "shard")
+    by = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
+    assert len(by) == 24 and sum(by.values()) == len(rows) and max(by.values()) - min(by.values()) <= 1
+    cut = shards.cuts(placed.select("rid", "grp"), placed.select("rid", "shard"), 24)
+    assert cut.where("shards < least").count() == 0 and cut.where("shards > least").count() <= most
+
+
+def test_sharding_of_rows_in_several_groups(spark):
+    members = [(k, g) for k in range(600) for g in (k // 6, 1000 + k // 12)]
+    placed = shards.balanced(spark.range(1200).withColumnRenamed("id", "rid"), spark.createDataFrame(members, "rid long, grp long"), 6).collect()
+    by = {}
+    for r in placed:
+        by.setdefault(r["shard"], []).append(r["rid"])
+    where = {r["rid"]: r["shard"] for r in placed}
+    assert sorted(map(len, by.values())) == [200] * 6 and len(where) == 1200
+    assert sum(len({where[k] for k in range(g * 12, g * 12 + 12)}) > 1 for g in range(50)) <= 5
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     vectors = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(1200)] + [(5000, None), (5001, [1.0] * 7 + [math.nan]), (5002, [0.5] * 8), (5003, [0.5] * 8)]
