@@ -1,7 +1,8 @@
 """Soft-membership mixing: domain posteriors from labelled rows, document rates by projected gradients.
 
 DataFrame operations only. The classifier is a naive Bayes model over the presence of words
-that tell the labelled domains apart, fitted on at most LABELLED labelled rows. Rates r >= 0
+that tell the labelled domains apart, fitted on at most LABELLED labelled rows. A word's share in
+a domain is smoothed towards its share in all rows, so that missing from a few rows says little. Rates r >= 0
 minimise the squared distance of the expected token totals sum(r * tokens * p(domain)) from the
 targets, by gradient steps from r = 1, scaled per domain and projected to r >= 0. A step needs one
 row of totals; as all steps are linear in the posteriors, they stay one expression and no state is written.
@@ -19,8 +20,10 @@ from .common import Scratch, load, words_of
 DOMAINS = ("clean", "junk", "toxic")
 #: Shares of all tokens that the mix is to have.
 TARGETS = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}
-#: Bounds of the classifier only: labelled rows it is fitted on, words it looks at, rows a word must be in.
+#: Bounds of the classifier only: labelled rows it is fitted on, words it looks at, rows a word must be in within the domain it speaks for.
 LABELLED, LEXICON, LEAST_ROWS = 20_000, 128, 8
+#: A domain with fewer labelled rows can't be learned; it is left out, with its target.
+LEAST_LABELLED = 16
 STEPS = 12
 
 
@@ -33,28 +36,31 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classifier(sample: DataFrame) -> tuple[dict[str, float], dict[str, tuple[float, ...]]]:
-    """Bias of each domain and weights of at most LEXICON words; small by its bounds, so it is collected."""
+    """Bias of each domain (-inf: left out) and weights of at most LEXICON words; small by its bounds, so it is collected."""
     n = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    rows = sum(n.values())
-    if not rows:
+    used = [d for d in DOMAINS if n.get(d, 0) >= LEAST_LABELLED]
+    if not used:
         return dict.fromkeys(DOMAINS, 0.0), {}
-    n = {d: n.get(d, 0) for d in DOMAINS}
-    counts = sample.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS])
-    total = sum(F.col(d) for d in DOMAINS)
+    rows = sum(n[d] for d in used)
+    counts = sample.where(F.col("domain").isin(used)).select("domain", F.explode("words").alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in used])
+    total = sum(F.col(d) for d in used)
 
-    def share(c: Column, of: int) -> Column:
-        return (c + 0.5) / (of + 1.0)
+    def share(c, of: int, total):
+        # Half a row of the word more, and as many rows as hold half a one at the word's share in all rows.
+        return (c + 0.5) / (of + 0.5 * (rows + 1) / total)
 
     # Weighted log-odds of each domain against the rest: large for frequent words that one domain owns.
-    tell = F.greatest(*[F.abs(F.log(share(F.col(d), n[d]) / share(total - F.col(d), rows - n[d]))) * F.sqrt(F.least(F.col(d), F.lit(200)) + 1) for d in DOMAINS])
-    best = counts.where(total >= LEAST_ROWS).orderBy(F.desc(tell), "word").limit(LEXICON).collect()
-    bias = {d: math.log((n[d] + 0.5) / (rows + 0.5 * len(DOMAINS))) for d in DOMAINS}
+    odds = {d: F.log(share(F.col(d), n[d], total) / share(total - F.col(d), rows - n[d], total)) for d in used}
+    tell = F.greatest(F.lit(0.0), *[F.when(F.col(d) >= LEAST_ROWS, odds[d] * F.sqrt(F.least(F.col(d), F.lit(200)) + 1)) for d in used])
+    best = counts.withColumn("tell", tell).where("tell > 0").orderBy(F.desc("tell"), "word").limit(LEXICON).collect()
+    bias = {d: math.log(n[d] / rows) if d in used else -math.inf for d in DOMAINS}
     weights = {}
     for r in best:
-        p = [(r[d] + 0.5) / (n[d] + 1.0) for d in DOMAINS]
-        for d, x in zip(DOMAINS, p):
-            bias[d] += math.log(1 - x)
-        weights[r["word"]] = tuple(math.log(x / (1 - x)) for x in p)
+        held = sum(r[d] for d in used)
+        p = {d: share(r[d], n[d], held) for d in used}
+        for d in used:
+            bias[d] += math.log(1 - p[d])
+        weights[r["word"]] = tuple(math.log(p[d] / (1 - p[d])) if d in used else 0.0 for d in DOMAINS)
     return bias, weights
 
 
@@ -86,7 +92,7 @@ def posteriors(docs: DataFrame, bias: dict[str, float], weights: dict[str, tuple
 def rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[Column, list[dict[str, float]]]:
     """The rate of a row as one expression, and the shares of the expected totals after each step.
 
-    rows: n_tokens and p_<domain>, written. Domains without tokens can't be met and are left alone.
+    rows: n_tokens and p_<domain>, written. Domains without tokens, as those left out, can't be met: the others share their targets.
     """
     mass = {d: F.col("n_tokens") * F.col(f"p_{d}") for d in DOMAINS}
     start = rows.agg(F.sum("n_tokens").alias("n"), *[F.sum(mass[d]).alias(d) for d in DOMAINS]).first()
@@ -95,6 +101,8 @@ def rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tup
     if not n:
         return rate, seen
     have = {d: start[d] for d in DOMAINS}
+    met = sum(targets[d] for d in DOMAINS if start[d] > 1e-9 * n) / sum(targets[d] for d in DOMAINS)
+    targets = {d: targets[d] / met for d in DOMAINS} if met else targets
     for _ in range(steps):
         seen.append({d: have[d] / n for d in DOMAINS})
         step = {d: (have[d] - targets[d] * n) / max(start[d], 1e-9 * n) for d in DOMAINS if start[d] > 1e-9 * n}
@@ -110,8 +118,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """doc_id, n_tokens, p_<domain>, rate, copies of every row.
 
     copies is the whole part of the rate, plus one with the chance of the rest by a hash of the
-    row. Null or empty texts have no tokens and the domains' prior; without labels all domains
-    are as likely. Rows without an id are never labelled. Repeated rows are rated alike. An empty
+    row. Null or empty texts have no tokens and the domains' prior; domains of fewer than LEAST_LABELLED
+    labelled rows have p 0 and no target, and where that holds for all, all are as likely. Rows without an id are never labelled. Repeated rows are rated alike. An empty
     table gives none.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))

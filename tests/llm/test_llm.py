@@ -262,6 +262,25 @@ def test_mixing(spark, none):
     assert mixing.mixed(none, labels.limit(0)).count() == 0 and mixing.mixed(docs, labels.limit(0)).count() == 300
 
 
+@pytest.mark.parametrize("junk", [6, 20])
+def test_mixing_takes_rare_words_for_no_junk(spark, junk):
+    r = random.Random(11)
+    common, rare = [f"c{k}" for k in range(40)], [f"r{k}" for k in range(300)]
+    # Short labelled rows, each with two of the rare words; long clean ones without a label hold many of them.
+    short = [" ".join(r.choices(common, k=20) + r.sample(rare, 2)) for _ in range(1500)]
+    bad = [" ".join(r.choices(common, k=15) + ["###"]) for _ in range(junk)]
+    foul = [" ".join(r.choices(common, k=15) + ["awful"]) for _ in range(100)]
+    long = [" ".join(r.choices(common, k=800) + r.sample(rare, 200)) for _ in range(60)]
+    rows = list(enumerate(short + bad + foul + long))
+    kinds = [(1, 0)] * len(short) + [(0, 0)] * junk + [(1, 1)] * len(foul)
+    labels = spark.createDataFrame([(k, q, t) for k, (q, t) in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    first = len(kinds)
+    assert all(got[k]["p_clean"] > 0.5 for k in range(first, first + len(long)))
+    assert all(got[k]["p_toxic"] > 0.5 for k in range(len(short) + junk, first))
+    assert all(got[k]["p_junk"] > 0.5 if junk >= mixing.LEAST_LABELLED else got[k]["p_junk"] == 0 for k in range(len(short), len(short) + junk))
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
