@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+import hashlib
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words in every contract: space and U+0009 to U+000D.
 SPACE = r"[ \t-\r]+"
 
-_OWN_ROOT: list[str] = []
-
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -27,22 +25,27 @@ def words_of(text: Column) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir, or a folder of the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _OWN_ROOT:
-        _OWN_ROOT.append(tempfile.mkdtemp(prefix="swayflow-"))
-        atexit.register(shutil.rmtree, _OWN_ROOT[0], True)
-    return "file://" + _OWN_ROOT[0]
+    if not root:
+        warehouse = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+        root = warehouse.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(warehouse).toString() + "/_scratch"
+    return root.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; they survive lost executors."""
+    """Tables written to the shared folder to cut lineage; they survive lost executors and are deleted when the application ends."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+        path, fs = self._path(self.base)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -50,15 +53,12 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._path(f"{self.base}/{name}")
+        fs.delete(path, True)
 
 
-def plan_bytes(df: DataFrame, text: str) -> int:
-    """The input's size: Spark's own estimate, or, where Spark knows none, the summed lengths of the texts. It sets the number of blocks, never the result."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 60:
-        return size
+def text_bytes(df: DataFrame, text: str) -> int:
+    """UTF-8 bytes of all texts, counted: the size that numbers of blocks and buckets follow. It never changes a result."""
     return df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
 
 
@@ -69,58 +69,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Text is hashed in pieces of about this many bytes, cut between words.
-PIECE = 2 << 20
-_PRIME = 0x9E3779B97F4A7C15
-_INVERSE = pow(_PRIME, -1, 1 << 64)
-_LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, PIECE + 64)
-        made = []
-        for base in (_PRIME, _INVERSE):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            made.append(np.cumprod(x, dtype=np.uint64))
-        if size > 8 * PIECE:
-            return tuple(made)  # not kept: a single word of such a length
-        _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
+#: Words whose hashes a worker remembers at most; beyond it the memory starts anew.
+REMEMBERED = 1_000_000
+_HASHES: dict[bytes, int] = {}
 
 
-def word_numbers(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit numbers of all words of the texts, A-Z lowered, one after another, and how many each text has.
+def words_in(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of the texts (A-Z lowered), the place in that list of every word in order, and how many words each text has.
 
-    A word's number is a polynomial in its bytes, taken as the difference of two running sums,
-    so that a batch costs a few passes over its bytes and no object per word.
+    Words are told apart by their bytes. Null texts have none.
     """
-    joined = b"\n".join([t or b"" for t in texts]) + b"\n"
-    raw = np.frombuffer(joined, np.uint8)
-    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
-    numbers, counts, at = [], np.zeros(len(texts), np.int64), 0
-    while at < len(raw):
-        to = min(at + PIECE, len(raw))
-        if to < len(raw):
-            blank = np.flatnonzero(_SPACE[raw[at:to]])
-            if len(blank):
-                to = at + int(blank[-1]) + 1
-            else:
-                while to < len(raw) and not _SPACE[raw[to]]:
-                    to += 1
-        x = raw[at:to]
-        word = np.zeros(len(x) + 2, bool)
-        word[1:-1] = ~_SPACE[x]
-        edge = np.flatnonzero(word[1:] != word[:-1])
-        start, end = edge[::2], edge[1::2]
-        up, down = _powers(len(x) + 1)
-        sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(_LETTER[x] * up[: len(x)], out=sums[1:])
-        numbers.append(mixed((sums[end] - sums[start]) * down[start]))
-        counts += np.bincount(np.searchsorted(bounds, start + at, side="right"), minlength=len(texts))
-        at = to
-    return np.concatenate(numbers) if numbers else np.zeros(0, np.uint64), counts
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, ends = split.flatten(), split.offsets.to_numpy()
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    counts = np.diff(np.r_[0, np.cumsum(real)][ends - ends[0]])
+    if not real.all():
+        flat = flat.filter(pa.array(real))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64), counts.astype(np.int64)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit cryptographic hash of each word."""
+    known = _HASHES
+    if len(known) > REMEMBERED:
+        known.clear()
+    out = []
+    for w in words:
+        h = known.get(w)
+        if h is None:
+            h = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        out.append(h)
+    return np.array(out, np.uint64)

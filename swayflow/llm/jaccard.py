@@ -1,10 +1,10 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The n-grams of all texts are cut into fragments of their hash order. In a fragment all holders
-of an n-gram meet, so its document frequency is exact there; n-grams of a single set are
-dropped, and sets with too few others can link with nothing. The rest is ordered by frequency;
-two similar sets share an n-gram of their prefixes in that order. Candidates are checked
-fragment by fragment: partial overlaps are counted separately and summed per pair.
+All holders of an n-gram meet by its hash, so its document frequency is exact; n-grams of a
+single set are dropped, and sets with too few others can link with nothing. The rest is put in
+one global order, by frequency and then by hash; two similar sets share an n-gram of their
+prefixes in that order. The order is cut into fragments at PIVOTS; the overlap of a candidate
+pair is counted in each fragment separately, and the partial overlaps are summed per pair.
 
 Equal sets are one class from the start. A list of classes that share a prefix n-gram is first
 compared with one pivot per round, then in full, but for classes that are in one component
@@ -13,8 +13,9 @@ sizes and what follows the n-gram in both sets leave room for enough overlap. No
 join two components is left out. Members of one component are not compared again; the pairs
 between components that pass the bounds in the full comparison have no proven limit.
 
-N-grams are known by 40 bits and their fragment's number, sets by 64 bits of a digest: a false
-meeting within one pair of texts is expected once in some 10^8 pairs and shifts its overlap by one.
+Words are hashed with BLAKE2b to 64 bits, n-grams to 64 bits of their words' hashes, sets to a
+128-bit BLAKE2b digest of their n-grams. What passes the count is only a proposal: the two texts
+are fetched, and a link stands if their n-grams, compared word by word, are similar enough.
 """
 
 from __future__ import annotations
@@ -27,22 +28,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, mixed, plan_bytes, word_numbers
+from .common import Scratch, load, mixed, text_bytes, word_hashes, words_in
 
 WIDTH, PERCENT = 5, 75
-#: Estimated input bytes per fragment, n-grams gathered before they are sent, holders in one gathering from which an n-gram is heavy.
-FRAGMENT_BYTES, GATHER, HEAVY = 16 << 20, 2_000_000, 256
-#: Fragments in which overlaps of pairs are counted; rounds with pivots before the full comparison.
-PARTS, ROUNDS = 4, 2
+#: Text bytes per fragment of the hash space, n-grams gathered before they are sent, holders in one gathering from which an n-gram is heavy.
+FRAGMENT_BYTES, GATHER, HEAVY = 24 << 20, 2_000_000, 256
+#: Document frequencies at which the global order is cut into the fragments that overlaps are counted in; rounds with pivots before the full comparison.
+PIVOTS, ROUNDS = (3, 6, 24), 2
 #: Texts hashed at once.
 SLICE = 512
-KEY_BITS = 40
 _ODD = 0xC2B2AE3D27D4EB4F
+#: 128-bit digest of a set.
+CLASS = np.dtype([("a", "<i8"), ("b", "<i8")])
 
 
-def shingles(texts: list[bytes | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+def shingles(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit n-gram numbers of each whole text: A-Z lowered, the whole sequence if it is short, none without words."""
-    h, counts = word_numbers(texts)
+    words, index, counts = words_in(texts)
+    h = word_hashes(words)[index]
     powers = [np.uint64(pow(_ODD, width - 1 - k, 1 << 64)) for k in range(width)]
     m = max(0, len(h) - width + 1)
     all_ = np.zeros(m, np.uint64)
@@ -61,15 +64,18 @@ def shingles(texts: list[bytes | None], width: int = WIDTH) -> Iterator[np.ndarr
         at += n
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]).tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, KEY_BITS // 8)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, : KEY_BITS // 8] = raw
-    return out.reshape(-1).view("<u8")
+def similar(a: str, b: str, width: int = WIDTH, percent: int = PERCENT) -> bool:
+    """Whether two texts link, by their n-grams themselves: windows of words, numbered in a dictionary that both texts share."""
+    _, index, counts = words_in(pa.array([a, b], pa.large_string()))
+    sets = []
+    for x in (index[: counts[0]], index[counts[0] :]):
+        if len(x) < width:
+            sets.append(np.r_[-np.ones(width - len(x), np.int64), x][None] if len(x) else np.zeros((0, width), np.int64))
+        else:
+            sets.append(np.unique(np.lib.stride_tricks.sliding_window_view(x, width), axis=0))
+    both = np.concatenate(sets)
+    union = len(np.unique(both, axis=0))
+    return len(both) > union and 100 * (len(both) - union) >= percent * union
 
 
 RUNS = "frag int, at long, kind string, docs binary, classes binary, sizes binary, counts binary, keys binary, ranks binary"
@@ -84,6 +90,22 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
+def _binaries(x: np.ndarray) -> pa.Array:
+    """Fixed-width values as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * x.dtype.itemsize), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def _numbered(runs: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (classes, sizes, counts): the distinct classes, their sizes, and the class's number of every n-gram."""
+    c, size, n = (np.concatenate([np.frombuffer(r[k], t) for r in runs]) for k, t in ((0, CLASS), (1, "<i4"), (2, "<i4")))
+    order = np.lexsort((c["b"], c["a"]))
+    new = np.r_[True, c[order][1:] != c[order][:-1]]
+    number = np.empty(len(c), np.int32)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
+    return c[first], size[first], np.repeat(number, n)
+
+
 class Gathering:
     """n-grams of some documents, sent out by fragment when there are enough."""
 
@@ -93,14 +115,14 @@ class Gathering:
 
     def clear(self) -> None:
         self.docs: list[tuple] = []
-        self.seen: dict[int, int] = {}
+        self.seen: dict[bytes, int] = {}
         self.sets: list[np.ndarray] = []
-        self.classes: list[int] = []
+        self.classes: list[bytes] = []
         self.total = 0
 
-    def add(self, doc: int | None, s: np.ndarray) -> None:
-        c = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-        self.docs.append((doc, c, len(s)))
+    def add(self, doc: int | None, place: int, s: np.ndarray) -> None:
+        c = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+        self.docs.append((doc, place, c, len(s)))
         if len(s) and c not in self.seen:
             self.seen[c] = len(s)
             self.sets.append(s)
@@ -110,17 +132,16 @@ class Gathering:
     def sent(self) -> list[tuple]:
         out: list[tuple] = []
         if self.docs:
-            ids = b"".join((-(1 << 63) if d is None else d).to_bytes(8, "little", signed=True) for d, _, _ in self.docs)
-            null = bytes(d is None for d, _, _ in self.docs)
-            spread = self.docs[0][1] % self.homes
-            out.append(_row(-1 - spread, spread, "docs", docs=ids, classes=np.array([c for _, c, _ in self.docs], "<i8").tobytes(), sizes=np.array([n for _, _, n in self.docs], "<i4").tobytes(), ranks=null))
+            ids = np.array([(0 if d is None else d, p) for d, p, _, _ in self.docs], "<i8").tobytes()
+            null = bytes(d is None for d, *_ in self.docs)
+            spread = int.from_bytes(self.docs[0][2][:7], "little") % self.homes
+            out.append(_row(-1 - spread, spread, "docs", docs=ids, classes=b"".join(c for _, _, c, _ in self.docs), sizes=np.array([n for *_, n in self.docs], "<i4").tobytes(), ranks=null))
         if self.sets:
             s = np.concatenate(self.sets)
-            size = np.array([len(x) for x in self.sets])
-            who = np.repeat(np.arange(len(size)), size)
-            cls = np.array(self.classes, "<i8")
+            size = np.array([len(x) for x in self.sets], "<i4")
+            who = np.repeat(np.arange(len(size), dtype=np.int32), size)
+            cls = np.frombuffer(b"".join(self.classes), CLASS)
             frag = (s % np.uint64(self.fragments)).astype(np.int32)
-            key = (s // np.uint64(self.fragments)) & np.uint64((1 << KEY_BITS) - 1)
             heavy = np.zeros(len(s), bool)
             if len(size) >= HEAVY:
                 u, inv, n = np.unique(s, return_inverse=True, return_counts=True)
@@ -133,26 +154,25 @@ class Gathering:
                     continue
                 hot = heavy[i]
                 if hot.any():
-                    out.append(_row(f, 0, "heavy", keys=_pack(np.unique(key[i[hot]]))))
-                    out += by_home(f, cls[who[i[hot]]], size[who[i[hot]]], key[i[hot]], np.full(int(hot.sum()), 255, np.uint8), self.homes, True)
+                    out.append(_row(f, 0, "heavy", keys=np.unique(s[i[hot]]).tobytes()))
+                    out += by_home(f, cls, size, who[i[hot]], s[i[hot]], np.full(int(hot.sum()), 255, np.uint8), self.homes, True)
                     i = i[~hot]
                 w, n = np.unique(who[i], return_counts=True)
-                out.append(_row(f, 0, "runs", classes=cls[w].tobytes(), sizes=size[w].astype("<i4").tobytes(), counts=n.astype("<i4").tobytes(), keys=_pack(key[i])))
+                out.append(_row(f, 0, "runs", classes=cls[w].tobytes(), sizes=size[w].tobytes(), counts=n.astype("<i4").tobytes(), keys=s[i].tobytes()))
         self.clear()
         return out
 
 
-def by_home(f: int, c: np.ndarray, n: np.ndarray, key: np.ndarray, rank: np.ndarray, homes: int, passing: bool) -> list[tuple]:
-    """Runs of one fragment dealt out by the home of their class. passing: they skip the fragment's own count."""
-    home = (c.view("<u8") % np.uint64(homes)).astype(np.int64)
-    order = np.lexsort((c, home))
+def by_home(f: int, classes: np.ndarray, sizes: np.ndarray, who: np.ndarray, key: np.ndarray, rank: np.ndarray, homes: int, passing: bool) -> list[tuple]:
+    """Runs of one fragment dealt out by the home of their class; a row per home that gets any, so never more rows than n-grams. passing: they skip the fragment's own count."""
+    home = (classes["a"].view("<u8") % np.uint64(homes)).astype(np.int64)[who]
+    order = np.lexsort((who, home))
     out = []
     bounds = np.searchsorted(home[order], np.arange(homes + 1))
     for h in np.flatnonzero(np.diff(bounds)):
         i = order[bounds[h] : bounds[h + 1]]
-        ci = c[i]
-        first = np.flatnonzero(np.r_[True, ci[1:] != ci[:-1]])
-        out.append(_row(-1 - int(h) if passing else f, int(h), f"set {f}", classes=ci[first].tobytes(), sizes=n[i][first].astype("<i4").tobytes(), counts=np.diff(np.r_[first, len(ci)]).astype("<i4").tobytes(), keys=_pack(key[i]), ranks=rank[i].tobytes()))
+        w, n = np.unique(who[i], return_counts=True)
+        out.append(_row(-1 - int(h) if passing else f, int(h), "set", classes=classes[w].tobytes(), sizes=sizes[w].astype("<i4").tobytes(), counts=n.astype("<i4").tobytes(), keys=key[i].tobytes(), ranks=rank[i].tobytes()))
     return out
 
 
@@ -163,65 +183,67 @@ def _counted(table: pa.Table, homes: int) -> pa.Table:
     runs = [r for r in rows if r["kind"] == "runs"]
     if runs:
         f = runs[0]["frag"]
-        n = np.concatenate([np.frombuffer(r["counts"], "<i4") for r in runs])
-        c = np.repeat(np.concatenate([np.frombuffer(r["classes"], "<i8") for r in runs]), n)
-        size = np.repeat(np.concatenate([np.frombuffer(r["sizes"], "<i4") for r in runs]), n)
-        key = np.concatenate([_unpack(r["keys"]) for r in runs])
-        order = np.lexsort((c, key))
-        key, c, size = key[order], c[order], size[order]
+        classes, sizes, who = _numbered([(r["classes"], r["sizes"], r["counts"]) for r in runs])
+        key = np.frombuffer(b"".join(r["keys"] for r in runs), "<u8")
+        heavy = [np.frombuffer(r["keys"], "<u8") for r in rows if r["kind"] == "heavy"]
+        del rows, runs
+        order = np.lexsort((who, key))
+        key, who = key[order], who[order]
         new_key = np.r_[True, key[1:] != key[:-1]]
-        one = new_key | np.r_[True, c[1:] != c[:-1]]  # copies sent by several tasks count once
-        key, c, size, new_key = key[one], c[one], size[one], new_key[one]
+        one = new_key | np.r_[True, who[1:] != who[:-1]]  # copies sent by several tasks count once
+        key, who, new_key = key[one], who[one], new_key[one]
         df = np.diff(np.r_[np.flatnonzero(new_key), len(key)])
         df = np.repeat(df, df)
-        heavy = [_unpack(r["keys"]) for r in rows if r["kind"] == "heavy"]
         hot = np.isin(key, np.unique(np.concatenate(heavy))) if heavy else np.zeros(len(key), bool)
         keep = (df >= 2) | hot
         rank = np.where(hot, 255, np.minimum(df, 254)).astype(np.uint8)
         if keep.any():
-            out += by_home(f, c[keep], size[keep], key[keep], rank[keep], homes, False)
+            out += by_home(f, classes, sizes, who[keep], key[keep], rank[keep], homes, False)
     return pa.Table.from_batches([_table(out, _RUNS)])
 
 
-SETS = "kind string, doc_id long, class long, n int, kept array<long>"
-_SETS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("kept", pa.list_(pa.int64()))])
+SETS = "kind string, doc_id long, place long, class binary, n int, kept array<long>, cuts array<int>"
+_SETS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("place", pa.int64()), ("class", pa.binary()), ("n", pa.int32()), ("kept", pa.list_(pa.int64())), ("cuts", pa.list_(pa.int32()))])
 
 
-def _assembled(table: pa.Table, fragments: int, percent: int) -> pa.Table:
-    """One home: the documents' rows, and the sets of which enough is held by others, in frequency order."""
+def _assembled(table: pa.Table, percent: int) -> pa.Table:
+    """One home: the documents' rows, and the sets of which enough is held by others, in the global order, with the places where its fragments begin."""
     out: list[pa.RecordBatch] = []
-    parts = []
+    parts, keys, ranks = [], [], []
     for r in table.to_pylist():
         if r["kind"] == "docs":
             null = np.frombuffer(r["ranks"], bool)
-            ids = pa.array(np.frombuffer(r["docs"], "<i8"), pa.int64(), mask=null)
             n = len(null)
-            out.append(pa.RecordBatch.from_arrays([pa.array(["doc"] * n), ids, pa.array(np.frombuffer(r["classes"], "<i8")), pa.array(np.frombuffer(r["sizes"], "<i4")), pa.nulls(n, pa.list_(pa.int64()))], schema=_SETS))
+            ids, places = np.frombuffer(r["docs"], "<i8").reshape(n, 2).T
+            out.append(pa.RecordBatch.from_arrays([pa.array(["doc"] * n), pa.array(ids, pa.int64(), mask=null), pa.array(places), _binaries(np.frombuffer(r["classes"], CLASS)), pa.array(np.frombuffer(r["sizes"], "<i4")), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], schema=_SETS))
         else:
-            n = np.frombuffer(r["counts"], "<i4")
-            f = int(r["kind"].split()[1])
-            parts.append((np.repeat(np.frombuffer(r["classes"], "<i8"), n), np.repeat(np.frombuffer(r["sizes"], "<i4"), n), _unpack(r["keys"]).astype(np.int64) * fragments + f, np.frombuffer(r["ranks"], np.uint8)))
+            parts.append((r["classes"], r["sizes"], r["counts"]))
+            keys.append(r["keys"])
+            ranks.append(r["ranks"])
     if parts:
-        c, n, token, rank = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((token, rank, c))
-        c, n, token, rank = c[order], n[order], token[order], rank[order]
-        one = np.r_[True, (c[1:] != c[:-1]) | (token[1:] != token[:-1])]
-        c, n, token = c[one], n[one], token[one]
-        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        held = np.diff(np.r_[first, len(c)])
-        good = 100 * held >= percent * n[first]
+        classes, sizes, who = _numbered(parts)
+        token, rank = np.frombuffer(b"".join(keys), "<u8").view("<i8"), np.frombuffer(b"".join(ranks), np.uint8)
+        order = np.lexsort((token, rank, who))
+        who, token, rank = who[order], token[order], rank[order]
+        one = np.r_[True, (who[1:] != who[:-1]) | (token[1:] != token[:-1])]
+        who, token, rank = who[one], token[one], rank[one]
+        held = np.bincount(who, minlength=len(classes))
+        good = 100 * held >= percent * sizes
         if good.any():
-            keep = np.repeat(good, held)
+            keep = good[who]
             offsets = np.r_[0, np.cumsum(held[good])].astype(np.int32)
-            kept = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token[keep]))
             m = int(good.sum())
-            out.append(pa.RecordBatch.from_arrays([pa.array(["set"] * m), pa.nulls(m, pa.int64()), pa.array(c[first][good]), pa.array(n[first][good]), kept], schema=_SETS))
+            below = [np.bincount(who[keep], weights=rank[keep] < p, minlength=len(classes))[good] for p in PIVOTS]
+            cuts = np.stack([np.zeros(m), *below, held[good]], 1).astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token[keep]))
+            cut = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * cuts.shape[1]), pa.array(cuts.ravel()))
+            out.append(pa.RecordBatch.from_arrays([pa.array(["set"] * m), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), _binaries(classes[good]), pa.array(sizes[good].astype(np.int32)), kept, cut], schema=_SETS))
     return pa.Table.from_batches(out, _SETS)
 
 
 def sets_of(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Rows of all documents (doc_id, class, n) and of the classes that may link (class, n, kept)."""
-    docs = docs.select(F.col(key).cast("long"), F.col(text).cast("binary"))
+    """Rows of all documents (doc_id, place, class, n; place: a hash of the text) and of the classes that may link (class, n, kept, cuts)."""
+    docs = docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(text))
     fragments = _fragments(docs, text)
     homes = fragments
 
@@ -229,21 +251,21 @@ def sets_of(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         g = Gathering(fragments, homes)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                ids, texts = (batch.column(c).slice(at, SLICE).to_pylist() for c in (0, 1))
-                for doc, s in zip(ids, shingles(texts)):
-                    g.add(doc, s)
+                part = batch.slice(at, SLICE)
+                for doc, place, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingles(part.column(1))):
+                    g.add(doc, place, s)
                     if g.total >= GATHER or len(g.docs) >= 100_000:
                         yield _table(g.sent(), _RUNS)
         yield _table(g.sent(), _RUNS)
 
     sent = docs.mapInArrow(send, RUNS)
     counted = sent.groupBy("frag").applyInArrow(lambda t: _counted(t, homes), RUNS)
-    return counted.groupBy("at").applyInArrow(lambda t: _assembled(t, fragments, percent), SETS)
+    return counted.groupBy("at").applyInArrow(lambda t: _assembled(t, percent), SETS)
 
 
 def _fragments(docs: DataFrame, text: str) -> int:
     least = min(24, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return min(1 << 20, max(least, plan_bytes(docs, text) // FRAGMENT_BYTES + 1))
+    return max(least, text_bytes(docs, text) // FRAGMENT_BYTES + 1)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -269,9 +291,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b (with na, nb and what else they carry) whose overlap is large enough: partial overlaps by fragment, summed."""
     def of_part(f: int):
-        return F.filter("kept", lambda x: F.pmod(x, F.lit(PARTS)) == f)
+        return F.slice("kept", F.get("cuts", F.lit(f)) + 1, F.get("cuts", F.lit(f + 1)) - F.get("cuts", F.lit(f)))
 
-    cut = sets.select("class", F.posexplode(F.array(*map(of_part, range(PARTS)))).alias("f", "seg"))
+    cut = sets.select("class", F.posexplode(F.array(*map(of_part, range(len(PIVOTS) + 1)))).alias("f", "seg")).where(F.size("seg") > 0)
     a = pairs.join(cut.select(F.col("class").alias("a"), "f", F.col("seg").alias("seg_a")), "a")
     both = a.join(cut.select(F.col("class").alias("b"), "f", F.col("seg").alias("seg_b")), ["b", "f"])
     part = both.select(*pairs.columns, F.size(F.array_intersect("seg_a", "seg_b")).alias("part"))
@@ -279,6 +301,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
+def confirmed(links: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The links a, b (with what else they carry) whose texts are similar n-gram by n-gram; each class is read in one of its texts."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    first = rows.join(ends, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "place")).alias("at")).select("class", F.col("at.doc_id").alias("_id"), F.col("at.place").alias("_place"))
+    found = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("place") == F.col("_place"))).groupBy("class").agg(F.first("text").alias("text"))
+
+    names = links.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("text_a", "text_b"))
+            good = [similar(x[k].as_py(), y[k].as_py(), percent=percent) for k in range(batch.num_rows)]
+            yield batch.select(names).filter(pa.array(good, pa.bool_()))
+
+    both = links.join(found.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select(*names, "text_a", "text_b").mapInArrow(run, links.schema)
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
     """Whether two holders of an n-gram can be similar if it is the first that they share: by their sizes, and by what follows it in both."""
     na, nb, ra, rb = (F.col(f"{x}.{y}") for y in ("n", "rest") for x in (a, b))
@@ -313,13 +353,15 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     Null and empty texts have no n-grams and are components of their own; null ids belong to
     the component of their text and get its smallest id (null if it has none). Repeated rows
     stay. Ties need no rule: links are symmetric. An empty table gives none; other columns
-    are not looked at.
+    are not looked at. A text is held whole by the task that reads it, and the two texts of a
+    link by the task that confirms it.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     found = scratch.save("sets", sets_of(docs, key, text, percent))
-    rows = found.where("kind = 'doc'").select("doc_id", "class", "n")
-    sets = found.where("kind = 'set'").select("class", "n", "kept")
+    rows = found.where("kind = 'doc'").select("doc_id", "place", "class", "n")
+    sets = found.where("kind = 'set'").select("class", "n", "kept", "cuts")
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), F.col(text).alias("text"))
     need = F.ceil(F.col("n") * percent / F.lit(100.0)).cast("int")
     held = F.size("kept")
     prefix = sets.select("class", "n", held.alias("held"), F.posexplode(F.slice("kept", F.lit(1), held - need + 1)).alias("pos", "token"))
@@ -331,7 +373,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
         # The first pivot has the fewest n-grams of its own: it is similar to most of a group of near copies.
         turn = F.struct(F.lit(0.0) if k else F.col("held") / F.col("n"), F.xxhash64("class", F.lit(k)))
         top = named.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by(side, turn).alias("p")).where("r0 <> r1")
-        lists = scratch.save(f"open-{k}", named.join(top.select("token", "p"), "token"))
+        top = scratch.save(f"top-{k}", top.select("token", "p"))  # written, so that Spark splits the list of a hot n-gram in the join
+        lists = scratch.save(f"open-{k}", named.join(top, "token"))
         if lists.isEmpty():
             break
         last = k == ROUNDS
@@ -341,7 +384,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
         else:
             drawn = q.where((F.col("p.root") != F.col("q.root")) & may_link("p", "q", percent))
         lists = lists.select("token", "class", "n", "rest", "held")
-        good = scratch.save(f"links-{k}", verified(pairs_of(drawn), sets, percent).select("a", "b", "ra", "rb"))
+        likely = scratch.save(f"likely-{k}", verified(pairs_of(drawn), sets, percent).select("a", "b", "ra", "rb"))
+        good = scratch.save(f"links-{k}", confirmed(likely, rows, texts, percent))
         links = good if links is None else links.unionByName(good)
         if last:
             break

@@ -6,7 +6,9 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from swayflow.llm import bpe, chat, common, jaccard, lm, mixing, mtree, quality, shards, urls, warc
 
@@ -33,6 +35,7 @@ def corpus():
 
 
 DOCS = corpus()
+TRAINS, HELD = (next(k for k in range(1000, 2000) if lm.held_out(k) == x) for x in (False, True))
 TYPE = "doc_id long, text string, n_words string, size string, class string"
 
 
@@ -46,12 +49,33 @@ def none(spark):
     return spark.createDataFrame([], TYPE)
 
 
-def test_word_numbers_tell_words_apart():
-    texts = [(t or "").encode() for _, t in DOCS]
-    h, n = common.word_numbers(texts)
-    words = [w for t in texts for w in t.lower().split()]
-    assert n.tolist() == [len(t.split()) for t in texts] and len(set(h.tolist())) == len(set(words))
-    assert len({(a, b) for a, b in zip(h.tolist(), words)}) == len(set(words))
+def test_words_are_told_apart_by_their_bytes():
+    texts = [(t or "") for _, t in DOCS] + ["", " a\x0bB\x1cc  ", "É é"]
+    words, index, n = common.words_in(pa.array([*texts, None]))
+    assert [words[k] for k in index] == [w for t in texts for w in t.encode().lower().split()] and n.tolist() == [len(t.encode().split()) for t in texts] + [0]
+    assert len(set(words)) == len(words) == len(set(common.word_hashes(words).tolist()))
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_collide_as_polynomials_do_not_link(spark):
+    # Any polynomial hash modulo 2**64 gives a Thue-Morse word of 1024 letters and its complement the same number.
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other), (3, word.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(df).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r["doc_id"]: r["n_known"] for r in lm.scored(df.where("doc_id < 3").withColumn("doc_id", F.when(F.col("doc_id") == 2, HELD).otherwise(TRAINS))).collect()} == {TRAINS: 2, HELD: 1}
+
+
+def test_links_are_confirmed_word_by_word():
+    base = prose(40).split()
+    assert jaccard.similar("A b", "a B") and not jaccard.similar("a b", "a b c") and not jaccard.similar("", "") and not jaccard.similar("a", None)
+    for cut in (1, 4, 8):
+        x, y = " ".join(base), " ".join(base[cut:])
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x.split(), y.split()))
+        assert jaccard.similar(x, y) == (100 * len(a & b) >= 75 * len(a | b))
 
 
 def test_quality_counts(docs, none):
@@ -140,32 +164,82 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), table).count() == 0 and urls.judge(df, table.limit(0)).where("verdict = 'allow'").count() == len(pages)
 
 
-def test_lm(docs, none):
-    got = {r["doc_id"]: r for r in lm.scored(docs).collect()}
-    tokens = {i: [w.lower() for w in (t or "").encode().split()] + [None] for i, t in DOCS}
-    train = [w for i, t in tokens.items() if not lm.held_out(i) for w in t]
-    n, v = len(train), len(set(train))
-    count = {w: train.count(w) for w in set(train)}
-    for i, t in tokens.items():
-        want = sum(math.log10((count.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        assert got[i]["train_tokens"] == n and abs(got[i]["base_score"] - want) < 1e-6 * max(1, -want)
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["held_out"]) == (len(t), sum(w in count for w in t), lm.held_out(i))
-        assert got[i]["score"] < 0
-    # Held-out copies are better predicted by the automaton than by the base.
+class Backoff:
+    """The model of lm, by dictionaries of n-grams and a formula that calls itself."""
+
+    def __init__(self, rows):
+        self.count, self.types = {}, set()
+        for i, t in rows:
+            if not lm.held_out(i):
+                seen = ["<s>", *tokens_of(t)]
+                self.types |= set(seen[1:])
+                for k in range(1, lm.ORDER + 1):
+                    for at in range(len(seen) - k + 1):
+                        g = tuple(seen[at : at + k])
+                        self.count[g] = self.count.get(g, 0) + 1
+        self.n = sum(c for g, c in self.count.items() if len(g) == 1 and g != ("<s>",))
+
+    def p(self, context, word):
+        if not context:
+            return (self.count.get((word,), 0) + 0.5) / (self.n + 0.5 * (len(self.types) + 1))
+        prior = lm.PRIOR[len(context) + 1]
+        return (self.count.get((*context, word), 0) + prior * self.p(context[1:], word)) / (self.count.get(context, 0) + prior)
+
+    def score(self, text):
+        seen = ["<s>", *tokens_of(text)]
+        return sum(math.log10(self.p(tuple(seen[max(0, k - lm.ORDER + 1) : k]), seen[k])) for k in range(1, len(seen)))
+
+
+def tokens_of(text):
+    return [*(text or "").encode().lower().split(), "</s>"]
+
+
+def test_lm(docs, none, monkeypatch):
+    model = Backoff(DOCS)
+    for block, size in ((lm.BLOCK_BYTES, lm.BUCKET_BYTES), (2000, 1000)):
+        monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+        monkeypatch.setattr(lm, "BUCKET_BYTES", size)
+        got = {r["doc_id"]: r for r in lm.scored(docs).collect()}
+        assert len(got) == len(DOCS)
+        for i, text in DOCS:
+            t, r = tokens_of(text), got[i]
+            base = sum(math.log10(model.p((), w)) for w in t)
+            assert (r["n_tokens"], r["n_known"], r["held_out"], r["train_tokens"]) == (len(t), sum((w,) in model.count for w in t), lm.held_out(i), model.n)
+            assert abs(r["base_score"] - base) < 1e-9 * max(1, -base) and abs(r["score"] - model.score(text)) < 1e-9 * max(1, -r["score"])
+    # A held-out copy of a text seen once is better predicted than by single words.
     held = [r for r in got.values() if r["held_out"] and r["n_tokens"] > 20]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert lm.scored(none).count() == 0
 
 
-def test_automaton_is_a_distribution(spark):
-    import pyarrow as pa
-
-    seen = [f"{a} {b}" for a in "abc" for b in "abc" for _ in range(ord(a) % 3 + 1)]
-    ids = [k for k in range(200) if not lm.held_out(k)][: len(seen)]
-    probes = [w for w in "abc"] + [""]
-    rows = [*zip(ids, seen)]
-    out = {r["text"]: r["score"] for r in lm.scored(spark.createDataFrame(rows + [(100000 + k, p) for k, p in enumerate(probes) if lm.held_out(100000 + k)], "doc_id long, text string")).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
-    assert all(s < 0 for s in out.values()) and pa is not None
+def test_lm_of_null_ids_repeated_rows_and_no_training_rows(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (TRAINS, "a b d"), (TRAINS, "a b d"), (HELD, None), (HELD, "a b c z"), (HELD, "a b c z")]
+    model = Backoff(rows)
+    out = [(r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(out, key=repr) == sorted(((i, len(tokens_of(t)), round(model.score(t), 9)) for i, t in rows), key=repr)
+    alone = lm.scored(spark.createDataFrame(rows[-1:], "doc_id long, text string")).collect()[0]
+    assert (alone["train_tokens"], alone["n_known"]) == (0, 0) and alone["score"] == alone["base_score"] == 5 * math.log10(0.5 / 0.5)
+
+
+def test_automaton_is_a_distribution():
+    # All words and one unknown word after every state: the weights of the ways there sum to 1.
+    rows = [(k, prose(12)) for k in range(40)]
+    block, words = lm.Block.of([i for i, _ in rows] + [HELD], pa.array([t for _, t in rows] + ["nowhere"], pa.large_string()), 4)
+    local = np.bincount(block.flat[block.trains], minlength=len(words))
+    block.named(np.arange(len(words)), local, np.ones(len(words), bool))
+    for _ in range(lm.ORDER - 1):
+        block.longer()
+        block.take(lm.coded(block.local[-1], True))
+    real = np.array([w != lm.START for w in words])
+    model = lm.Automaton(block, int(local[real].sum()), int((local[real] > 0).sum()))
+    read = np.flatnonzero(real)
+    seen = np.concatenate([np.ones(1, int), *block.total[1 : lm.ORDER]])
+    ends = np.concatenate([[-1], *block.tail[1 : lm.ORDER]]) == block.end
+    states = np.flatnonzero((seen > 0) & ~ends)  # nothing is read after an end
+    assert len(states) > 500
+    for s in states:
+        to, weight = model.step(np.full(len(read), s), read)
+        assert abs((10**weight).sum() - 1) < 1e-9 and (seen[to] > 0).all()
 
 
 def test_warc(spark):
