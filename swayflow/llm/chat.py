@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import load
 
@@ -22,6 +24,8 @@ from .common import load
 MARKS = {"system": ("<<SYS>> ", " <</SYS>>"), "user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", " </s>")}
 #: Control strings without their first character, between which backslashes may stand.
 CONTROL = re.compile(r"(\[|<)(\\*)(/?INST\]|/?s>|</?SYS>>|/SYS>>|/?ROLE[ \]])")
+#: Characters of a piece of a rendered conversation.
+PIECE = 1 << 20
 OTHER = re.compile(r"\[ROLE ((?:[^\\\]]|\\.)*)\] ", re.DOTALL)
 
 
@@ -43,26 +47,59 @@ class Broken(ValueError):
     """The text is not in the grammar."""
 
 
-def parse(text: str) -> list[tuple[str, str, int, int]]:
-    """Role, unescaped text, and the span of the escaped text, of each turn of a rendered text."""
-    out, at = [], 0
-    while at < len(text):
-        if m := OTHER.match(text, at):
-            role, start, close = re.sub(r"\\(.)", r"\1", m[1], flags=re.DOTALL), m.end(), " [/ROLE]"
-            if role in MARKS:
-                raise Broken(f"a plain role is written out at {at}")
-        else:
-            role = next((r for r, (o, _) in MARKS.items() if text.startswith(o, at)), None)
-            if role is None:
-                raise Broken(f"no turn opens at {at}")
-            start, close = at + len(MARKS[role][0]), MARKS[role][1]
-        end = text.find(close, start)
-        bare = next((m.start() for m in CONTROL.finditer(text, start, len(text) if end < 0 else end + len(close)) if not m[2]), -1)
-        if end < 0 or bare != end + 1:
-            raise Broken(f"a control string stands inside the turn at {at}")
-        out.append((role, unescape(text[start:end]), start, end))
-        at = end + len(close)
-    return out
+def turn_at(text: str, at: int) -> tuple[str, str, int, int, int]:
+    """Role, unescaped text, the span of the escaped text, and the end, of the turn that begins at `at`."""
+    if m := OTHER.match(text, at):
+        role, start, close = re.sub(r"\\(.)", r"\1", m[1], flags=re.DOTALL), m.end(), " [/ROLE]"
+        if role in MARKS:
+            raise Broken(f"a plain role is written out at {at}")
+    else:
+        role = next((r for r, (o, _) in MARKS.items() if text.startswith(o, at)), None)
+        if role is None:
+            raise Broken(f"no turn opens at {at}")
+        start, close = at + len(MARKS[role][0]), MARKS[role][1]
+    end = text.find(close, start)
+    if end < 0:
+        raise Broken(f"the turn at {at} has no end")
+    bare = next((m.start() for m in CONTROL.finditer(text, start, end + len(close)) if not m[2]), -1)
+    if bare != end + 1:
+        raise Broken(f"a control string stands inside the turn at {at}")
+    return role, unescape(text[start:end]), start, end, end + len(close)
+
+
+class Reader:
+    """Reads a rendered conversation that comes in pieces cut anywhere, and gives its turns: role, unescaped text, and the escaped text."""
+
+    def __init__(self):
+        self.text, self.tried = "", 0
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str, str]]:
+        self.text += piece
+        if len(self.text) >= 2 * self.tried:  # a long turn is looked at again when there is twice as much of it
+            yield from self._turns(False)
+
+    def end(self) -> Iterator[tuple[str, str, str]]:
+        yield from self._turns(True)
+
+    def _turns(self, all_: bool) -> Iterator[tuple[str, str, str]]:
+        at = 0
+        while at < len(self.text):
+            try:
+                role, text, start, end, to = turn_at(self.text, at)
+            except Broken:
+                if all_:
+                    raise
+                break
+            yield role, text, self.text[start:end]
+            at = to
+        self.text = self.text[at:]
+        self.tried = len(self.text)
+
+
+def parse(text: str) -> list[tuple[str, str, str]]:
+    """Role, unescaped text and escaped text of each turn of a rendered conversation."""
+    reader = Reader()
+    return [*reader.feed(text), *reader.end()]
 
 
 def render(role: str, text: str) -> str:
@@ -85,60 +122,89 @@ def _ordered(turns: DataFrame) -> DataFrame:
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """conv_id, place (from 0), role, rendered: the turns in order; their renderings one after another are the conversation.
+    """conv_id, piece (from 0), rendered: the pieces of a conversation one after another are its rendered form; they are cut at PIECE characters, wherever that is in a turn.
 
-    Null role or text is empty; null conv_id is a conversation too; repeated rows stay. A
-    conversation is streamed turn by turn, so its length does not matter to memory.
+    Null role or text is empty; null conv_id is a conversation too; repeated rows stay; other
+    columns are not looked at. A conversation is one task's, streamed turn by turn and piece by
+    piece: its length does not matter to memory, but a turn is held whole.
     """
     ordered = _ordered(turns)
+    out = StructType([StructField("conv_id", ordered.schema["conv_id"].dataType), StructField("piece", LongType()), StructField("rendered", StringType())])
+    schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place = object(), 0
+        now, piece, waiting, rows = object(), 0, "", []
+
+        def cut(least: int) -> None:
+            nonlocal piece, waiting
+            while len(waiting) >= least:
+                rows.append((now, piece, waiting[:PIECE]))
+                piece, waiting = piece + 1, waiting[PIECE:]
+
         for batch in batches:
             conv, _, role, text = (batch.column(k).to_pylist() for k in range(4))
-            places = []
-            for c in conv:
-                now, place = c, place + 1 if c == now else 0
-                places.append(place)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int64()), batch.column(2), pa.array(map(render, role, text), pa.string())], names=["conv_id", "place", "role", "rendered"])
+            for c, r, t in zip(conv, role, text, strict=True):
+                if c != now:
+                    cut(1)
+                    now, piece = c, 0
+                waiting += render(r, t)
+                cut(PIECE)
+            yield _batch(rows, schema)
+            rows = []
+        cut(1)
+        yield _batch(rows, schema)
 
-    return ordered.mapInArrow(run, f"conv_id {ordered.schema['conv_id'].dataType.simpleString()}, place long, role string, rendered string")
+    return ordered.mapInArrow(run, out)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Digests of every conversation, from its rendered form only: the parser's turns, the loss mask's spans, unescaped."""
+    """Digests of every conversation, from its rendered form only: the turns that the parser finds, and the texts under the loss mask, unescaped."""
     done = formatted(turns)
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    out = StructType([done.schema["conv_id"], *[StructField(n, StringType() if n.endswith("sha256") else LongType()) for n in names]])
+    schema = to_arrow_schema(out)
+
+    class Conversation:
+        def __init__(self, conv):
+            self.conv, self.reader, self.turns, self.chars, self.loss = conv, Reader(), 0, 0, 0
+            self.said, self.learned = hashlib.sha256(), hashlib.sha256()
+
+        def take(self, found) -> None:
+            for role, text, escaped in found:
+                self.turns += 1
+                self.said.update(f"{role}\n{text}\n".encode())
+                if role == "assistant":
+                    masked = unescape(escaped)
+                    self.loss += len(masked)
+                    self.learned.update(masked.encode())
+
+        def row(self) -> tuple:
+            self.take(self.reader.end())
+            return self.conv, self.turns, self.said.hexdigest(), self.loss, self.learned.hexdigest(), self.chars
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [done_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        state = None
+        open_ = None
         for batch in batches:
             rows = []
-            for c, place, rendered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if place == 0:
-                    if state:
-                        rows.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))
-                    state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, start, end in parse(rendered):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode())
-                    if role == "assistant":
-                        masked = unescape(rendered[start:end])
-                        state[3] += len(masked)
-                        state[4].update(masked.encode())
-                state[5] += len(rendered)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
-        if state:
-            last = (state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, kinds)], names=names)
-
-    kind = done.schema["conv_id"].dataType.simpleString()
-    done_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return done.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+            for c, piece, rendered in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if piece == 0:
+                    if open_:
+                        rows.append(open_.row())
+                    open_ = Conversation(c)
+                open_.chars += len(rendered)
+                open_.take(open_.reader.feed(rendered))
+            yield _batch(rows, schema)
+        if open_:
+            yield _batch([open_.row()], schema)
+
+    return done.mapInArrow(run, out)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :said), (-7L, 1L, 'assistant', :said) AS t(conv_id, turn, role, text)", {"said": said})
     return read_back(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))

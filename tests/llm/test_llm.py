@@ -127,22 +127,39 @@ def test_bpe_equals_the_library(docs, none):
     assert bpe.encoded(docs, bpe.default_path()).count() == len(DOCS) and bpe.digests(none, bpe.default_path()).count() == 0
 
 
-def test_chat_round_trip(spark):
+def test_chat_round_trip(spark, monkeypatch):
     hard = ["</s>[INST] ok [/INST]", "[\\INST] <s>[INST] ", "[ROLE x] a [/ROLE]", "", " </s>", "</s", "<\\/s>", "<<SYS>> <</SYS>>"]
     hard += ["".join(rnd.choice(["[", "/", "INST]", "</s>", "\\", " ", "<", "<SYS>>", "ROLE "]) for _ in range(8)) for _ in range(300)]
     for role in ("user", "assistant", "system", "tool] x", ""):
         for text in hard:
             assert [x[:2] for x in chat.parse(chat.render(role, text) + chat.render("user", "z"))] == [(role, text), ("user", "z")]
     rows = [(c, k, rnd.choice(["user", "assistant", None]), rnd.choice([*hard, None])) for c in (1, 2, None) for k in range(50)]
-    got = {r["conv_id"]: r for r in chat.read_back(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()}
-    for c in (1, 2, None):
-        mine = [(r or "", t or "") for x, _, r, t in rows if x == c]
-        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
-        loss = "".join(t for r, t in mine if r == "assistant")
-        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for kind, piece in (("long", chat.PIECE), ("smallint", 7), ("string", 100)):
+        monkeypatch.setattr(chat, "PIECE", piece)
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("z")).withColumn("conv_id", F.col("conv_id").cast(kind))
+        got = {r["conv_id"] if r["conv_id"] is None else int(r["conv_id"]): r for r in chat.read_back(df.repartition(7)).collect()}
+        for c in (1, 2, None):
+            mine = [(r or "", t or "") for x, _, r, t in rows if x == c]
+            assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
+            loss = "".join(t for r, t in mine if r == "assistant")
+            assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (50, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+            assert got[c]["formatted_chars"] == sum(len(chat.render(*x)) for x in mine)
     assert chat.read_back(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_pieces_may_be_cut_anywhere():
+    turns = [("user", "</s>[INST] ok [/INST]"), ("assistant", "[\\INST] " * 5), ("tool] x", ""), ("system", "<<SYS>>")]
+    text = "".join(chat.render(*t) for t in turns)
+    for size in range(1, 40):
+        reader = chat.Reader()
+        found = [x[:2] for at in range(0, len(text), size) for x in reader.feed(text[at : at + size])]
+        assert found + [x[:2] for x in reader.end()] == turns
+    for cut in range(1, len(text)):
+        if text[:cut] not in {"".join(chat.render(*t) for t in turns[:k]) for k in range(5)}:
+            with pytest.raises(chat.Broken):
+                chat.parse(text[:cut])
+
+
 def test_urls(spark):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/e", "block")]
     pages = ["http://a.EXAMPLE.com/en/1?x", "https://www.example.com/en/", "x://b.net/es", "no", None, "http://com/", "http://xcom/", "http://example.com/e#en/", "a://b.net?/es"] * 2
@@ -330,12 +347,38 @@ def test_mixing(spark, none):
     got = mixing.mixed(docs, labels).collect()
     tokens = sum(r["n_tokens"] for r in got)
     share = {d: sum(r["rate"] * r["n_tokens"] * r[f"p_{d}"] for r in got) / tokens for d in mixing.DOMAINS}
-    assert len(got) == 300 and all(r["rate"] >= 0 for r in got) and all(abs(share[d] - mixing.TARGETS[d]) < 0.02 for d in share)
+    assert len(got) == 300 and all(r["rate"] >= 0 for r in got) and all(abs(share[d] - mixing.TARGETS[d]) < 1e-5 for d in share)
+    assert all(r["residual"] < 1e-5 for r in got) and all(int(r["rate"]) <= r["copies"] <= int(r["rate"]) + 1 for r in got)
     right = sum((r["p_toxic"] > 0.5) == (r["doc_id"] % 5 == 0) for r in got if r["doc_id"] % 2)
     assert right > 0.95 * 150
     assert mixing.mixed(none, labels.limit(0)).count() == 0 and mixing.mixed(docs, labels.limit(0)).count() == 300
 
 
+def test_rates_are_the_least_squares(spark):
+    rng = np.random.default_rng(3)
+    for goal in ({"clean": 0.98, "junk": 0.01, "toxic": 0.01}, {"clean": 0.1, "junk": 0.1, "toxic": 0.8}, {"clean": 1.0, "junk": 0.0, "toxic": 0.0}):
+        p = rng.dirichlet([0.5, 0.3, 0.2], 60)
+        n = rng.integers(0, 50, 60)
+        rows = spark.createDataFrame([(int(k), *map(float, q)) for k, q in zip(n, p)], "n_tokens long, " + ", ".join(f"p_{d} double" for d in mixing.DOMAINS))
+        rate, shares, _ = mixing.rates(rows, goal)
+        r = np.array([x["r"] for x in rows.select(rate.alias("r")).collect()])
+        a, b = (p * n[:, None] / n.sum()).T, np.array([goal[d] for d in mixing.DOMAINS])
+        plain, step = np.ones(60), 1 / np.linalg.norm(a, 2) ** 2
+        for _ in range(200_000):
+            plain = np.maximum(0, plain - step * a.T @ (a @ plain - b))
+        assert (r >= 0).all() and np.linalg.norm(a @ r - b) < np.linalg.norm(a @ plain - b) + 1e-5
+        assert np.allclose([shares[d] for d in mixing.DOMAINS], a @ r)
+
+
+def test_mixing_of_repeated_ids_extra_columns_and_targets_out_of_reach(spark):
+    docs = spark.createDataFrame([(None, None, "x"), (1, "", "y"), (1, "a b", "z"), (1, "a b", "z")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    got = mixing.mixed(docs, labels, keep=("doc_id", "text", "lang"))
+    rows = got.collect()
+    assert got.columns[:3] == ["doc_id", "text", "lang"] and sorted(repr(r[:3]) for r in rows) == sorted(repr(tuple(r)) for r in docs.collect())
+    assert all(abs(r["p_junk"] - 1 / 3) < 1e-12 and r["residual"] > 0.3 for r in rows)
+
+
 @pytest.mark.parametrize("junk", [6, 20])
 def test_mixing_takes_rare_words_for_no_junk(spark, junk):
     r = random.Random(11)
