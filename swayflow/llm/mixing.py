@@ -1,18 +1,26 @@
 """Soft-membership mixing: domain posteriors from labelled rows, document rates by projected gradients.
 
-DataFrame operations only. The classifier is a naive Bayes model over the presence of words
-that tell the labelled domains apart, fitted on at most LABELLED labelled rows. A word's share in
-a domain is smoothed towards its share in all rows, so that missing from a few rows says little. Rates r >= 0
-minimise the squared distance of the expected token totals sum(r * tokens * p(domain)) from the
-targets, by gradient steps from r = 1, scaled per domain and projected to r >= 0. A step needs one
-row of totals; as all steps are linear in the posteriors, they stay one expression and no state is written.
+DataFrame operations only. The classifier adds up, over the words, the log-odds of a domain
+against the others given that the text has the word or has it not. They count as far as the
+labelled rows bear them out: they are multiplied by 1 - EVIDENCE / G, G being the
+log-likelihood ratio of the word's counts, and are 0 below it. All words of the labelled rows are
+looked at; their weights are one row, an array of small maps by the words' hash, in which each
+text looks up its own words, so that no text is exploded or shuffled.
+
+Rates r >= 0 minimise the squared distance of the expected token totals sum(r * tokens *
+p(domain)) from the targets, with a slight pull (RIDGE) to r = 1 that makes them unique. The
+gradient is summed per domain; each step scales it by the inverse of the domains' products over
+the rows that are not at 0, and projects every row's rate to r >= 0. A step needs one row of
+totals and the rates stay one short expression of the posteriors. It ends when the gradient is
+below TOLERANCE, and raises if that takes over MOST_STEPS steps.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, load, words_of
@@ -20,116 +28,156 @@ from .common import Scratch, load, words_of
 DOMAINS = ("clean", "junk", "toxic")
 #: Shares of all tokens that the mix is to have.
 TARGETS = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}
-#: Bounds of the classifier only: labelled rows it is fitted on, words it looks at, rows a word must be in within the domain it speaks for.
-LABELLED, LEXICON, LEAST_ROWS = 20_000, 128, 8
+#: Bounds of the classifier only: labelled rows it is fitted on, and bytes of their texts.
+LABELLED, LABELLED_BYTES = 20_000, 256 << 20
 #: A domain with fewer labelled rows can't be learned; it is left out, with its target.
 LEAST_LABELLED = 16
-STEPS = 12
+#: The log-likelihood ratio below which a word says nothing (16: four standard errors).
+EVIDENCE = 16.0
+RIDGE, TOLERANCE, MOST_STEPS = 1e-8, 1e-7, 60
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, domain, words of the labelled rows drawn by hash; labels of one id that differ: the worst counts."""
+def labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, domain, words of the labelled rows drawn by hash; labels of one id that differ: the worst counts; texts of one id that differ: one of them, by hash."""
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").otherwise("clean")
-    return docs.join(F.broadcast(drawn), "doc_id").select("doc_id", domain.alias("domain"), F.array_distinct(words_of(F.lower("text"))).alias("words"))
+    found = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", domain.alias("domain")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # at most LABELLED rows
+    found = scratch.save("labelled", found)
+    upto = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id")  # of at most LABELLED narrow rows
+    few = found.select("doc_id", F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(upto).alias("_b")).where(F.col("_b") <= LABELLED_BYTES).select("doc_id")
+    return found.join(F.broadcast(few), "doc_id").select("doc_id", "domain", F.array_distinct(words_of(F.lower("text"))).alias("words"))
 
 
-def classifier(sample: DataFrame) -> tuple[dict[str, float], dict[str, tuple[float, ...]]]:
-    """Bias of each domain (-inf: left out) and weights of at most LEXICON words; small by its bounds, so it is collected."""
+def classifier(sample: DataFrame, scratch: Scratch) -> tuple[dict[str, float], DataFrame | None]:
+    """Bias of each domain (-inf: left out), and word, w (a weight for each of DOMAINS) of the words that say something."""
     n = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     used = [d for d in DOMAINS if n.get(d, 0) >= LEAST_LABELLED]
-    if not used:
-        return dict.fromkeys(DOMAINS, 0.0), {}
+    if len(used) < 2:
+        return {d: 0.0 if not used or d in used else -math.inf for d in DOMAINS}, None
     rows = sum(n[d] for d in used)
     counts = sample.where(F.col("domain").isin(used)).select("domain", F.explode("words").alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in used])
     total = sum(F.col(d) for d in used)
 
-    def share(c, of: int, total):
-        # Half a row of the word more, and as many rows as hold half a one at the word's share in all rows.
-        return (c + 0.5) / (of + 0.5 * (rows + 1) / total)
-
-    # Weighted log-odds of each domain against the rest: large for frequent words that one domain owns.
-    odds = {d: F.log(share(F.col(d), n[d], total) / share(total - F.col(d), rows - n[d], total)) for d in used}
-    tell = F.greatest(F.lit(0.0), *[F.when(F.col(d) >= LEAST_ROWS, odds[d] * F.sqrt(F.least(F.col(d), F.lit(200)) + 1)) for d in used])
-    best = counts.withColumn("tell", tell).where("tell > 0").orderBy(F.desc("tell"), "word").limit(LEXICON).collect()
-    bias = {d: math.log(n[d] / rows) if d in used else -math.inf for d in DOMAINS}
-    weights = {}
-    for r in best:
-        held = sum(r[d] for d in used)
-        p = {d: share(r[d], n[d], held) for d in used}
-        for d in used:
-            bias[d] += math.log(1 - p[d])
-        weights[r["word"]] = tuple(math.log(p[d] / (1 - p[d])) if d in used else 0.0 for d in DOMAINS)
-    return bias, weights
-
-
-def posteriors(docs: DataFrame, bias: dict[str, float], weights: dict[str, tuple[float, ...]], text: str = "text") -> DataFrame:
-    """Adds n_tokens (words) and p_<domain> to every row."""
-    words = words_of(F.col(text))
-    out = docs.withColumn("_words", words).withColumn("n_tokens", F.size("_words").cast("long"))
-    if weights:
-        known = F.array(*[F.lit(w) for w in weights])
-        out = out.withColumn("_hits", F.array_intersect(known, F.transform("_words", F.lower)))
-        hits = F.col("_hits")
+    def weight(d: str) -> Column:
+        cells = [(F.col(d), n[d], total), (n[d] - F.col(d), n[d], rows - total), (total - F.col(d), rows - n[d], total), (rows - n[d] - total + F.col(d), rows - n[d], rows - total)]
+        ratio = 2 * sum((F.when(seen > 0, seen * F.log(seen * F.lit(float(rows)) / (F.lit(float(of)) * every))).otherwise(0.0) for seen, of, every in cells), F.lit(0.0))
+        a, b, c, e = (seen + 0.5 for seen, _, _ in cells)
+        borne_out = F.when(ratio > EVIDENCE, 1 - EVIDENCE / ratio).otherwise(0.0)
+        return F.array(F.log(a * e / (b * c)) * borne_out, F.log(b * (c + e) / (e * (a + b))) * borne_out)
+
+    words = counts.select("word", *[(weight(d) if d in used else F.array(F.lit(0.0), F.lit(0.0))).alias(f"_{d}") for d in DOMAINS])
+    words = words.select("word", *[F.array(*[F.get(f"_{d}", F.lit(k)) for d in DOMAINS]).alias(c) for k, c in enumerate(("w", "missing"))]).where(F.exists("w", lambda x: x != 0))
+    words = scratch.save("weights", words)
+    # What it says that a text has none of the words; a word that is there takes its part back.
+    none = words.agg(*[F.sum(F.get("missing", F.lit(k))).alias(d) for k, d in enumerate(DOMAINS)]).first()
+    return {d: math.log(n[d] / rows) + (none[d] or 0.0) if d in used else -math.inf for d in DOMAINS}, words.select("word", "w")
+
+
+def posteriors(docs: DataFrame, bias: dict[str, float], table: DataFrame | None, text: str = "text") -> DataFrame:
+    """Adds n_tokens (words) and p_<domain> to every row. table: see `tabled`."""
+    names = ["_words", "_hits", "_table", *[f"_{x}{k}" for x in "se" for k in range(len(DOMAINS))]]
+    out = docs.withColumn("_words", words_of(F.col(text))).withColumn("n_tokens", F.size("_words").cast("long"))
+    if table is None:
+        score = [F.lit(bias[d]) for d in DOMAINS]
+    else:
+        out = out.crossJoin(F.broadcast(table))  # one row
+
+        def weights_of(w: Column) -> Column:
+            return F.try_element_at(F.get("_table", F.pmod(F.xxhash64(w), F.size("_table")).cast("int")), w)
+
+        # Lowered as in `labelled`: the text as a whole, as a letter's lower form may depend on its neighbours.
+        out = out.withColumn("_hits", F.filter(F.transform(F.array_distinct(words_of(F.lower(F.col(text)))), weights_of), lambda x: x.isNotNull()))
 
         def summed(k: int) -> Column:
-            weight = F.create_map(*[F.lit(x) for w, v in weights.items() for x in (w, v[k])])
-            return F.aggregate(hits, F.lit(bias[DOMAINS[k]]), lambda a, w: a + F.element_at(weight, w))
+            return F.aggregate("_hits", F.lit(bias[DOMAINS[k]]), lambda a, w: a + F.get(w, F.lit(k)))
 
         score = [summed(k) for k in range(len(DOMAINS))]
-    else:
-        out = out.withColumn("_hits", F.lit(None))
-        score = [F.lit(bias[d]) for d in DOMAINS]
     out = out.withColumns({f"_s{k}": s for k, s in enumerate(score)})
     top = F.greatest(*[F.col(f"_s{k}") for k in range(len(DOMAINS))])
     out = out.withColumns({f"_e{k}": F.exp(F.col(f"_s{k}") - top) for k in range(len(DOMAINS))})
     total = sum(F.col(f"_e{k}") for k in range(len(DOMAINS)))
     out = out.withColumns({f"p_{d}": F.col(f"_e{k}") / total for k, d in enumerate(DOMAINS)})
-    return out.drop("_words", "_hits", *[f"_{x}{k}" for x in "se" for k in range(len(DOMAINS))])
+    return out.drop(*names)
+
 
+def tabled(words: DataFrame) -> DataFrame:
+    """One row, _table: the words' weights as an array of small maps, by hash. It has at most the words of LABELLED_BYTES of text."""
+    size = max(64, words.count())
+    maps = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(size)).alias("k")).agg(F.collect_list(F.struct("word", "w")).alias("m"))
+    every = words.sparkSession.range(size).withColumnRenamed("id", "k").join(maps, "k", "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: F.map_from_entries(x["m"])).alias("_table"))
 
-def rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS) -> tuple[Column, list[dict[str, float]]]:
-    """The rate of a row as one expression, and the shares of the expected totals after each step.
+
+def rates(rows: DataFrame, targets: dict[str, float]) -> tuple[Column, dict[str, float], int]:
+    """The rate of a row as one expression, the shares of the expected totals, and how many steps it took.
 
     rows: n_tokens and p_<domain>, written. Domains without tokens, as those left out, can't be met: the others share their targets.
     """
-    mass = {d: F.col("n_tokens") * F.col(f"p_{d}") for d in DOMAINS}
-    start = rows.agg(F.sum("n_tokens").alias("n"), *[F.sum(mass[d]).alias(d) for d in DOMAINS]).first()
+    start = rows.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
     n = start["n"] or 0
-    rate, seen = F.lit(1.0), []
-    if not n:
-        return rate, seen
-    have = {d: start[d] for d in DOMAINS}
-    met = sum(targets[d] for d in DOMAINS if start[d] > 1e-9 * n) / sum(targets[d] for d in DOMAINS)
-    targets = {d: targets[d] / met for d in DOMAINS} if met else targets
-    for _ in range(steps):
-        seen.append({d: have[d] / n for d in DOMAINS})
-        step = {d: (have[d] - targets[d] * n) / max(start[d], 1e-9 * n) for d in DOMAINS if start[d] > 1e-9 * n}
-        if all(abs(x) < 1e-9 for x in step.values()):
-            break
-        move = sum(F.col(f"p_{d}") * F.lit(x) for d, x in step.items())
-        rate = F.greatest(F.lit(0.0), rate - move)
-        have = rows.agg(*[F.sum(mass[d] * rate).alias(d) for d in DOMAINS]).first().asDict()
-    return rate, seen
-
-
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, p_<domain>, rate, copies of every row.
+    used = [d for d in DOMAINS if n and start[d] > 1e-9 * n]
+    if not used:
+        return F.lit(1.0), {}, 0
+    met = sum(targets[d] for d in used)
+    wanted = np.array([targets[d] / met if met else 1 / len(used) for d in used])
+
+    def rate(z: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum(F.col(f"p_{d}") * F.lit(float(x)) for d, x in zip(used, z)))
+
+    def sums(z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """What the steps raise, its gradient, the shares, and the products of the domains over the rows that are not at 0."""
+        mass = {d: F.col("n_tokens") * F.col(f"p_{d}") for d in used}
+        pairs = [(d, e) for k, d in enumerate(used) for e in used[k:]]
+        got = rows.withColumn("_r", rate(z)).agg(F.sum(F.col("n_tokens") * F.col("_r") * F.col("_r")).alias("_q"), *[F.sum(mass[d] * F.col("_r")).alias(d) for d in used], *[F.sum(F.when(F.col("_r") > 0, mass[d] * F.col(f"p_{e}")).otherwise(0.0)).alias(f"{d}*{e}") for d, e in pairs]).first()
+        have = np.array([got[d] / n for d in used])
+        products = np.array([[got[f"{d}*{e}"] if (d, e) in pairs else got[f"{e}*{d}"] for e in used] for d in used]) / n
+        return -got["_q"] / n / 2 - float(z @ wanted) - RIDGE / 2 * float(z @ z), have - wanted - RIDGE * z, have, products
+
+    z, steps = np.zeros(len(used)), 0
+    height, gradient, have, products = sums(z)
+    while np.abs(gradient).max() > TOLERANCE:
+        move, share = np.linalg.solve(products + RIDGE * np.eye(len(used)), gradient), 1.0
+        while True:
+            steps += 1
+            if steps > MOST_STEPS:
+                raise RuntimeError(f"rates have not converged: gradient {np.abs(gradient).max():.2g} after {MOST_STEPS} steps")
+            next_ = sums(z + share * move)
+            if next_[0] >= height + 1e-4 * share * float(gradient @ move) or np.abs(next_[1]).max() <= TOLERANCE:
+                break
+            share /= 4
+        z, (height, gradient, have, products) = z + share * move, next_
+    return rate(z), dict(zip(used, have.tolist())), steps
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, p_<domain>, rate, copies, residual of every row, after the columns named in `keep`.
 
     copies is the whole part of the rate, plus one with the chance of the rest by a hash of the
-    row. Null or empty texts have no tokens and the domains' prior; domains of fewer than LEAST_LABELLED
-    labelled rows have p 0 and no target, and where that holds for all, all are as likely. Rows without an id are never labelled. Repeated rows are rated alike. An empty
-    table gives none.
+    row, so repeated rows are rated and copied alike. residual: how far the farthest domain's share
+    of the expected tokens is from its target; 0 but for the ridge where the targets can be met.
+    Null or empty texts have no tokens and the domains' prior; domains of fewer than LEAST_LABELLED
+    labelled rows have p 0 and no target, and where that holds for all, all are as likely. Rows
+    without an id are never labelled. There are no ties to break. A text of any length is one row of
+    one task. An empty table gives none; columns that are not kept are not looked at, and kept ones
+    must not have the names above.
     """
-    docs = docs.select("doc_id", F.col(text).alias("text"))
-    bias, weights = classifier(labelled(docs, labels))
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = posteriors(docs.withColumn("_u", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))), bias, weights, "text").drop("text")
-    rows = scratch.save("rows", rows)
-    rate, _ = rates(rows, targets)
-    out = rows.withColumn("rate", rate)
-    return out.withColumn("copies", F.floor(F.col("rate") + F.col("_u")).cast("int")).select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies")
+    body = docs.select("doc_id", F.col(text).alias("text"))
+    bias, words = classifier(labelled(body, labels, scratch), scratch)
+    table = None if words is None else scratch.save("table", tabled(words))
+    draw = (F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("_u")
+    names = ["n_tokens", *[f"p_{d}" for d in DOMAINS]]
+    rows = scratch.save("rows", posteriors(body.select("doc_id", "text", draw), bias, table).select("doc_id", "_u", *names))
+    rate, shares, _ = rates(rows, targets)
+    met = sum(targets[d] for d in shares)
+    residual = max((abs(x - (targets[d] / met if met else 1 / len(shares))) for d, x in shares.items()), default=0.0)
+    if keep:
+        # The posteriors of a row are made again rather than joined, so that no text is shuffled.
+        others = [c for c in keep if c not in ("doc_id", text)]
+        rows = posteriors(docs.select("doc_id", F.col(text).alias("text"), *others).select("doc_id", "text", *others, draw), bias, table).withColumnRenamed("text", text)
+    out = rows.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("_u")).cast("int"))
+    return out.select(*dict.fromkeys([*keep, "doc_id", *names, "rate", "copies"]), F.lit(residual).alias("residual"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
