@@ -215,7 +215,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-def _words_sent(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
+def _words_sent(batches: Iterator[pa.RecordBatch], folder: str, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Packs rows into blocks, writes these, and sends their words with their training counts."""
     home, task, made = Folder(folder), TaskContext.get().partitionId(), 0
 
@@ -241,11 +241,11 @@ def _words_sent(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) ->
         at = 0
         while at < batch.num_rows:
             before = int(long_[at - 1]) if at else 0
-            to = min(int(np.searchsorted(long_, before + BLOCK_BYTES - size)) + 1, batch.num_rows)
+            to = min(int(np.searchsorted(long_, before + block_bytes - size)) + 1, batch.num_rows)
             waiting.append(batch.slice(at, to - at))
             size += int(long_[to - 1]) - before
             at = to
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield sent(waiting)
                 waiting, size = [], 0
     if waiting:
@@ -434,7 +434,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     buckets = max(least, text_bytes(docs, "text") // BUCKET_BYTES + 1)
     folder = f"{scratch.base}/blocks"
     Folder(folder).fs.create_dir(Folder(folder).base, recursive=True)
-    asked = docs.mapInArrow(lambda x: _words_sent(x, folder, buckets), ASK)
+    block_bytes = BLOCK_BYTES
+    asked = docs.mapInArrow(lambda x: _words_sent(x, folder, buckets, block_bytes), ASK)
     replies = scratch.save("words", asked.groupBy("bucket").applyInArrow(lambda t: _words_counted(t, buckets), REPLY))
     totals = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = totals["n"], totals["v"]
