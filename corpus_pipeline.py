@@ -12,27 +12,31 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that keep all rules."""
+    """Documents that keep all rules; null and empty texts keep none. Repeated rows are judged alike, each stays."""
     judged = quality.judged(docs.select(*COLUMNS))
     # A filter on `kept` itself would be pushed below the counts and repeat their expressions without end; one on a generated column stays above them.
     return judged.select(*COLUMNS, F.explode_outer(F.when(F.col("kept"), F.array(F.lit(1)))).alias("_k")).where("_k IS NOT NULL").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id; rows that repeat it stay."""
-    kept = jaccard.linked(docs).where(F.equal_null("doc_id", "component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of each group of near copies, the row with the smallest id (null last); texts that share an id are told apart, of rows that repeat id and text one stays.
+
+    Documents without words are near copies of none but rows that repeat them.
+    """
+    scratch = Scratch(spark, "near")
+    kept = scratch.save("kept", jaccard.linked(docs).where("first").groupBy(F.col("doc_id").alias("_id"), F.col("place").alias("_place")).agg(F.count("*").alias("_n")))
+    found = docs.select(*COLUMNS, F.xxhash64("text").alias("_text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_place")))
+    return found.where("_n = 1").select(*COLUMNS).unionByName(found.where("_n > 1").dropDuplicates(["_id", "_place"]).select(*COLUMNS))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix asks for."""
-    rows = mixing.mixed(docs, load(spark, sf_dir, "labels")).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    out = docs.select(*COLUMNS).join(rows.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    """As many copies of each document as the mix asks for; rows with equal ids and texts are rated alike."""
+    out = mixing.mixed(docs, load(spark, sf_dir, "labels"), keep=COLUMNS).where("copies > 0")
     return out.withColumn("_k", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents that are left."""
+    """Token counts and digests of the documents that are left, a row for each."""
     return bpe.digests(docs, bpe.default_path())
 
 
@@ -48,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage returns is written as Parquet and read again as the next one's documents."""
+    """All stages over `documents`; what a stage returns is written as Parquet and read again as the next one's documents.
+
+    Columns of documents beyond COLUMNS are not looked at. An empty table gives none.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = load(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
