@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, mixed, text_bytes, word_hashes, words_in
+from .common import Scratch, load, mixed, text_bytes, words_in
 
 ORDER = 4
 #: Weight of the shorter context, in counts, by the length of the n-gram.
 PRIOR = {2: 16.0, 3: 4.0, 4: 1.0}
 #: Text of a block and of a reducer's share, tokens of a lane.
-BLOCK_BYTES, BUCKET_BYTES, LANE = 4 << 20, 16 << 20, 256
+BLOCK_BYTES, BUCKET_BYTES, LANE = 4 << 20, 8 << 20, 256
 FOLDS, HELD_OUT = 5, 1
 #: The words before and after a text; white space, so no words of a text.
 START, END = b"\t", b"\n"
@@ -123,7 +123,7 @@ class Block:
         """A block of texts, and its words, which are ordered by bucket."""
         words, index, counts = words_in(texts)
         words += [START, END]
-        bucket = (word_hashes(words) % np.uint64(buckets)).astype(np.int64)
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
@@ -150,7 +150,7 @@ class Block:
         self.start, self.end = int(self.word[0]), int(self.word[self.size[0]])
         self.words = len(order)
         self.number = [np.zeros(len(self.flat), np.int64), self.word]
-        self.names: list = [None, numbers[order][:, None]]
+        self.numbers = numbers[order]
         self.first, self.last = [None, np.zeros(self.words, np.int64)], [None, np.zeros(self.words, np.int64)]
         self.tail = [None, np.arange(self.words)]
         self.local = [None, np.bincount(self.word[self.trains], minlength=self.words)]
@@ -171,18 +171,25 @@ class Block:
         self.first.append(first)
         self.last.append(last)
         self.tail.append(code % self.words)
-        self.names.append(np.concatenate([self.names[k - 1][first], self.names[1][code % self.words]], 1))
         self.local.append(np.bincount(here[self.trains[at]], minlength=len(code)))
 
+    def names(self, grams: np.ndarray) -> list[np.ndarray]:
+        """The global numbers of the words of some of the longest n-grams, a column for each place."""
+        out = []
+        for k in range(len(self.number) - 1, 0, -1):
+            out.append(self.numbers[self.tail[k][grams]])
+            grams = self.first[k][grams]
+        return out[::-1]
+
     def asked(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """The longest n-grams of which other blocks may know more, by bucket and then by their words; and where each bucket begins."""
         k = len(self.number) - 1
         own = self.alone[k - 1] | (self.total[k - 1] == 0)
         open_ = np.flatnonzero(~(own[self.first[k]] | own[self.last[k]]))
         h = np.zeros(len(open_), np.uint64)
-        for c in self.names[k][open_].T:
-            h = mixed(h + c.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        for c in self.names(open_):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64)
+        bucket = (mixed(h) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         return open_[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
@@ -261,7 +268,7 @@ def _words_counted(table: pa.Table, buckets: int) -> pa.Table:
     index, words = distinct.indices.to_numpy().astype(np.int64), distinct.dictionary.to_pylist()
     total = np.bincount(index, weights=np.concatenate([unpacked(r["counts"]) for r in rows]), minlength=len(words)).astype(np.int64)
     rank = np.empty(len(words), np.int64)
-    rank[sorted(range(len(words)), key=lambda k: (-total[k], words[k]))] = np.arange(len(words))
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(words))  # ties: the order of the blocks, which is fixed
     code = coded(total, np.bincount(index, minlength=len(words)) == 1)
     real = np.array([w != START for w in words])
     out, at = [], 0
@@ -327,7 +334,7 @@ def _grams_sent(table: pa.Table, folder: str, order: int, buckets: int) -> pa.Ta
     name, rows = table.column("block")[0].as_py(), []
     for b in np.flatnonzero(np.diff(bounds)):
         g = grams[bounds[b] : bounds[b + 1]]
-        first, *more = block.names[order][g].T
+        first, *more = block.names(g)
         rows.append((int(b), name, _joined([packed(np.diff(first, prepend=0)), *map(packed, more)]), packed(block.local[order][g])))
     # A block that has nothing to ask still gets a reply, so that it is not lost.
     rows.append((-1 - zlib.crc32(name.encode()) % buckets, name, _joined([packed(np.zeros(1, np.int64))] * order), packed(np.zeros(1, np.int64))))
@@ -397,9 +404,9 @@ class Automaton:
         return np.bincount(doc, weights=total, minlength=len(block.size))
 
 
-def _round(replies: DataFrame, folder: str, order: int, buckets: int) -> DataFrame:
-    """From the replies of one order to those of the next."""
-    asked = replies.groupBy("block").applyInArrow(lambda t: _grams_sent(t, folder, order, buckets), ASK)
+def _round(replies: DataFrame, folder: str, order: int, buckets: int, tasks: int) -> DataFrame:
+    """From the replies of one order to those of the next. tasks: of blocks, as their work does not show in the size of the replies."""
+    asked = replies.repartition(tasks, "block").groupBy("block").applyInArrow(lambda t: _grams_sent(t, folder, order, buckets), ASK)
     return asked.groupBy("bucket").applyInArrow(lambda t: _grams_counted(t), REPLY)
 
 
@@ -431,7 +438,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = scratch.save("docs", docs)  # a repeated task must see the same rows in the same order, as scans do
     least = min(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(least, text_bytes(docs, "text") // BUCKET_BYTES + 1)
+    size = text_bytes(docs, "text")
+    buckets, tasks = max(least, size // BUCKET_BYTES + 1), max(least, size // (8 * BLOCK_BYTES) + 1)
     folder = f"{scratch.base}/blocks"
     Folder(folder).fs.create_dir(Folder(folder).base, recursive=True)
     block_bytes = BLOCK_BYTES
@@ -440,8 +448,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     totals = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     n, v = totals["n"], totals["v"]
     for k in range(2, ORDER + 1):
-        replies = scratch.save(f"grams-{k}", _round(replies, folder, k, buckets))
-    return replies.groupBy("block").applyInArrow(lambda t: _scored(t, folder, buckets, n, v), SCORES)
+        replies = scratch.save(f"grams-{k}", _round(replies, folder, k, buckets, tasks))
+    return replies.repartition(tasks, "block").groupBy("block").applyInArrow(lambda t: _scored(t, folder, buckets, n, v), SCORES)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
