@@ -24,6 +24,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that df does not use."""
+    out = []
+    for n in names:
+        while n.lower() in {c.lower() for c in df.columns}:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or a folder of the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,11 +1,19 @@
-"""URL filters: host-suffix and path-prefix expressions, hash-prefix join, digest check, precedence."""
+"""URL filters: host-suffix and path-prefix expressions, hash-prefix join, digest check, precedence.
+
+A URL is expanded into the host suffixes and path prefixes that have the shape (labels of the host,
+length of the path) of some rule. The expressions meet the rules by the first four bytes of their
+digests; then the full digests, hosts and paths are compared, and the longest rule wins. While the
+rules are few enough to broadcast, they are one row, an array of small maps from short hash to rules,
+in which each page looks up its own expressions: no page is exploded, shuffled or grouped. Beyond
+that, the expressions of all distinct URLs are joined to the rules by short hash and salt.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import fresh, load
 
 #: Fixed values of the contract: host, path, verdict.
 RULES = (
@@ -30,49 +38,75 @@ def url_parts(url):
     return F.coalesce(F.translate(host, *LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def hashed(df: DataFrame, host: str, path: str) -> DataFrame:
-    """The full digest of an expression and its first four bytes."""
-    digest = F.sha2(F.concat(F.col(host), F.lit("\n"), F.col(path)), 256)
-    return df.withColumn("_digest", digest).withColumn("_short", F.substring("_digest", 1, 8))
+def digest_of(host, path):
+    return F.sha2(F.concat(host, F.lit("\n"), path), 256)
+
+
+def short_of(digest):
+    return F.substring(digest, 1, 8)
+
 
+def rank_of(host, path):
+    """Longest first, then the longer host."""
+    return F.struct(F.length(host) + F.length(path), F.length(host))
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """Adds host, path, rule and verdict to every row of `pages`.
 
-    rules: host, path, verdict. Only the shapes (labels of the host, length of the path) that
-    rules have are expanded, so a URL makes at most as many expressions as there are shapes.
-    The longest rule (host plus path) wins, then the longer host, then block. Equal urls are
-    judged once and the verdicts joined back, so one hot url or host is spread by Spark's
-    skew handling. Null urls, and urls no rule fits, get the default. Repeated rows are kept.
+def expressions(host, path, shapes):
+    """Array of h, p, digest: the host suffixes and path prefixes of a URL that have one of the shapes."""
+    labels = F.split(host, r"\.")
+    fit = F.filter(shapes, lambda s: (s["labels"] <= F.size(labels)) & (s["chars"] <= F.length(path)))
+    made = F.transform(fit, lambda s: F.struct(F.array_join(F.slice(labels, F.size(labels) - s["labels"] + 1, s["labels"]), ".").alias("h"), F.substring(path, F.lit(1), s["chars"]).alias("p")))
+    return F.transform(made, lambda e: F.struct(e["h"].alias("h"), e["p"].alias("p"), digest_of(e["h"], e["p"]).alias("digest")))
+
+
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+    """Adds host, path, rule and verdict to every row of `pages`; columns of these names are replaced, all others stay.
+
+    rules: host, path, verdict; rows with a null are no rules, of rules for the same host and path
+    block wins. The longest rule (host plus path) wins, then the longer host. Null urls, and urls no
+    rule fits, get the default. Repeated rows are kept and judged alike; long urls make no more
+    expressions than rules have shapes. An empty table gives none.
     """
-    rules = rules.select(F.translate("host", *LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).where("r_host is not null and r_path is not null and r_verdict is not null")
-    rules = rules.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))  # block > allow
-    shape = (F.size(F.split("r_host", r"\.")).alias("labels"), F.length("r_path").alias("chars"))
-    shapes = rules.select(*shape).groupBy("labels").agg(F.sort_array(F.collect_set("chars")).alias("chars")).orderBy("labels").collect()  # one row per label count
-    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    rules = rules.select(F.translate("host", *LOWER).alias("h"), F.col("path").alias("p"), F.col("verdict").alias("v")).where("h is not null and p is not null and v is not null")
+    rules = rules.groupBy("h", "p").agg(F.max("v").alias("v")).withColumn("digest", digest_of(F.col("h"), F.col("p")))  # block > allow
+    shape = F.struct(F.size(F.split("h", r"\.")).alias("labels"), F.length("p").alias("chars"))
+    shapes = rules.agg(F.collect_set(shape).alias("shapes"))  # one row
+    n = rules.limit(broadcast_rules + 1).count()
     host, path = url_parts(F.col(url))
-    urls = pages.select(F.col(url).alias("_url")).where("_url is not null").groupBy("_url").count().select("_url")
-    uhost, upath = url_parts(F.col("_url"))
-    parts = urls.select("_url", uhost.alias("_host"), upath.alias("_path"))
-    labels = F.size(F.split("_host", r"\."))
-    made = [F.when((labels >= r["labels"]) & (F.length("_path") >= c), F.struct(F.substring_index("_host", ".", -r["labels"]).alias("h"), F.substring("_path", 1, c).alias("p"))) for r in shapes for c in r["chars"]]
-    expr = F.array_compact(F.array(*made)) if made else F.array().cast("array<struct<h:string,p:string>>")
-    asked = hashed(parts.select("_url", F.explode(expr).alias("e")).select("_url", "e.h", "e.p"), "h", "p")
-    known = hashed(rules, "r_host", "r_path").withColumnRenamed("_digest", "_full")
-    if few:
-        hits = asked.join(F.broadcast(known), "_short")
+    own, best, table = fresh(pages, "_url", "_best", "_rules")
+    out = pages.withColumns({"host": host, "path": path})
+    if n <= broadcast_rules:
+        size = max(16, n)
+        maps = rules.groupBy(short_of(F.col("digest")).alias("short")).agg(F.collect_list(F.struct("h", "p", "v", "digest")).alias("of"))
+        maps = maps.groupBy(F.pmod(F.xxhash64("short"), F.lit(size)).alias("k")).agg(F.collect_list(F.struct("short", "of")).alias("m"))
+        every = pages.sparkSession.range(size).withColumnRenamed("id", "k").join(maps, "k", "left")
+        one = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: F.map_from_entries(x["m"])).alias("maps")).crossJoin(shapes).select(F.struct("maps", "shapes").alias(table))
+        out = out.crossJoin(F.broadcast(one))  # one row of at most BROADCAST_RULES rules
+
+        def rules_of(e):
+            short = short_of(e["digest"])
+            near = F.try_element_at(F.get(F.col(f"{table}.maps"), F.pmod(F.xxhash64(short), F.lit(size)).cast("int")), short)
+            return F.filter(near, lambda r: (r["digest"] == e["digest"]) & (r["h"] == e["h"]) & (r["p"] == e["p"]))
+
+        hits = F.flatten(F.filter(F.transform(expressions(F.col("host"), F.col("path"), F.col(f"{table}.shapes")), rules_of), lambda x: x.isNotNull()))
+        ranked = F.transform(hits, lambda r: F.struct(rank_of(r["h"], r["p"]).alias("rank"), r.alias("r")))
+        out = out.withColumn(best, F.when(F.col(url).isNotNull(), F.array_max(ranked)["r"]))
     else:
-        asked = asked.withColumn("_salt", F.pmod(F.xxhash64("_url"), F.lit(SALTS)))
-        hits = asked.join(known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["_short", "_salt"])
-    hits = hits.where((F.col("_digest") == F.col("_full")) & (F.col("h") == F.col("r_host")) & (F.col("p") == F.col("r_path")))
-    rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))
-    best = hits.groupBy("_url").agg(F.max_by(F.struct("r_host", "r_path", "r_verdict"), rank).alias("_best"))
-    out = pages.withColumns({"host": host, "path": path}).join(best, F.col(url) == F.col("_url"), "left")
-    return out.withColumns({"rule": F.concat("_best.r_host", "_best.r_path"), "verdict": F.coalesce("_best.r_verdict", F.lit(default))}).drop("_url", "_best")
+        urls = pages.select(F.col(url).alias("url")).where("url is not null").groupBy("url").count()
+        of_url = url_parts(F.col("url"))
+        asked = urls.select("url", of_url[0].alias("host"), of_url[1].alias("path")).crossJoin(F.broadcast(shapes))
+        asked = asked.select("url", F.explode(expressions(F.col("host"), F.col("path"), F.col("shapes"))).alias("e")).select("url", F.col("e.h").alias("eh"), F.col("e.p").alias("ep"), F.col("e.digest").alias("full"))
+        asked = asked.withColumns({"short": short_of(F.col("full")), "salt": F.pmod(F.xxhash64("url"), F.lit(SALTS))})
+        known = rules.withColumn("short", short_of(F.col("digest"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        hits = asked.join(known, ["short", "salt"]).where("full = digest AND eh = h AND ep = p")
+        found = hits.groupBy("url").agg(F.max_by(F.struct("h", "p", "v"), rank_of(F.col("h"), F.col("p"))).alias(best)).withColumnRenamed("url", own)
+        out = out.join(found, F.col(url) == F.col(own), "left").drop(own)
+    out = out.withColumns({"rule": F.concat(F.col(f"{best}.h"), F.col(f"{best}.p")), "verdict": F.coalesce(F.col(f"{best}.v"), F.lit(default))})
+    return out.drop(best, table)
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    rules = spark.sql("SELECT inline(array(" + ", ".join(f"struct('{h}' AS host, '{p}' AS path, '{v}' AS verdict)" for h, p, v in RULES) + "))")
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
