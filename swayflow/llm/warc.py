@@ -24,11 +24,11 @@ CHUNK = 1 << 20
 VERSION, CRLF = b"WARC/1.1", b"\r\n"
 
 
-def record(kind: str, name: str, url: str, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
-    """One WARC record. A revisit has no payload; its headers tell digest and size of the full one."""
+def record(kind: str, name: str, place: str, url: str, payload: bytes, digest: str, size: int, refers_to: str | None) -> bytes:
+    """One WARC record, with an id of its page and its place. A revisit has no payload; its headers tell digest and size of the full one."""
     body = b"" if kind == "revisit" else payload
     head = {
-        "WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date": "2020-01-01T00:00:00Z",
+        "WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {place}')}>", "WARC-Date": "2020-01-01T00:00:00Z",
         "WARC-Target-URI": "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in url), "WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": str(size), "X-Page-ID": name,
         "Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(body)),
     }
@@ -94,15 +94,18 @@ def gzipped(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def planned(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
+def planned(pages: DataFrame, scratch: Scratch, least: int = LEAST_PAYLOAD) -> DataFrame:
     """page_id, url, html, digest, size, refers_to of every row: which record is the response is found by digest, from narrow rows.
 
     Hashes are grouped with partial sums, so that a payload of a third of all pages is no hot
-    task; only the digests that occur more than once are joined back.
+    task. Only the digests that occur more than once are joined back; they are written first, so
+    that Spark knows their size (payloads are shuffled only if they are too many to broadcast) and
+    splits the rows of a hot digest.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("html"), F.sha2(body, 256).alias("digest"), F.length(body).cast("long").alias("size"))
     first = p.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = scratch.save("first", first)
     return p.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).drop("first")
 
 
@@ -124,11 +127,12 @@ def written(plan: DataFrame, folder: str) -> DataFrame:
                 if sink is None:
                     fs, base = _filesystem(folder)
                     fs.create_dir(base, recursive=True)
-                    path = f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+                    task = TaskContext.get().partitionId()
+                    path = f"{base}/{task:06d}-{uuid.uuid4().hex}.warc.gz"
                     sink = fs.open_output_stream(path, compression=None)
                     z = zlib.compressobj(6, zlib.DEFLATED, 31)
                 kind = "response" if r["refers_to"] is None else "revisit"
-                sink.write(z.compress(record(kind, json.dumps(r["page_id"]), r["url"], r["html"], r["digest"], r["size"], json.dumps(r["refers_to"]))))
+                sink.write(z.compress(record(kind, json.dumps(r["page_id"]), f"{task}/{n}", r["url"], r["html"], r["digest"], r["size"], json.dumps(r["refers_to"]))))
                 n += 1
         if sink is not None:
             sink.write(z.flush())
@@ -144,8 +148,9 @@ def normalised(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                fs, _ = _filesystem(r["root"])
-                to = r["path"].removesuffix(".warc.gz") + f".{uuid.uuid4().hex}.members.warc.gz"
+                fs, base = _filesystem(r["root"])
+                fs.create_dir(base, recursive=True)
+                to = f"{base}/" + r["path"].rsplit("/", 1)[1].removesuffix(".warc.gz") + f".{uuid.uuid4().hex}.members.warc.gz"
                 at = n = 0
                 with fs.open_input_stream(r["path"], compression=None) as source, fs.open_output_stream(to, compression=None) as sink, fs.open_output_stream(f"{to}.idx", compression=None) as index:
                     for fields, _, raw in records(inflated(source)):
@@ -155,12 +160,12 @@ def normalised(archives: DataFrame) -> DataFrame:
                         at, n = at + len(member), n + 1
                 if n != r["n"]:
                     raise ValueError(f"{r['path']} has {n} of {r['n']} records")
-                yield pa.RecordBatch.from_pydict({"path": [to], "n": [n], "old": [r["path"]]})
+                yield pa.RecordBatch.from_pydict({"path": [to], "n": [n]})
 
-    return archives.mapInArrow(run, ARCHIVES + ", old string")
+    return archives.mapInArrow(run, ARCHIVES)
 
 
-def read_back(archives: DataFrame, page_type: str = "long") -> DataFrame:
+def read_back(archives: DataFrame) -> DataFrame:
     """Every record of normalised archives, each member found through the index and inflated alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,28 +200,24 @@ def read_back(archives: DataFrame, page_type: str = "long") -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes, normalises and reads the archives of `pages` (page_id, url, html).
 
-    Null html or url is empty. Pages with a null id come last when a response is chosen; rows
-    that repeat the smallest id are responses too. An empty table makes no archive. Archives are
-    written where all executors see them, under names of their attempt's own: what a lost or
-    repeated task has left is never read. The monolithic form is deleted once normalised.
+    Null html or url is empty. Pages with a null id come last when a response is chosen; rows that
+    repeat the smallest id are responses too, with record ids of their own; there are no other ties.
+    A page of any size is held whole, one at a time; other columns are not looked at. An empty
+    table makes no archive. Archives are written where all executors see them, under names of their
+    attempt's own: what a lost or repeated task has left is never read. The monolithic form is
+    deleted once normalised.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    folder = f"{scratch.base}/archives"
-    plan = planned(pages.select(F.col("page_id").cast("long"), "url", "html"))
-    raw = scratch.save("raw", written(plan, folder))
-    root = F.lit(folder).alias("root")
+    plan = planned(pages.select(F.col("page_id").cast("long"), "url", "html"), scratch)
+    raw = scratch.save("raw", written(plan, f"{scratch.base}/archives"))
+    root = F.lit(f"{scratch.base}/members").alias("root")
     tasks = max(1, raw.count())
     done = scratch.save("done", normalised(raw.select("path", "n", root).repartition(tasks)))
-    _delete(spark, scratch, [r["old"] for r in done.select("old").toLocalIterator()])
+    scratch.drop("archives")
     return read_back(done.select("path", "n", root).repartition(tasks))
 
 
-def _delete(spark: SparkSession, scratch: Scratch, paths: list[str]) -> None:
-    for p in paths:
-        scratch.drop("archives/" + p.rsplit("/", 1)[1])
-
-
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(load(spark, sf_dir, "pages"))
 
