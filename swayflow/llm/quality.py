@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, words_of
+from .common import fresh, load, words_of
 
 #: Frequent function words of four languages.
 STOP_WORDS = (
@@ -26,17 +26,17 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rule:
-    """Keeps a row if low * den <= 1000 * num <= high * den; counted only from `least` words on."""
+    """Keeps a row if low * den <= 1000 * num <= high * den (no den: 1); counted only from `least` words on."""
 
     name: str
     num: str
-    den: str
+    den: str | None
     low: int | None = None
     high: int | None = None
     least: int = 0
 
     def broken(self) -> Column:
-        value, den = F.col(self.num) * 1000, F.col(self.den)
+        value, den = F.col(self.num) * 1000, F.lit(1) if self.den is None else F.col(self.den)
         out = F.lit(False)
         if self.low is not None:
             out = out | (value < den * self.low)
@@ -47,7 +47,7 @@ class Rule:
 
 #: Ratios in thousandths; the first two are the base rules.
 RULES = (
-    Rule("too_few_words", "n_words", "one", low=10_000),
+    Rule("too_few_words", "n_words", None, low=10_000),
     Rule("repeated_windows", "n_repeat_words", "n_words", high=200),
     Rule("word_length", "word_chars", "n_words", low=2_000, high=20_000),
     Rule("symbols", "n_symbols", "n_words", high=250),
@@ -58,11 +58,12 @@ BASE = ("too_few_words", "repeated_windows")
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts the rules speak of; null text counts as empty. Names of `docs` that clash are replaced."""
+    """Adds the counts the rules speak of; null text counts as empty. Columns of `docs` with the names of counts are replaced, all others stay."""
     n = 5
-    w, x = F.col("_words"), F.coalesce(F.col(text), F.lit(""))
+    words, lines, hashed, windows, found = fresh(docs, "_words", "_lines", "_hashes", "_windows", "_places")
+    w, x = F.col(words), F.coalesce(F.col(text), F.lit(""))
     line = F.filter(F.split(x, "\n"), lambda s: s.rlike(r"[^ \t-\r]"))
-    out = docs.withColumns({"_words": words_of(F.col(text)), "_lines": line})
+    out = docs.withColumns({words: words_of(F.col(text)), lines: line})
     last = F.size(w) - n
     none = F.array().cast("array<bigint>")
     hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))).otherwise(none)
@@ -70,42 +71,42 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": (F.length(x) - F.length(F.regexp_replace(x, SYMBOLS, ""))).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_stop_words": F.size(F.filter(w, lambda s: s.isin(*dict.fromkeys(STOP_WORDS)))).cast("long"),
-        "_hashes": hashes,
-        "one": F.lit(1).cast("long"),
+        hashed: hashes,
     })
     # Equal windows have equal hashes: with distinct hashes nothing repeats. Otherwise the windows themselves are sorted and compared.
-    again = F.size("_hashes") > F.size(F.array_distinct("_hashes"))
+    again = F.size(hashed) > F.size(F.array_distinct(hashed))
     window = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.array_join(F.slice(w, i + 1, n), " ").alias("w"), i.alias("i")))
-    out = out.withColumn("_windows", F.when(again, F.sort_array(window)))
-    s = F.col("_windows")
+    out = out.withColumn(windows, F.when(again, F.sort_array(window)))
+    s = F.col(windows)
 
     def at(j: Column) -> Column:
         return F.get(s, j)["w"]
 
     places = F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda j: F.when(F.equal_null(at(j), at(j - 1)) | F.equal_null(at(j), at(j + 1)), F.get(s, j)["i"]))
-    out = out.withColumn("_places", F.when(again, F.sort_array(F.array_compact(places))))
-    p = F.col("_places")
+    out = out.withColumn(found, F.when(again, F.sort_array(F.array_compact(places))))
+    p = F.col(found)
     m = F.size(p)
     steps = F.zip_with(F.slice(p, 1, F.greatest(m - 1, F.lit(0))), F.slice(p, 2, F.greatest(m - 1, F.lit(0))), lambda a, b: F.least(F.lit(n), b - a))
     covered = F.aggregate(steps, F.lit(n), lambda a, b: a + b)
-    return out.withColumn("n_repeat_words", F.when(again & (m > 0), covered).otherwise(0).cast("long")).drop("_words", "_lines", "_hashes", "_windows", "_places")
+    return out.withColumn("n_repeat_words", F.when(again & (m > 0), covered).otherwise(0).cast("long")).drop(words, lines, hashed, windows, found)
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """`measured` plus base_failed, kept and the names of the broken rules.
 
-    Null or empty texts have no words and fail the base. Repeated rows are judged alike, an
-    empty table gives none; other columns pass through.
+    Null or empty texts have no words and fail the base. Repeated rows are judged alike; there
+    are no ties; a text of any length is one row of one task; an empty table gives none. Columns
+    with the names of the results are replaced, all others pass through.
     """
     out = measured(docs, text)
     broken = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in rules]))
     out = out.withColumn("broken", broken)
     base = [r.broken() for r in rules if r.name in BASE]
     failed = base[0] | base[1] if len(base) == 2 else F.lit(False)
-    return out.withColumns({"base_failed": failed, "kept": F.size("broken") == 0}).drop("one")
+    return out.withColumns({"base_failed": failed, "kept": F.size("broken") == 0})
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
