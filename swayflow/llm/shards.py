@@ -58,6 +58,14 @@ def fitted(size: int, room: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def valued(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of numbers, as SQL values."""
+    fields = [f.split() for f in schema.split(", ")]
+    made = ", ".join("struct(" + ", ".join(f"CAST({x} AS {t}) AS `{n}`" for x, (n, t) in zip(r, fields)) + ")" for r in rows)
+    empty = "array<struct<" + ", ".join(f"`{n}`: {t}" for n, t in fields) + ">>"
+    return spark.sql(f"SELECT inline(CAST(array({made}) AS {empty}))")
+
+
 def packed(members: DataFrame, sizes: list[int], buckets: int, scratch: Scratch) -> DataFrame:
     """rid, shard of every member by its first group; groups whole where they fit."""
     spark, room = members.sparkSession, list(sizes)
@@ -90,10 +98,10 @@ def packed(members: DataFrame, sizes: list[int], buckets: int, scratch: Scratch)
         room[r["shard"]] -= r["n"]
     for r in line.where("shard < last").orderBy(F.desc("size"), "grp").collect():  # one per border at most
         place(r["grp"], r["size"])
-    known = F.broadcast(spark.createDataFrame(pieces, "grp long, to_shard int, from long, to long"))
     split = {p[0] for p in pieces if p[2]}
-    whole = F.broadcast(spark.createDataFrame([p[:2] for p in pieces if p[0] not in split], "grp long, shard int"))
-    parts = F.broadcast(spark.createDataFrame([(g,) for g in split], "grp long"))
+    known = F.broadcast(valued(spark, pieces, "grp bigint, to_shard int, from bigint, to bigint"))
+    whole = F.broadcast(valued(spark, [p[:2] for p in pieces if p[0] not in split], "grp bigint, shard int"))
+    parts = F.broadcast(valued(spark, [(g,) for g in split], "grp bigint"))
     # Rows of the groups placed on the driver meet them by broadcast: a large group is dealt to no single task.
     numbers = numbered(first.join(parts, "grp"), "grp", "at", [F.col("rid")], buckets)
     of_parts = numbers.join(known, "grp").where((F.col("at") >= F.col("from")) & (F.col("at") < F.col("to"))).select("rid", F.col("to_shard").alias("shard"))
@@ -103,11 +111,19 @@ def packed(members: DataFrame, sizes: list[int], buckets: int, scratch: Scratch)
     return of_parts.unionByName(of_whole).unionByName(of_small)
 
 
+def met(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """rows joined to a table of groups: those of hot groups (at most SHARDS * PART) by broadcast, so that no task gets a whole hot group; the others by shuffle."""
+    few = F.broadcast(hot)
+    by_broadcast = rows.join(few, "grp", "left_semi").join(F.broadcast(table.join(few, "grp", "left_semi")), on)
+    return by_broadcast.unionByName(rows.join(few, "grp", "left_anti").join(table.join(few, "grp", "left_anti"), on))
+
+
 def propagated(members: DataFrame, sizes: list[int], buckets: int, scratch: Scratch) -> DataFrame:
     """members: rid, grp (a row may be in several groups). Returns rid, shard; no shard gets much more than its size (rest: see `balanced`)."""
     shards, capacity = len(sizes), max(1, min(sizes))
     state = scratch.save("state-0", packed(members, sizes, buckets, scratch))
     spark = members.sparkSession
+    hot = scratch.save("hot", members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > capacity // PART).select("grp"))
     for k in range(shards + EXTRA_ROUNDS):
         held = members.join(state, "rid").groupBy("grp", "shard").agg(F.count("*").alias("c"))
         held = scratch.save(f"held-{k}", held)
@@ -115,12 +131,12 @@ def propagated(members: DataFrame, sizes: list[int], buckets: int, scratch: Scra
         room = spark.range(shards).select(F.col("id").cast("int").alias("shard")).join(state.groupBy("shard").agg(F.count("*").alias("n")), "shard", "left").select("shard", F.greatest(F.lit(capacity) - F.coalesce("n", F.lit(0)), F.lit(0)).alias("room"))
         pick = F.struct("c", F.xxhash64("grp", "shard"))
         best = held.join(F.broadcast(room), "shard").where("room > 0").groupBy("grp").agg(F.max_by("shard", pick).alias("goal"), F.max("c").alias("goal_c"))
-        best = scratch.save(f"best-{k}", best)  # written, so that Spark splits a hot group's rows in the join below
-        here = members.join(state, "rid").join(best, "grp")
+        best = scratch.save(f"best-{k}", best)
+        here = met(members.join(state, "rid"), best, ["grp"], hot)
         votes = here.groupBy("rid", "shard", "goal").agg(F.sum("goal_c").alias("gain"))
         want = votes.groupBy("rid", "shard").agg(F.max_by("goal", F.struct("gain", F.xxhash64("rid", "goal"))).alias("goal"), F.max("gain").alias("gain"))
         # A row leaves only for a shard that holds more of its groups than its own does (ties: from a full shard always, else by hash, the same for a whole group).
-        own = members.join(state, "rid").join(held, ["grp", "shard"]).groupBy("rid").agg(F.sum("c").alias("own"), F.min("grp").alias("grp"))
+        own = met(members.join(state, "rid"), held, ["grp", "shard"], hot).groupBy("rid").agg(F.sum("c").alias("own"), F.min("grp").alias("grp"))
         worth = (F.col("gain") > F.col("own")) | ((F.col("gain") == F.col("own")) & ((F.col("room") == 0) | (F.xxhash64("grp", F.col("goal")) > F.xxhash64("grp", F.col("shard")))))
         moves = want.join(own, "rid").join(F.broadcast(room), "shard").where((F.col("goal") != F.col("shard")) & worth).select("rid", "goal", F.floor(F.log2(F.col("gain") + 1) * 4).cast("int").alias("level"))
         moves = scratch.save(f"moves-{k}", moves)
