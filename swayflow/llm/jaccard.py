@@ -348,7 +348,10 @@ def merged(roots: DataFrame | None, links: DataFrame, scratch: Scratch, k: int)
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class, component_id of every row.
+    """doc_id, n_shingles, class, component_id, place, first of every row.
+
+    place is a hash of the text. first tells the one row, by id (null last) and place, that stands
+    for its component; rows that repeat both are alike.
 
     Null and empty texts have no n-grams and are components of their own; null ids belong to
     the component of their text and get its smallest id (null if it has none). Repeated rows
@@ -408,10 +411,14 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
             of_class = now(of_class, "class", "root").join(stars, "root", "left").select("class", "low", F.coalesce("to", "root").alias("root"))
         else:
             of_class = now(of_class, "class", "root")
-    of_root = of_class.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_class = of_class.join(of_root, "root").select("class", "component_id")
-    out = real.join(of_class, "class").unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class", "component_id")
+    # Of each component the smallest id, and the first row: by id (null last), then by place.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
+    of_class = of_class.join(real.groupBy("class").agg(F.min(order).alias("head")), "class")
+    of_root = of_class.groupBy("root").agg(F.min("low").alias("component_id"), F.min("head").alias("head"))
+    of_class = of_class.join(of_root.withColumnRenamed("head", "of_root"), "root").select("class", "component_id", F.col("of_root").alias("head"))
+    out = real.join(of_class, "class").withColumn("first", F.equal_null(order, "head")).drop("head")
+    out = out.unionByName(rows.where("n = 0").withColumns({"component_id": F.col("doc_id"), "first": F.lit(True)}))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class", "component_id", "place", "first")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

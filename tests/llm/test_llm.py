@@ -79,7 +79,9 @@ def test_links_are_confirmed_word_by_word():
 
 
 def test_quality_counts(docs, none):
-    got = {r["doc_id"]: r for r in quality.judged(docs).collect()}
+    judged = quality.judged(docs.withColumns({"one": F.lit(7), "_words": F.lit(8), "_lines": F.lit(9)}))
+    got = {r["doc_id"]: r for r in judged.collect()}
+    assert {(r["one"], r["_words"], r["_lines"], r["size"], r["class"]) for r in got.values()} == {(7, 8, 9, "y", "z")}
     for i, t in DOCS:
         w = (t or "").split()
         seen = {}
@@ -175,9 +177,14 @@ def test_urls(spark):
         fit = [(len(h + p), len(h), h + p) for h, p, _ in rules if (host.lower() == h or host.lower().endswith("." + h)) and path.startswith(p)]
         return max(fit)[2] if fit else None
 
-    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
-    table = spark.createDataFrame(rules, "host string, path string, verdict string")
-    assert {r["page_id"]: r["rule"] for r in urls.judge(df, table).collect()} == {k: judged(u) for k, u in enumerate(pages)}
+    df = spark.createDataFrame([(k, u, "own", "x") for k, u in enumerate(pages)], "page_id long, url string, _url string, host string")
+    more = [("h%d.example.com" % k, "/p%d/" % (k % 7), "block") for k in range(40)] + [("com", "/", "allow"), (None, "/", "block")]
+    table = spark.createDataFrame(rules + more, "host string, path string, verdict string")
+    for few in (urls.BROADCAST_RULES, 3):
+        got = urls.judge(df, table, broadcast_rules=few)
+        assert set(got.columns) == {"page_id", "url", "_url", "host", "path", "rule", "verdict"}
+        rows = got.collect()
+        assert {r["page_id"]: r["rule"] for r in rows} == {k: judged(u) for k, u in enumerate(pages)} and all(r["_url"] == "own" for r in rows) and len(rows) == len(pages)
     assert urls.judge(df.limit(0), table).count() == 0 and urls.judge(df, table.limit(0)).where("verdict = 'allow'").count() == len(pages)
 
 
@@ -398,15 +405,52 @@ def test_mixing_takes_rare_words_for_no_junk(spark, junk):
     assert all(got[k]["p_junk"] > 0.5 if junk >= mixing.LEAST_LABELLED else got[k]["p_junk"] == 0 for k in range(len(short), len(short) + junk))
 
 
-def test_pipeline_keeps_clean_documents(spark, tmp_path):
+def written(spark, folder, rows, labels):
+    """documents with an extra column, and labels."""
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.withColumn("copies", F.lit(99)).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
 
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
     stop = ["the", "of", "and", "to", "in"]
-    clean = {k: " ".join(rnd.choice(stop) if j % 3 == 0 else f"u{rnd.randrange(10**6)}" for j in range(60)) for k in range(40)}
-    rows = [(k, t) for k, t in clean.items()] + [(100 + k, clean[k]) for k in range(10)] + [(200, "### " * 50), (201, "a a")]
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= set(clean)
-    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality_rules(spark, d, str(tmp_path)), str(tmp_path))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(clean)
+    clean = {k: " ".join(rnd.choice(stop) if j % 3 == 0 else f"u{rnd.randrange(10**6)}" for j in range(60)) for k in range(80)}
+    foul = {300 + k: " ".join(rnd.choice(stop) if j % 3 == 0 else f"u{rnd.randrange(10**6)}" for j in range(60)) + " awful" for k in range(30)}
+    near = {100 + k: clean[k] + " end" for k in range(10)}
+    rows = [*clean.items(), *foul.items(), *near.items(), (None, clean[3]), (4, clean[5]), (200, "### " * 50), (201, "a a"), (202, None), (203, ""), (7, clean[7])]
+    written(spark, tmp_path, rows, [(k, 1, 0) for k in range(80)] + [(k, 1, 1) for k in foul] + [(None, 0, 1)])
+    d = str(tmp_path)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    ruled = corpus_pipeline.quality_rules(spark, docs, d)
+    want = [r for r in rows if r[1] and len(r[1].split()) >= 10 and "#" not in r[1]]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in ruled.collect()))) == sorted(map(repr, want))
+    alone = corpus_pipeline.near_duplicates(spark, ruled, d)
+    want = [*clean.items(), *foul.items()]
+    # Of 4, 5 and the copy (4, text of 5) the last is the first row of the group of 5.
+    want = [w for w in want if w[0] != 5] + [(4, clean[5])]
+    assert sorted((r["doc_id"], r["text"]) for r in alone.collect()) == sorted(want) and alone.columns == list(corpus_pipeline.COLUMNS)
+    copies = {(r["doc_id"], r["text"]): r["copies"] for r in mixing.mixed(alone, spark.read.parquet(f"{d}/labels.parquet"), keep=("doc_id", "text")).collect()}
+    mixed = corpus_pipeline.mixed_sources(spark, alone, d)
+    assert sorted((r["doc_id"], r["text"]) for r in mixed.collect()) == sorted(w for w in want for _ in range(copies[w]))
+    assert sum(copies[w] for w in want if w[0] >= 300) < 30 <= 80 <= sum(copies[w] for w in want if w[0] < 300)
+    got = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, d).collect())
+
+    def encoded(i, text):
+        ids = library.encode(text, add_special_tokens=False).ids
+        return i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+    assert got == sorted(encoded(*w) for w in want for _ in range(copies[w]))
+
+
+def test_pipeline_of_no_documents_and_of_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = (" ".join(["the"] * 3 + [f"{x}{k}" for k in range(40)]) for x in "ab")
+    docs = spark.createDataFrame([(3, a), (7, a), (7, b), (7, b), (None, None), (None, None)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))) == sorted(map(repr, [(3, a), (7, b), (None, None)]))
+    written(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
