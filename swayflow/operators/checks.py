@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import along, ratio, runs
+from ..model import HUMAN_FLOOR_MM_S, along, ratio, runs
+from . import kernels
 
 FINDING = "id, check, severity, message"
 
@@ -31,16 +33,21 @@ def finite_fraction(df: DataFrame, least: float = 0.8) -> DataFrame:
     return finding(m, F.col("f") < least, "finite_fraction", F.when(F.col("f") == 0, "error").otherwise("warning"), F.format_string("%.3f of the samples are there", "f"))
 
 
+def findings(df: DataFrame, cases: list[tuple[Column, str, str | Column, Column]]) -> DataFrame:
+    """A finding row for each case (when, check, severity, message) that holds of a row; one pass over df."""
+    made = [F.when(when, F.struct(F.lit(check).alias("check"), (F.lit(sev) if isinstance(sev, str) else sev).alias("severity"), message.alias("message"))) for when, check, sev, message in cases]
+    return df.select(F.col("id").cast("string").alias("id"), F.explode(F.array_compact(F.array(*made))).alias("f")).select("id", "f.check", "f.severity", "f.message")
+
+
 def timestamps(df: DataFrame) -> DataFrame:
     d = df.withColumn("dt", F.col("t") - F.lag("t").over(along()))
     m = d.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("dt") < 0).alias("back"), F.count_if(F.col("dt") == 0).alias("same"), F.max("dt").alias("gap"), F.median(F.when(F.col("dt") > 0, F.col("dt"))).alias("mid"))
-    parts = [
-        finding(m, F.col("n") < 2, "timestamps", "error", F.lit("fewer than two stamps")),
-        finding(m, F.col("back") > 0, "timestamps", "error", F.format_string("%d stamps go back", "back")),
-        finding(m, F.col("same") > 0, "timestamps", "warning", F.format_string("%d stamps repeat", "same")),
-        finding(m, F.col("gap") > 20 * F.col("mid"), "timestamps", "warning", F.lit("a gap is over 20 times the usual step")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return findings(m, [
+        (F.col("n") < 2, "timestamps", "error", F.lit("fewer than two stamps")),
+        (F.col("back") > 0, "timestamps", "error", F.format_string("%d stamps go back", "back")),
+        (F.col("same") > 0, "timestamps", "warning", F.format_string("%d stamps repeat", "same")),
+        (F.col("gap") > 20 * F.col("mid"), "timestamps", "warning", F.lit("a gap is over 20 times the usual step")),
+    ])
 
 
 def rate_agreement(df: DataFrame, documented_hz: float, tolerance: float = 0.02) -> DataFrame:
@@ -89,8 +96,7 @@ def edge_levels(df: DataFrame, fs: float, edge_s: float = 10.0, baseline_s: tupl
 
 def edge_motion(df: DataFrame, fs: float, factor: float = 2.0, **kw) -> DataFrame:
     m = edge_levels(df, fs, **kw)
-    parts = [finding(m, F.col(e) > factor * F.col("base"), "edge_motion", "warning", F.lit(f"the {e} moves more than the baseline")) for e in ("head", "tail")]
-    return parts[0].unionByName(parts[1])
+    return findings(m, [(F.col(e) > factor * F.col("base"), "edge_motion", "warning", F.lit(f"the {e} moves more than the baseline")) for e in ("head", "tail")])
 
 
 def settling_time(df: DataFrame, fs: float, baseline_s=(60.0, 300.0), factor=1.5, window_s=5.0, max_s=120.0) -> DataFrame:
@@ -113,10 +119,40 @@ def duplicate_contents(files: DataFrame) -> DataFrame:
     return finding(many, F.lit(True), "duplicate_files", "error", F.format_string("%d files have the same content", "n"))
 
 
-def validate_series(df: DataFrame, documented_hz: float | None = None) -> DataFrame:
-    parts = [frame_count(df), finite_fraction(df), held_samples(df), timestamps(df)]
-    if documented_hz:
-        parts.append(rate_agreement(df, documented_hz))
+def marker_noise(series: DataFrame, fs: float, max_ratio: float = 5.0) -> DataFrame:
+    """Markers whose raw path is far longer than their motion within the band (an error), or whose gaps leave nothing to check (a warning). series: id, x, y, z in mm."""
+    kernel = _position_kernel(lambda p: kernels.marker_noise(p, fs, max_ratio))
+    m = kernels.apply(series, kernel, ["x", "y", "z"], "ratio double, noisy boolean, unchecked boolean, n_used long")
+    return findings(m, [
+        (F.col("noisy"), "marker_noise", "error", F.format_string("the raw path is %.1f times the motion within the band, over %d samples", "ratio", "n_used")),
+        (F.col("unchecked"), "marker_noise", "warning", F.lit("gaps leave no run of 50 samples: the marker is unchecked")),
+    ])
+
+
+def too_still(series: DataFrame, fs: float, floor: float = HUMAN_FLOOR_MM_S) -> DataFrame:
+    """Markers that move less than a body does: equipment. series: id, x, y, z in mm."""
+
+    def still(p):
+        p = p[np.isfinite(p).all(1)]
+        return {"speed": kernels.qom(p, fs, kind="position")["median"]} if len(p) >= 50 else {}
+
+    m = kernels.apply(series, _position_kernel(still), ["x", "y", "z"], "speed double")
+    return findings(m, [(F.col("speed") < floor, "too_still", "error", F.format_string("the median speed of %.3f mm/s is no body's", "speed"))])
+
+
+def _position_kernel(f):
+    return lambda x, y, z: f(np.column_stack([x, y, z]))
+
+
+def validate_series(df: DataFrame, documented_hz: float | None = None, least: float = 0.8, expect_positions: bool = True) -> DataFrame:
+    """All checks of a table id, i, v (and t: the clock; x, y, z: positions); those are left out whose columns it lacks."""
+    parts = [frame_count(df), finite_fraction(df, least), held_samples(df)]
+    if expect_positions and {"x", "y", "z"} <= set(df.columns):
+        parts.append(zero_triplets(df))
+    if "t" in df.columns:
+        parts.append(timestamps(df))
+        if documented_hz:
+            parts.append(rate_agreement(df, documented_hz))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -124,10 +160,8 @@ def errors(findings: DataFrame) -> DataFrame:
     return findings.where("severity = 'error'")
 
 
-def raise_on_error(findings: DataFrame, show: int = 100) -> None:
-    """One ValueError for all errors; the first `show` are named, the rest counted."""
-    bad = errors(findings)
-    n = bad.count()
-    if n:
-        rows = bad.orderBy("id", "check", "message").limit(show).collect()
-        raise ValueError(f"{n} errors:\n" + "\n".join(f"[{r['severity']}] {r['id']}: {r['check']} — {r['message']}" for r in rows))
+def raise_on_error(findings: DataFrame) -> None:
+    """One ValueError that lists all errors; they are read in parts, so the message is all that the driver holds."""
+    lines = [f"[{r['severity']}] {r['id']}: {r['check']} — {r['message']}" for r in errors(findings).orderBy("id", "check", "message").toLocalIterator()]
+    if lines:
+        raise ValueError(f"{len(lines)} errors:\n" + "\n".join(lines))

@@ -11,6 +11,21 @@ from ..functions import stats
 from ..model import along, pearson, ratio
 
 
+#: Chebyshev coefficients of the complementary error function (fractional error below 1.2e-7).
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_tail(z: Column) -> Column:
+    """The chance that a standard normal value is above z."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    poly = F.lit(ERFC[-1])
+    for c in ERFC[-2::-1]:
+        poly = poly * t + c
+    half = t * F.exp(poly - x * x) / 2
+    return F.when(z >= 0, half).otherwise(1 - half)
+
+
 def path_length(df: DataFrame, fs: float) -> DataFrame:
     """Summed steps and path per second of the rows without gaps."""
     d = df.where("x is not null and y is not null")
@@ -61,19 +76,46 @@ def dispersion_radius(df: DataFrame, quantile: float = 0.95) -> DataFrame:
     return d.groupBy("id").agg(F.percentile("_r", F.lit(quantile)).alias("radius"))
 
 
-def spatial_extent(df: DataFrame, window: int, conf: float = 0.95) -> DataFrame:
-    """Three-axis dispersion, ellipsoid volume and its cube root, mean dispersion within full windows, and drift ratio; null below max(window, 5) rows."""
-    d = df.where("x is not null and y is not null and z is not null")
+def sway_orientation(df: DataFrame) -> DataFrame:
+    """angle_deg (0 to 180) of the first axis and anisotropy (ratio of the axes' deviations); null below three rows or where the rows lie on a line."""
+    g = sway_geometry(df)
+    good = (F.col("n") >= 3) & (F.col("sd_minor") > 0)
+    return g.select("id", F.when(good, F.col("axis_deg")).alias("angle_deg"), F.when(good, F.col("axis_ratio")).alias("anisotropy"))
+
+
+def _scatter(cols: list[str]) -> Column:
+    return F.sqrt(sum((F.var_pop(c) for c in cols[1:]), F.var_pop(cols[0])))
+
+
+def spatial_extent(df: DataFrame, window: int, conf: float = 0.95, axes: tuple[str, ...] = ("x", "y", "z"), vertical: str | None = None) -> DataFrame:
+    """Dispersion over two or three axes, ellipsoid volume (or area) and its root, mean dispersion within full windows, and drift ratio.
+
+    With a vertical axis, the drift of the others and of that axis too. No row below max(window, axes + 2) rows without gaps.
+    """
+    if len(axes) not in (2, 3):
+        raise ValueError("two or three axes are needed")
+    d = df.where(" and ".join(f"{c} is not null" for c in axes))
+    groups = {"": list(axes)}
+    if vertical is not None:
+        groups |= {"_horizontal": [c for c in axes if c != vertical], "_vertical": [vertical]}
+    pairs = [(a, b) for k, a in enumerate(axes) for b in axes[k:]]
+    m = d.groupBy("id").agg(F.count("*").alias("n"), *[_scatter(g).alias(f"dispersion{k}") for k, g in groups.items()], *[F.covar_samp(a, b).alias(a + b) for a, b in pairs])
 
-    def disp() -> Column:
-        return F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z"))
+    def cov(a: str, b: str) -> Column:
+        return F.col(a + b if (a, b) in pairs else b + a)
 
-    m = d.groupBy("id").agg(F.count("*").alias("n"), disp().alias("dispersion"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.var_samp("z").alias("zz"), F.covar_samp("x", "y").alias("xy"), F.covar_samp("x", "z").alias("xz"), F.covar_samp("y", "z").alias("yz"))
-    det = F.col("xx") * (F.col("yy") * F.col("zz") - F.col("yz") * F.col("yz")) - F.col("xy") * (F.col("xy") * F.col("zz") - F.col("yz") * F.col("xz")) + F.col("xz") * (F.col("xy") * F.col("yz") - F.col("yy") * F.col("xz"))
-    volume = 4 / 3 * math.pi * stats.chi2_ppf(conf, 3) ** 1.5 * F.sqrt(F.greatest(det, F.lit(0.0)))
-    inside = d.withColumn("_k", F.row_number().over(along()) - 1).groupBy("id", F.floor(F.col("_k") / window).alias("w")).agg(F.count("*").alias("n"), disp().alias("d")).where(F.col("n") == window).groupBy("id").agg(F.avg("d").alias("within"))
-    out = m.where(F.col("n") >= max(window, 5)).select("id", "dispersion", volume.alias("volume")).join(inside, "id")
-    return out.select("id", "dispersion", "volume", F.pow("volume", F.lit(1 / 3)).alias("extent"), "within", ratio(F.col("dispersion"), F.col("within")).alias("drift_ratio"))
+    if len(axes) == 2:
+        (a, b), unit = axes, math.pi * stats.chi2_ppf(conf, 2)
+        det = cov(a, a) * cov(b, b) - cov(a, b) * cov(a, b)
+    else:
+        (a, b, c), unit = axes, 4 / 3 * math.pi * stats.chi2_ppf(conf, 3) ** 1.5
+        det = cov(a, a) * (cov(b, b) * cov(c, c) - cov(b, c) * cov(b, c)) - cov(a, b) * (cov(a, b) * cov(c, c) - cov(b, c) * cov(a, c)) + cov(a, c) * (cov(a, b) * cov(b, c) - cov(b, b) * cov(a, c))
+    volume = unit * F.sqrt(F.greatest(det, F.lit(0.0)))
+    inside = d.withColumn("_k", F.row_number().over(along()) - 1).groupBy("id", F.floor(F.col("_k") / window).alias("w")).agg(F.count("*").alias("n"), *[_scatter(g).alias(f"d{k}") for k, g in groups.items()])
+    inside = inside.where(F.col("n") == window).groupBy("id").agg(*[F.avg(f"d{k}").alias(f"within{k}") for k in groups])
+    out = m.where(F.col("n") >= max(window, len(axes) + 2)).withColumn("volume", volume).join(inside, "id")
+    drift = [ratio(F.col(f"dispersion{k}"), F.col(f"within{k}")).alias("drift_ratio" if not k else f"drift{k}") for k in groups]
+    return out.select("id", "dispersion", "volume", F.pow("volume", F.lit(1 / len(axes))).alias("extent"), "within", *drift)
 
 
 def sway_texture(df: DataFrame, fs: float, frozen: float = 2.0) -> DataFrame:
@@ -85,9 +127,11 @@ def sway_texture(df: DataFrame, fs: float, frozen: float = 2.0) -> DataFrame:
 # Directions: id, angle (radians).
 
 
-def circ_mean(df: DataFrame) -> DataFrame:
-    r = F.hypot(F.avg(F.sin("angle")), F.avg(F.cos("angle")))
-    return df.groupBy("id").agg(F.count("angle").alias("n"), F.atan2(F.avg(F.sin("angle")), F.avg(F.cos("angle"))).alias("mean"), r.alias("r"))
+def circ_mean(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """n, mean direction and resultant length; weight: a column that counts each direction."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    s, c = (ratio(F.sum(w * f("angle")), F.sum(F.when(F.col("angle").isNotNull(), w))) for f in (F.sin, F.cos))
+    return df.groupBy("id").agg(F.count("angle").alias("n"), F.atan2(s, c).alias("mean"), F.hypot(s, c).alias("r"))
 
 
 def circular_sd(r: Column) -> Column:
@@ -112,21 +156,32 @@ def axial_dispersion(df: DataFrame) -> DataFrame:
     return d.select("id", (F.sqrt(-2 * F.log(F.greatest("r", F.lit(1e-12)))) / 2).alias("dispersion"))
 
 
+def axial_rayleigh(df: DataFrame) -> DataFrame:
+    """`rayleigh` of axes in degrees: R, p and the mean axis (0 to 180); null below two axes (p below three)."""
+    d = circ_mean(df.where("angle is not null").withColumn("angle", F.radians(F.col("angle")) * 2))
+    good = F.col("n") >= 2
+    return d.select("id", "n", F.when(good, F.col("r")).alias("r"), F.when(F.col("n") >= 3, rayleigh_p(F.col("r"), F.col("n"))).alias("p"), F.when(good, F.pmod(F.degrees(F.col("mean") / 2), F.lit(180.0))).alias("mean_axis_deg"))
+
+
 def vtest(df: DataFrame, mu: float) -> DataFrame:
-    d = circ_mean(df).withColumn("v", F.col("r") * F.cos(F.col("mean") - mu))
-    return d.select("id", "n", "v", (F.col("v") * F.sqrt(2 * F.col("n"))).alias("u"))
+    """v, u and p of a preferred direction mu; null below three directions."""
+    d = circ_mean(df).withColumn("v", F.when(F.col("n") >= 3, F.col("r") * F.cos(F.col("mean") - mu))).withColumn("u", F.col("v") * F.sqrt(2 * F.col("n")))
+    return d.select("id", "n", "v", "u", normal_tail(F.col("u")).alias("p"))
 
 
 def circ_corr(df: DataFrame) -> DataFrame:
-    """Correlation of two directions a and b."""
+    """Correlation of two directions a and b, its z and two-sided p."""
     w = Window.partitionBy("id")
 
     def mean(c: str) -> Column:
         return F.atan2(F.sum(F.sin(c)).over(w), F.sum(F.cos(c)).over(w))
 
     d = df.where("a is not null and b is not null").withColumns({"_a": mean("a"), "_b": mean("b")})
-    sa, sb = F.sin(F.col("a") - F.col("_a")), F.sin(F.col("b") - F.col("_b"))
-    return d.groupBy("id").agg(ratio(F.sum(sa * sb), F.sqrt(F.sum(sa * sa) * F.sum(sb * sb))).alias("r"))
+    d = d.withColumns({"_a": F.sin(F.col("a") - F.col("_a")), "_b": F.sin(F.col("b") - F.col("_b"))})
+    m = d.groupBy("id").agg(F.count("*").alias("n"), F.avg(F.col("_a") * F.col("_b")).alias("ab"), F.avg(F.col("_a") * F.col("_a")).alias("aa"), F.avg(F.col("_b") * F.col("_b")).alias("bb"), F.avg(F.pow(F.col("_a") * F.col("_b"), 2)).alias("aabb"))
+    r = ratio(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb")))
+    z = F.sqrt(ratio(F.col("n") * F.col("aa") * F.col("bb"), F.col("aabb"))) * r
+    return m.select("id", "n", r.alias("r"), z.alias("z"), (2 * normal_tail(F.abs(z))).alias("p"))
 
 
 def circ_corr_linear(df: DataFrame) -> DataFrame:
@@ -160,13 +215,34 @@ def tost_paired_stats(df: DataFrame, bound: float) -> DataFrame:
     return m.select("n", "diff", "se", (F.col("n") - 1).cast("double").alias("df"), ratio(F.col("diff") + bound, F.col("se")).alias("t_lo"), ratio(F.col("diff") - bound, F.col("se")).alias("t_hi"), ratio(F.col("diff"), F.col("se")).alias("t"))
 
 
-def tost(stats_row: dict, alpha: float = 0.05) -> dict:
-    """p values, interval and verdict of a statistics row."""
-    df = stats_row["df"]
-    p = max(1 - stats.t_cdf(stats_row["t_lo"], df), stats.t_cdf(stats_row["t_hi"], df))
-    p0 = 2 * (1 - stats.t_cdf(abs(stats_row["t"]), df))
-    half = stats.t_ppf(1 - alpha, df) * stats_row["se"]
-    return {"p_tost": p, "p_nhst": p0, "ci": (stats_row["diff"] - half, stats_row["diff"] + half), "verdict": verdict(p, p0, alpha)}
+def tost(stats_row: dict, alpha: float = 0.05, bound: float | None = None) -> dict:
+    """p values, interval and verdict of a statistics row; raises below three observations an arm, or for a bound that is not positive. Without any spread the difference is taken as exact."""
+    counts = [stats_row[k] for k in ("n", "n_a", "n_b") if k in stats_row]
+    if min(counts) < 3:
+        raise ValueError("each arm needs three observations")
+    if bound is not None and bound <= 0:
+        raise ValueError("the bound must be positive")
+    df, diff, se = stats_row["df"], stats_row["diff"], stats_row["se"]
+    if not se:
+        at = [math.copysign(math.inf, x) if x else 0.0 for x in (diff + (bound or 0.0), diff - (bound or 0.0), diff)]
+        below = [1.0 if t > 0 else 0.0 if t < 0 else 0.5 for t in at]
+        p, p0, half = max(1 - below[0], below[1]), 0.0 if diff else 1.0, 0.0
+    else:
+        p = max(1 - stats.t_cdf(stats_row["t_lo"], df), stats.t_cdf(stats_row["t_hi"], df))
+        p0, half = 2 * (1 - stats.t_cdf(abs(stats_row["t"]), df)), stats.t_ppf(1 - alpha, df) * se
+    return {"p_tost": p, "p_nhst": p0, "ci": (diff - half, diff + half), "verdict": verdict(p, p0, alpha), "bound": bound}
+
+
+def interpret(result: dict) -> str:
+    """A sentence for a result, which names the bound."""
+    (lo, hi), b = result["ci"], f"±{result['bound']:g}" if result.get("bound") is not None else "the bound"
+    span = f"[{lo:.3g}, {hi:.3g}]"
+    return {
+        "equivalent": f"equivalent within {b}: the interval {span} lies inside (p = {result['p_tost']:.3g})",
+        "effect": f"an effect beyond {b} can't be ruled out: interval {span} (p = {result['p_nhst']:.3g})",
+        "trivial": f"there is an effect, but within {b}: interval {span}",
+        "inconclusive": f"undecided at {b}: the interval {span} allows for none and for one that matters",
+    }[result["verdict"]]
 
 
 def equivalence_correlation(r: float, n: int, bound: float, alpha: float = 0.05) -> dict:
@@ -176,24 +252,36 @@ def equivalence_correlation(r: float, n: int, bound: float, alpha: float = 0.05)
     p = max(1 - stats.normal_cdf((z + zb) / se), stats.normal_cdf((z - zb) / se))
     p0 = 2 * (1 - stats.normal_cdf(abs(z) / se))
     half = stats.normal_ppf(1 - alpha) * se
-    return {"p_tost": p, "p_nhst": p0, "ci": (math.tanh(z - half), math.tanh(z + half)), "verdict": verdict(p, p0, alpha)}
+    return {"p_tost": p, "p_nhst": p0, "ci": (math.tanh(z - half), math.tanh(z + half)), "verdict": verdict(p, p0, alpha), "bound": bound}
 
 
 # Windows: grp, condition, onset_s, offset_s.
 
 
+def durations(df: DataFrame) -> Column:
+    """offset - onset; an error where a window does not end after it starts."""
+    d = F.col("offset_s") - F.col("onset_s")
+    return F.when(d > 0, d).otherwise(F.raise_error(F.lit("every window must end after it starts")).cast("double"))
+
+
 def window_balance(df: DataFrame, tol: float = 0.05) -> DataFrame:
-    """Durations per group and condition, with the group's ratio of largest to smallest median."""
-    d = df.withColumn("_d", F.col("offset_s") - F.col("onset_s"))
-    per = d.groupBy("grp", "condition").agg(F.count("*").alias("n"), F.median("_d").alias("median_s"), F.min("_d").alias("min_s"), F.max("_d").alias("max_s"))
+    """Durations per group and condition, with the group's ratio of largest to smallest median (1 for one condition)."""
+    per = df.withColumn("_d", durations(df)).groupBy("grp", "condition").agg(F.count("*").alias("n"), F.median("_d").alias("median_s"), F.min("_d").alias("min_s"), F.max("_d").alias("max_s"))
     w = Window.partitionBy("grp")
-    r = ratio(F.max("median_s").over(w), F.min("median_s").over(w))
+    r = F.when(F.count("*").over(w) > 1, ratio(F.max("median_s").over(w), F.min("median_s").over(w))).otherwise(1.0)
     return per.withColumns({"ratio": r, "balanced": r <= 1 + tol})
 
 
+def worst_group(balance: DataFrame) -> DataFrame:
+    """The group whose conditions differ most, its ratio, and whether all groups are balanced: one row."""
+    return balance.agg(F.max_by("grp", "ratio").alias("grp"), F.max("ratio").alias("ratio"), F.min("balanced").alias("balanced"))
+
+
 def equalise_windows(df: DataFrame, cap_s: float | None = None) -> DataFrame:
     """Offsets cut so that all durations of a group are at most the cap, or its shortest duration."""
-    d = F.col("offset_s") - F.col("onset_s")
+    if cap_s is not None and cap_s <= 0:
+        raise ValueError("the cap must be positive")
+    d = durations(df)
     cap = F.lit(cap_s) if cap_s is not None else F.min(d).over(Window.partitionBy("grp"))
     return df.withColumn("new_offset_s", F.col("onset_s") + F.least(d, cap))
 

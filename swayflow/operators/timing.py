@@ -15,15 +15,15 @@ def measured_rate(df: DataFrame) -> DataFrame:
 
 
 def rate_quality(df: DataFrame) -> DataFrame:
+    """Rate, jitter, gaps and coverage of each clock; sums and counts only, no series is gathered."""
     d = df.withColumn("dt", F.col("t") - F.lag("t").over(along()))
-    fs = ratio(F.count("*") - 1, F.max_by("t", "i") - F.min_by("t", "i"))
+    span = F.max_by("t", "i") - F.min_by("t", "i")
     out = d.groupBy("id").agg(
-        fs.alias("measured_rate_hz"), F.count("*").alias("n_samples"), (F.max_by("t", "i") - F.min_by("t", "i")).alias("duration_s"),
-        ratio(F.stddev_pop("dt"), F.avg("dt")).alias("jitter_cv"), F.max("dt").alias("max_gap_s"),
-        F.count_if(F.col("dt") == 0).alias("n_duplicate_t"), F.count_if(F.col("dt") < 0).alias("n_backward_t"), F.collect_list("dt").alias("_dts"),
+        ratio(F.count("*") - 1, span).alias("measured_rate_hz"), F.count("*").alias("n_samples"), span.alias("duration_s"), ratio(F.stddev_pop("dt"), F.avg("dt")).alias("jitter_cv"),
+        F.max("dt").alias("max_gap_s"), F.count_if(F.col("dt") == 0).alias("n_duplicate_t"), F.count_if(F.col("dt") < 0).alias("n_backward_t"),
     )
-    near = F.aggregate(F.filter("_dts", lambda x: x <= F.try_divide(F.lit(5.0), F.col("measured_rate_hz"))), F.lit(0.0), lambda a, x: a + x)
-    return out.withColumns({"gap_ratio": F.col("max_gap_s") * F.col("measured_rate_hz"), "coverage": ratio(near, F.col("duration_s"))}).drop("_dts")
+    near = d.join(out.select("id", "measured_rate_hz"), "id").groupBy("id").agg(F.coalesce(F.sum(F.when(F.col("dt") <= F.try_divide(F.lit(5.0), F.col("measured_rate_hz")), F.col("dt"))), F.lit(0.0)).alias("_near"))
+    return out.join(near, "id").withColumns({"gap_ratio": F.col("max_gap_s") * F.col("measured_rate_hz"), "coverage": ratio(F.col("_near"), F.col("duration_s"))}).drop("_near")
 
 
 def regularize(df: DataFrame, fs: float, max_gap_s: float | None = None) -> DataFrame:
@@ -47,16 +47,19 @@ def regularize(df: DataFrame, fs: float, max_gap_s: float | None = None) -> Data
 
 
 def interpolate_gaps(df: DataFrame, max_gap: int = 200) -> DataFrame:
-    """Fills runs of at most max_gap nulls that have values on both sides, linearly in i."""
-    d = runs(df, F.col("v").isNull())
-    d = d.withColumn("_n", F.count("*").over(Window.partitionBy("id", "run")))
-    before = along().rowsBetween(Window.unboundedPreceding, -1)
-    after = along().rowsBetween(1, Window.unboundedFollowing)
-    some = F.when(F.col("v").isNotNull(), F.struct("i", "v"))
-    d = d.withColumns({"_a": F.last(some, True).over(before), "_b": F.first(some, True).over(after)})
+    """Fills runs of at most max_gap nulls that have values on both sides, linearly in i.
+
+    The value after a gap is found as the one before it, in falling order: frames that grow from
+    the start cost one pass, frames that shrink to the end would cost the square of the rows.
+    """
+    up = along().rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    k = F.row_number().over(along())
+    some = F.when(F.col("v").isNotNull(), F.struct("i", "v", F.col("_k").alias("k")))
+    d = df.withColumn("_k", k).withColumn("_a", F.last(some, True).over(up)).withColumn("_b", F.last(some, True).over(down))
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("i") - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
-    filled = F.when(F.col("run_flag") & (F.col("_n") <= max_gap) & F.col("_a").isNotNull() & F.col("_b").isNotNull(), line).otherwise(F.col("v"))
-    return d.withColumn("v", filled).drop("run", "run_flag", "_n", "_a", "_b")
+    fits = F.col("v").isNull() & (F.col("_b.k") - F.col("_a.k") - 1 <= max_gap)
+    return d.withColumn("v", F.when(fits, line).otherwise(F.col("v"))).drop("_k", "_a", "_b")
 
 
 def gap_report(df: DataFrame, fs: float) -> DataFrame:
@@ -106,13 +109,15 @@ def derivative(df: DataFrame, fs: float) -> DataFrame:
     return d.withColumn("dv", F.when(F.col("_n") < 5, F.col("_s")).otherwise(edge)).drop("_n", "_k", "_d", "_s")
 
 
-def event_train(df: DataFrame, fs: float, frame_s: float = 1.0, threshold: float | None = None) -> DataFrame:
-    """event = 1 where v rises by the threshold (else the standard deviation of all rises) over a frame, ends held."""
+def event_train(df: DataFrame, fs: float, frame_s: float = 1.0, threshold: float | None = None, kind: str = "increase") -> DataFrame:
+    """event = 1 where v rises (kind decrease: falls) by the threshold (else the standard deviation of all rises) over a frame, ends held."""
+    if kind not in ("increase", "decrease"):
+        raise ValueError("kind is increase or decrease")
     h = max(1, round(frame_s * fs / 2))
     w, all_ = along(), wholly()
     d = df.withColumn("_d", F.coalesce(F.lead("v", h).over(w), F.last("v").over(all_)) - F.coalesce(F.lag("v", h).over(w), F.first("v").over(all_)))
     bound = F.lit(threshold) if threshold is not None else F.stddev_pop("_d").over(Window.partitionBy("id"))
-    return d.withColumn("event", F.when(F.col("_d") >= bound, 1).otherwise(0)).drop("_d")
+    return d.withColumn("event", F.when(F.col("_d") * (1 if kind == "increase" else -1) >= bound, 1).otherwise(0)).drop("_d")
 
 
 def sequential_stability(df: DataFrame) -> DataFrame:
@@ -135,15 +140,26 @@ def binned_correlation(a: DataFrame, b: DataFrame, step_a: int, step_b: int) ->
     return both.groupBy("id").agg(F.when(F.count("*") >= 3, pearson("a", "b")).alias("r"), F.count("*").alias("n"))
 
 
+def apply_lag(df: DataFrame, lag_s: float) -> DataFrame:
+    """The clock moved by a lag."""
+    return df.withColumn("t", F.col("t") + F.lit(float(lag_s)))
+
+
 def lag_products(a: DataFrame, b: DataFrame, max_lag: int) -> DataFrame:
-    """Cross-correlation of two z-scored, differenced series by an equi-join per lag; positive lag: b is later."""
+    """Cross-correlation of two z-scored, differenced series (as in `kernels.xcorr_lag`); positive lag: b is later.
+
+    The series meet once, by row; the lags are looked up in one sorted window, so rows are not multiplied by lags before a shuffle.
+    """
 
-    def scored(df):
+    def scored(df, z, n):
         d = df.withColumn("_d", F.col("v") - F.lag("v").over(along())).where("_d is not null")
         w = Window.partitionBy("id")
-        return d.select("id", "i", ((F.col("_d") - F.avg("_d").over(w)) / (F.stddev_pop("_d").over(w) + 1e-12)).alias("z"), F.count("*").over(w).alias("n"))
+        return d.select("id", "i", ((F.col("_d") - F.avg("_d").over(w)) / (F.stddev_pop("_d").over(w) + 1e-12)).alias(z), F.count("*").over(w).alias(n))
 
-    x = scored(a).withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
-    x = x.select("id", "lag", (F.col("i") + F.col("lag")).alias("i"), F.col("z").alias("za"), F.col("n").alias("na"))
-    both = x.join(scored(b).select("id", "i", F.col("z").alias("zb"), F.col("n").alias("nb")), ["id", "i"])
-    return both.groupBy("id", "lag").agg((F.sum(F.col("za") * F.col("zb")) / F.least(F.max("na"), F.max("nb"))).alias("r"))
+    both = scored(a, "za", "na").join(scored(b, "zb", "nb"), ["id", "i"], "full")
+    w = along()
+    # The rows of both clocks are numbered alike and without holes, so a lag of rows is a lag of i.
+    products = both.select("id", "na", "nb", *[(F.col("za") * (F.lead("zb", k) if k >= 0 else F.lag("zb", -k)).over(w)).alias(f"_{k + max_lag}") for k in range(-max_lag, max_lag + 1)])
+    sums = products.groupBy("id").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), *[F.sum(f"_{k}").alias(f"_{k}") for k in range(2 * max_lag + 1)])
+    every = F.explode(F.array(*[F.struct(F.lit(k - max_lag).alias("lag"), F.col(f"_{k}").alias("s")) for k in range(2 * max_lag + 1)])).alias("e")
+    return sums.select("id", "na", "nb", every).where("e.s is not null").select("id", F.col("e.lag").alias("lag"), (F.col("e.s") / F.least("na", "nb")).alias("r"))

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal
-from ..model import to_series
-from ..operators import channels, checks, geometry, kernels, scaling, timing
+from ..operators import channels, geometry, kernels, scaling, timing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +52,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return signals(spark, d).select("id", F.posexplode("x").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
 
 
+SCALES = [4, 5, 6, 8, 10, 12]
 E = """WITH e AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, epoch_us(ts) / 1e6 AS t, value AS v FROM events)"""
 P = """WITH p AS (SELECT l_suppkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount) - 1 AS i, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z FROM lineitem)"""
 V = """WITH s AS (SELECT vec_id AS id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"""
@@ -206,7 +206,105 @@ def q_rayleigh(spark, d):
 
 @query(D + """, m AS (SELECT id, count(*) AS n, sqrt(avg(sin(angle)) ** 2 + avg(cos(angle)) ** 2) * cos(atan2(avg(sin(angle)), avg(cos(angle))) - 1) AS v FROM o GROUP BY id) SELECT id, n, round(v, 6) AS v, round(v * sqrt(2 * n), 6) AS u FROM m""")
 def q_vtest(spark, d):
-    return rounded(geometry.vtest(directions(spark, d), 1.0))
+    return rounded(geometry.vtest(directions(spark, d), 1.0).select("id", "n", "v", "u"))
+
+
+@query(D + """, w AS (SELECT id, count(*) AS n, sum(v * sin(angle)) / sum(v) AS s, sum(v * cos(angle)) / sum(v) AS c FROM o GROUP BY id) SELECT id, n, round(atan2(s, c), 6) AS mean, round(sqrt(s * s + c * c), 6) AS r FROM w""")
+def q_circ_mean_weighted(spark, d):
+    return rounded(geometry.circ_mean(directions(spark, d), "v"))
+
+
+@query(D + """, m AS (SELECT id, count(*) AS n, avg(sin(2 * angle)) AS s, avg(cos(2 * angle)) AS c FROM o GROUP BY id), r AS (SELECT *, sqrt(s * s + c * c) AS r FROM m)
+SELECT id, n, round(r, 6) AS r, round(least(1, exp(sqrt(1 + 4 * n + 4 * (n * n - (n * r) ** 2)) - (1 + 2 * n))), 6) AS p, round(((degrees(atan2(s, c) / 2) % 180) + 180) % 180, 4) AS mean_axis_deg FROM r""")
+def q_axial_rayleigh(spark, d):
+    got = geometry.axial_rayleigh(directions(spark, d).withColumn("angle", F.degrees("angle")))
+    return got.select("id", "n", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"), F.round("mean_axis_deg", 4).alias("mean_axis_deg"))
+
+
+@query(D + """ SELECT id, round(sqrt(-2 * ln(sqrt(avg(sin(2 * angle)) ** 2 + avg(cos(2 * angle)) ** 2))) / 2, 6) AS dispersion FROM o GROUP BY id""")
+def q_axial_dispersion(spark, d):
+    return rounded(geometry.axial_dispersion(directions(spark, d)))
+
+
+@query(D + """, t AS (SELECT id, angle AS a, 2 * angle + v / 100000 AS b FROM o), m AS (SELECT id, atan2(sum(sin(a)), sum(cos(a))) AS ma, atan2(sum(sin(b)), sum(cos(b))) AS mb FROM t GROUP BY id),
+c AS (SELECT id, sin(a - ma) AS x, sin(b - mb) AS y FROM t JOIN m USING (id)), r AS (SELECT id, count(*) AS n, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS r, avg(x * x) AS xx, avg(y * y) AS yy, avg(x * x * y * y) AS xy FROM c GROUP BY id)
+SELECT id, n, round(r, 6) AS r, round(sqrt(n * xx * yy / xy) * r, 6) AS z FROM r""")
+def q_circ_corr(spark, d):
+    t = directions(spark, d).select("id", F.col("angle").alias("a"), (2 * F.col("angle") + F.col("v") / 100000).alias("b"))
+    return rounded(geometry.circ_corr(t).select("id", "n", "r", "z"))
+
+
+@query(P + """, m AS (SELECT id, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS g FROM p GROUP BY id) SELECT id, i, round((x - mx) * cos(g) + (y - my) * sin(g), 4) AS proj FROM p JOIN m USING (id)""")
+def q_principal_axis(spark, d):
+    return rounded(geometry.principal_axis_projection(points(spark, d)).select("id", "i", "proj"), 4)
+
+
+@query(P + """, m AS (SELECT id, count(*) AS n, var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b FROM p GROUP BY id), l AS (SELECT id, (a + c) / 2 AS h, sqrt(((a - c) / 2) ** 2 + b * b) AS r, atan2(2 * b, a - c) / 2 AS g FROM m WHERE n >= 3)
+SELECT id, round(((degrees(g) % 180) + 180) % 180, 4) AS angle_deg, round(sqrt((h + r) / (h - r)), 4) AS anisotropy FROM l WHERE h > r""")
+def q_sway_orientation(spark, d):
+    return rounded(geometry.sway_orientation(points(spark, d)).where("anisotropy is not null"), 4)
+
+
+@query(P + """, m AS (SELECT id, sqrt(var_pop(x) + var_pop(y)) AS dispersion, sqrt(var_pop(x)) AS dh, sqrt(var_pop(y)) AS dv, pi() * -2 * ln(0.05) * sqrt(greatest(var_samp(x) * var_samp(y) - covar_samp(x, y) ** 2, 0)) AS vol FROM p GROUP BY id HAVING count(*) >= 40),
+w AS (SELECT id, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM (SELECT id, sqrt(var_pop(x) + var_pop(y)) AS a, sqrt(var_pop(x)) AS b, sqrt(var_pop(y)) AS c, count(*) AS n FROM p GROUP BY id, i // 40) WHERE n = 40 GROUP BY id)
+SELECT id, round(dispersion, 4) AS dispersion, round(vol, 3) AS volume, round(sqrt(vol), 4) AS extent, round(a, 4) AS within, round(dispersion / a, 4) AS drift_ratio, round(dh / b, 4) AS drift_horizontal, round(dv / c, 4) AS drift_vertical FROM m JOIN w USING (id)""")
+def q_spatial_extent_flat(spark, d):
+    got = geometry.spatial_extent(points(spark, d), 40, axes=("x", "y"), vertical="y")
+    return rounded(got, 4).withColumn("volume", F.round("volume", 3))
+
+
+@query(V + """ SELECT a.id, a.i, a.v AS e0, b.v AS e1, c.v AS e2 FROM s a JOIN s b ON a.id = b.id AND b.i = a.i + 3 JOIN s c ON a.id = c.id AND c.i = a.i + 6""")
+def q_embed(spark, d):
+    return scaling.embed(samples(spark, d), 3, 3)
+
+
+@query(V + """, p AS (SELECT id AS frame, i // 8 AS r, i % 8 AS c, v FROM s), d AS (SELECT frame, r, c, abs(v - lag(v) OVER (PARTITION BY r, c ORDER BY frame)) AS d FROM p)
+SELECT frame, (r // 4)::INTEGER AS row, CASE WHEN c < 4 THEN 0 ELSE 1 END::INTEGER AS col, round(avg(CASE WHEN d < 0.1 THEN 0 ELSE d END), 6) AS motion FROM d WHERE d IS NOT NULL AND c >= 2 AND c < 6 GROUP BY ALL""")
+def q_grid_motion(spark, d):
+    pixels = samples(spark, d).select(F.col("id").alias("frame"), F.floor(F.col("i") / 8).alias("r"), (F.col("i") % 8).alias("c"), "v")
+    return rounded(scaling.grid_motion(pixels, 2, 2, 8, 8, 0.1, (0.25, 0.75, 0.0, 1.0)))
+
+
+DESCRIPTORS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("""WITH r AS (SELECT l_returnflag AS g, """ + ", ".join(f"rank() OVER (PARTITION BY l_returnflag ORDER BY {c}) + (count(*) OVER (PARTITION BY l_returnflag, {c}) - 1) / 2.0 AS {c}" for c in DESCRIPTORS) + """ FROM lineitem),
+z AS (SELECT """ + ", ".join(f"({c} - avg({c}) OVER (PARTITION BY g)) / stddev_samp({c}) OVER (PARTITION BY g) AS {c}" for c in DESCRIPTORS) + """ FROM r)
+""" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) AS n FROM z" for k, a in enumerate(DESCRIPTORS) for b in DESCRIPTORS[k:]))
+def q_descriptor_correlations(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in DESCRIPTORS])
+    return rounded(scaling.descriptor_correlations(li, DESCRIPTORS, True, "l_returnflag"))
+
+
+@query(V + """, x AS (SELECT id, i, v - lag(v) OVER (PARTITION BY id ORDER BY i) AS d, v * v - lag(v * v) OVER (PARTITION BY id ORDER BY i) AS e FROM s),
+z AS (SELECT id, i, (d - avg(d) OVER w) / stddev_pop(d) OVER w AS a, (e - avg(e) OVER w) / stddev_pop(e) OVER w AS b, count(*) OVER w AS n FROM x WHERE d IS NOT NULL WINDOW w AS (PARTITION BY id))
+SELECT a.id, l.lag::INTEGER AS lag, round(sum(a.a * b.b) / max(a.n), 6) AS r FROM z a, (SELECT unnest(range(-5, 6)) AS lag) l JOIN z b ON a.id = b.id AND b.i = a.i + l.lag GROUP BY a.id, l.lag""")
+def q_lag_products(spark, d):
+    s = samples(spark, d)
+    return rounded(timing.lag_products(s, s.withColumn("v", F.col("v") * F.col("v")), 5))
+
+
+SEGMENTS = V + f""", c AS (SELECT id, i, v - avg(v) OVER (PARTITION BY id) AS a, v * v - avg(v * v) OVER (PARTITION BY id) AS b FROM s),
+f AS (SELECT id, i, sum(a) OVER w AS p, sum(b) OVER w AS q FROM c WINDOW w AS (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT id, l.scale, i // l.scale AS seg, p, q, i % l.scale - (l.scale - 1) / 2.0 AS u, l.scale * (l.scale * l.scale - 1) / 12.0 AS uu FROM f, (SELECT unnest({SCALES}) AS scale) l WHERE i < 64 // l.scale * l.scale)"""
+
+
+@query(SEGMENTS + """, r AS (SELECT id, scale, covar_pop(p, q) * count(*) - sum(u * p) * sum(u * q) / max(uu) AS ab, var_pop(p) * count(*) - sum(u * p) ** 2 / max(uu) AS aa, var_pop(q) * count(*) - sum(u * q) ** 2 / max(uu) AS bb FROM g GROUP BY id, scale, seg)
+SELECT id, scale, round(sum(ab) / sqrt(sum(aa) * sum(bb)), 4) AS rho FROM r GROUP BY id, scale""")
+def q_dcca(spark, d):
+    return rounded(scaling.dcca(samples(spark, d).select("id", "i", F.col("v").alias("a"), (F.col("v") * F.col("v")).alias("b")), SCALES), 4)
+
+
+QS = [-2.0, -1.0, 0.0, 1.0, 2.0, 3.0]
+
+
+@query(SEGMENTS + f""", r AS (SELECT id, scale, (var_pop(p) * count(*) - sum(u * p) ** 2 / max(uu)) / scale AS f2 FROM g GROUP BY id, scale, seg),
+m AS (SELECT id, scale, q, CASE WHEN q = 0 THEN exp(avg(ln(f2)) / 2) ELSE power(avg(power(f2, q / 2)), 1 / nullif(q, 0)) END AS fq FROM r, (SELECT unnest({QS})::DOUBLE AS q) WHERE f2 > 0 GROUP BY id, scale, q HAVING count(*) >= 4),
+h AS (SELECT id, q, regr_slope(ln(fq), ln(scale)) AS h FROM m GROUP BY id, q HAVING count(*) >= 5), t AS (SELECT *, q * h - 1 AS tau FROM h),
+a AS (SELECT *, CASE WHEN lag(q) OVER w IS NULL THEN lead(tau) OVER w - tau WHEN lead(q) OVER w IS NULL THEN tau - lag(tau) OVER w ELSE (lead(tau) OVER w - lag(tau) OVER w) / 2 END AS alpha FROM t WINDOW w AS (PARTITION BY id ORDER BY q))
+SELECT id, q, round(h, 3) + 0 AS h, round(tau, 3) + 0 AS tau, round(alpha, 3) + 0 AS alpha, round(q * alpha - tau, 3) + 0 AS f, round(max(h) FILTER (q = 2) OVER (PARTITION BY id), 3) AS h2, round(max(alpha) OVER (PARTITION BY id) - min(alpha) OVER (PARTITION BY id), 3) AS width FROM a""")
+def q_mfdfa(spark, d):
+    return rounded(scaling.mfdfa(samples(spark, d), SCALES, QS), 3)
 
 
 @query(D + """, m AS (SELECT id, count(*) AS n, corr(cos(angle), v) AS a, corr(sin(angle), v) AS b, corr(cos(angle), sin(angle)) AS c FROM o GROUP BY id), r AS (SELECT id, n, least(1, greatest(0, (a * a + b * b - 2 * a * b * c) / (1 - c * c))) AS r2 FROM m) SELECT id, n, round(sqrt(r2), 6) AS r, round(exp(-n * r2 / 2), 6) AS p FROM r""")
@@ -260,12 +358,25 @@ def q_msd_curve(spark, d):
     return rounded(scaling.msd(points(spark, d), LAGS), 4)
 
 
-@query()
+MSD = P + f""", c AS (SELECT a.id, l.lag, avg((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS msd FROM p a, (SELECT unnest({scaling.log_lags(1, 150, 40)}) AS lag) l JOIN p b ON b.id = a.id AND b.i = a.i + l.lag GROUP BY a.id, l.lag)"""
+
+
+@query(MSD + """ SELECT id, round(regr_slope(ln(msd), ln(lag / 10.0)) FILTER (lag / 10.0 < 1.0) / 2, 4) + 0 AS h_short, round(regr_slope(ln(msd), ln(lag / 10.0)) FILTER (lag / 10.0 > 1.5) / 2, 4) + 0 AS h_long FROM c WHERE msd > 0 GROUP BY id""")
 def q_stabilogram(spark, d):
-    return rounded(scaling.stabilogram(scaling.msd(points(spark, d), LAGS), 10.0, 0.6, 0.7), 4)
+    return rounded(scaling.stabilogram(scaling.msd(points(spark, d), scaling.log_lags(1, 150, 40)), 10.0, 1.0, 1.5), 4)
+
+
+@query(MSD + """, m AS (SELECT id, list(ln(lag / 10.0) / ln(10) ORDER BY lag) AS x, list(ln(msd) / ln(10) ORDER BY lag) AS y, count(*) AS n FROM c JOIN (SELECT id, count(*) AS rows FROM p GROUP BY id) USING (id) WHERE msd > 0 AND lag <= least(150, rows - 5) GROUP BY id),
+k AS (SELECT id, x, y, unnest(range(4, n - 4)) AS k FROM m),
+u AS (SELECT id, k, 0 AS s, unnest(x[1:k + 1]) AS x, unnest(y[1:k + 1]) AS y FROM k UNION ALL SELECT id, k, 1, unnest(x[k + 1:]), unnest(y[k + 1:]) FROM k),
+f AS (SELECT id, k, s, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS r FROM u GROUP BY id, k, s),
+b AS (SELECT f.id, f.k, f.b AS b0, f.a AS a0, g.b AS b1, g.a AS a1, row_number() OVER (PARTITION BY f.id ORDER BY f.r + g.r, f.k) AS o FROM f JOIN f g ON f.id = g.id AND f.k = g.k AND f.s = 0 AND g.s = 1)
+SELECT id, round(b0 / 2, 3) + 0 AS h_short, round(b1 / 2, 3) + 0 AS h_long, round(ln(power(10, a0) / 2), 3) + 0 AS d_short, round(ln(power(10, a1) / 2), 3) + 0 AS d_long, k::INTEGER AS index FROM b WHERE o = 1""")
+def q_two_regions(spark, d):
+    got = scaling.sda(points(spark, d), 10.0, 15.0, 40).where("index is not null")
+    return rounded(got.select("id", "h_short", "h_long", F.log("d_short").alias("d_short"), F.log("d_long").alias("d_long"), "index"), 3)
 
 
-SCALES = [4, 5, 6, 8, 10, 12]
 
 
 @query(V + f""", c AS (SELECT *, v - avg(v) OVER (PARTITION BY id) AS q FROM s), f AS (SELECT id, i, sum(q) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS p FROM c),
@@ -281,38 +392,51 @@ def q_trev(spark, d):
     return rounded(scaling.trev(samples(spark, d)), 4)
 
 
-@query()
+@query(V + """, d AS (SELECT a.id, l.lag, a.v, b.v AS u FROM s a, (VALUES (1), (2), (4)) l(lag) JOIN s b ON b.id = a.id AND b.i = a.i + l.lag),
+c AS (SELECT id, lag, least(floor((v - min(v) OVER w) * 8 / (max(v) OVER w - min(v) OVER w)), 7) AS x, least(floor((u - min(u) OVER w) * 8 / (max(u) OVER w - min(u) OVER w)), 7) AS y FROM d WINDOW w AS (PARTITION BY id, lag)),
+n AS (SELECT id, lag, x, y, count(*) AS n FROM c GROUP BY ALL),
+m AS (SELECT *, sum(n) OVER (PARTITION BY id, lag, x) AS nx, sum(n) OVER (PARTITION BY id, lag, y) AS ny, sum(n) OVER (PARTITION BY id, lag) AS t FROM n)
+SELECT id, lag, round(sum(n / t * ln(n * t / (nx * ny))), 4) AS ami FROM m GROUP BY id, lag""")
 def q_mutual_information(spark, d):
     return rounded(scaling.mutual_information(samples(spark, d), [1, 2, 4], 8), 4)
 
 
-@query()
+SHIFTED = V + f""", e AS (SELECT id, i FROM s WHERE v > 0.2),
+d AS (SELECT id, i, draw, CASE WHEN draw = 0 THEN 0 ELSE ((((id % {scaling.SHIFT[2]} + 1) * {scaling.SHIFT[0]} + draw * {scaling.SHIFT[1]}) % {scaling.SHIFT[2]}) * 48271 + 11) % {scaling.SHIFT[2]} % 33 - 16 END AS shift FROM e, (SELECT unnest(range(0, 1001)) AS draw)),
+a AS (SELECT draw, (i + shift + 64) % 64 AS c, count(*) AS k FROM d GROUP BY ALL),
+f AS (SELECT draw, c + o AS i, sum(k) AS c FROM a, (VALUES (-1), (0), (1), (2)) w(o) WHERE c + o BETWEEN 0 AND 63 GROUP BY ALL),
+g AS (SELECT t.draw, x.i, coalesce(f.c, 0) AS c FROM (SELECT unnest(range(0, 1001)) AS draw) t CROSS JOIN (SELECT unnest(range(0, 64)) AS i) x LEFT JOIN f ON f.draw = t.draw AND f.i = x.i),
+o AS (SELECT i, c AS observed FROM g WHERE draw = 0),
+p AS (SELECT i, observed, avg(c) AS m, stddev_pop(c) AS s, (count(*) FILTER (c >= observed) + 1) / 1001.0 AS p FROM g JOIN o USING (i) WHERE draw > 0 GROUP BY i, observed)"""
+
+
+@query(SHIFTED + """ SELECT i, observed::BIGINT AS observed, round(m, 4) AS null_mean, round(s, 4) AS null_sd, round(p, 6) AS p, round(CASE WHEN p >= 1 THEN -log10(1001) ELSE greatest(-log10(1001), least(log10(1001), log10((1 - p) / p))) END, 4) AS surprise FROM p""")
 def q_coincidence(spark, d):
-    t = samples(spark, d).withColumn("event", F.when(F.col("v") > 0.2, 1).otherwise(0))
-    return scaling.coincidence(t, 64, 4.0, 50, 4.0)
+    got = coincidences(spark, d)
+    return rounded(got.drop("p"), 4).join(got.select("i", "p"), "i")
 
 
-@query("""WITH s AS (SELECT vec_id AS id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), w AS (SELECT e AS event_s, id, avg(v) FILTER (i >= e - 3 AND i < e - 2) AS a, avg(v) FILTER (i >= e AND i < e + 1) AS b FROM s, (VALUES (10.0), (20.0), (40.0)) t(e) GROUP BY e, id)
-SELECT event_s::DOUBLE AS event_s, round(avg(CASE WHEN b < a THEN 1.0 ELSE 0 END), 6) AS share, count(*) AS n FROM w WHERE a <> b GROUP BY event_s""")
-def q_participation(spark, d):
-    e = spark.createDataFrame([(10.0,), (20.0,), (40.0,)], "event_s double")
-    return rounded(scaling.participation(samples(spark, d), e, 1.0))
+def coincidences(spark, d):
+    t = samples(spark, d).withColumn("event", F.when(F.col("v") > 0.2, 1).otherwise(0))
+    return scaling.coincidence(t, 64, 4.0, 1000, 4.0).withColumn("p", F.round("p", 6))
 
 
-@query(V + """, r AS (SELECT id, v, i - row_number() OVER (PARTITION BY id, sign(v) ORDER BY i) AS g, sign(v) AS f FROM s), n AS (SELECT id, f, g, count(*) AS n FROM r GROUP BY ALL) SELECT id, max(n) AS longest FROM n GROUP BY id""")
-def q_held_samples(spark, d):
-    return checks.held_runs(samples(spark, d).withColumn("v", F.signum("v")))
+@query(SHIFTED + """ SELECT round(avg(-log10(round(p, 6) + 1 / 1001.0)), 4) AS score, round(avg(CASE WHEN p < 0.01 THEN 1.0 ELSE 0 END), 4) AS frac_significant, count(*) AS n FROM p""")
+def q_coincidence_summary(spark, d):
+    return rounded(scaling.coincidence_summary(coincidences(spark, d)), 4)
 
 
-@query(E + """, x AS (SELECT *, t - lag(t) OVER (PARTITION BY id ORDER BY i) AS dt FROM e), m AS (SELECT id, max(dt) AS gap, median(CASE WHEN dt > 0 THEN dt END) AS mid, count(*) AS n FROM x GROUP BY id)
-SELECT id::VARCHAR AS id, 'timestamps' AS "check", 'error' AS severity, 'fewer than two stamps' AS message FROM m WHERE n < 2 UNION ALL SELECT id::VARCHAR, 'timestamps', 'warning', 'a gap is over 20 times the usual step' FROM m WHERE gap > 20 * mid""")
-def q_timestamps(spark, d):
-    return checks.timestamps(events(spark, d))
+@query(V + """, t AS (SELECT 3 + unnest(range(0, 60)) AS e), w AS (SELECT e::DOUBLE AS event_s, id, avg(v) FILTER (i >= e - 3 AND i < e - 2) AS a, avg(v) FILTER (i >= e AND i < e + 1) AS b FROM s, t GROUP BY e, id)
+SELECT event_s, round(avg(CASE WHEN b < a THEN 1.0 ELSE 0 END), 6) AS share, count(*) AS n FROM w WHERE a <> b GROUP BY event_s""")
+def q_sliding_null(spark, d):
+    return rounded(scaling.sliding_null(samples(spark, d), 1.0, 64, 1.0))
 
 
-@query(P + """ SELECT id, round(median(x) FILTER (i < 10), 4) AS head, round(median(x) FILTER (m - i < 10), 4) AS tail, round(median(x) FILTER (i >= 20 AND i < 100), 4) AS base FROM (SELECT *, max(i) OVER (PARTITION BY id) AS m FROM p) GROUP BY id""")
-def q_edge_levels(spark, d):
-    return rounded(checks.edge_levels(points(spark, d).withColumn("v", F.col("x")), 1.0, 10.0, (20.0, 100.0)), 4)
+@query("""WITH s AS (SELECT vec_id AS id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), w AS (SELECT e AS event_s, id, avg(v) FILTER (i >= e - 3 AND i < e - 2) AS a, avg(v) FILTER (i >= e AND i < e + 1) AS b FROM s, (VALUES (10.0), (20.0), (40.0)) t(e) GROUP BY e, id)
+SELECT event_s::DOUBLE AS event_s, round(avg(CASE WHEN b < a THEN 1.0 ELSE 0 END), 6) AS share, count(*) AS n FROM w WHERE a <> b GROUP BY event_s""")
+def q_participation(spark, d):
+    e = spark.createDataFrame([(10.0,), (20.0,), (40.0,)], "event_s double")
+    return rounded(scaling.participation(samples(spark, d), e, 1.0))
 
 
 @query(P + """ SELECT id, round(n, 6) AS norm, CASE WHEN abs(n - 1) <= 0.25 THEN 'g' WHEN abs(n - 1000) <= 250 THEN 'mg' WHEN abs(n - 9.80665) <= 0.25 * 9.80665 THEN 'm/s^2' END AS unit
@@ -338,12 +462,6 @@ def q_compare_envelopes(spark, d):
     return rounded(channels.compare_envelopes(s, s.withColumn("v", F.col("v") * F.col("v")), 4.0, 2.0))
 
 
-@query("SELECT sha, n FROM (SELECT sha256(coalesce(text, '')) AS sha, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
-def q_duplicate_contents(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).groupBy("sha").agg(F.count("*").alias("n")).where("n > 1")
-
-
 WELCH = """WITH s AS (SELECT vec_id AS id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 g AS (SELECT id, j, i - 16 * j AS u, v - avg(v) OVER (PARTITION BY id, j) AS v FROM s, (SELECT unnest(range(0, 3)) AS j) WHERE i >= 16 * j AND i < 16 * j + 32),
 h AS (SELECT id, j, u, v * (0.5 - 0.5 * cos(2 * pi() * u / 32)) AS v FROM g),
@@ -366,61 +484,5 @@ def q_welch_spectrum(spark, d):
     return rounded(spectra(spark, d))
 
 
-@query(WELCH + """, b AS (SELECT id, f, p, lead(f) OVER (PARTITION BY id ORDER BY f) AS f1, lead(p) OVER (PARTITION BY id ORDER BY f) AS p1 FROM w WHERE f BETWEEN 2 AND 9) SELECT id, round(sum((p + p1) / 2 * (f1 - f)), 6) AS power FROM b WHERE f1 IS NOT NULL GROUP BY id""")
-def q_band_power(spark, d):
-    w = Window.partitionBy("id").orderBy("f")
-    s = spectra(spark, d).where("f between 2 and 9").withColumns({"f1": F.lead("f").over(w), "p1": F.lead("p").over(w)})
-    return rounded(s.where("f1 is not null").groupBy("id").agg(F.sum((F.col("p") + F.col("p1")) / 2 * (F.col("f1") - F.col("f"))).alias("power")))
-
-
-@query(WELCH + " SELECT id, round(sum(f * p) FILTER (f BETWEEN 1 AND 12) / sum(p) FILTER (f BETWEEN 1 AND 12), 6) AS mean_hz, round(sum(p) FILTER (f >= 2 AND f < 6) / sum(p) FILTER (f >= 1 AND f < 12), 6) AS share FROM w GROUP BY id")
-def q_mean_frequency(spark, d):
-    s = spectra(spark, d)
-
-    def total(v, c):
-        return F.sum(F.when(c, v))
-
-    f, p = F.col("f"), F.col("p")
-    inner = f.between(1, 12)
-    return rounded(s.groupBy("id").agg((total(f * p, inner) / total(p, inner)).alias("mean_hz"), (total(p, (f >= 2) & (f < 6)) / total(p, (f >= 1) & (f < 12))).alias("share")))
-
-
-@query()
-def q_spectral_peak(spark, d):
-    def kernel(x):
-        return kernels.peak_from_spectrum(*signal.welch(x, 32.0, 64), (1.0, 12.0), require_peak=False)
-
-    return kernels.apply(signals(spark, d), kernel, ["x"], "freq double, power double, snr double, excess double, is_peak boolean")
-
-
-@query()
-def q_qom_position(spark, d):
-    """Flagship: quantity of motion of each supplier's points as one series."""
-    import numpy as np
-
-    def kernel(x, y, z):
-        got = kernels.qom(np.column_stack([x, y, z]), 10.0, kind="position")
-        return {k: got[k] for k in ("mean", "median", "n_samples", "edge_samples")}
-
-    return kernels.apply(to_series(points(spark, d), "x", "y", "z"), kernel, ["x", "y", "z"], "mean double, median double, n_samples long, edge_samples long")
-
-
-@query()
-def q_complexity(spark, d):
-    def kernel(x):
-        return {"sampen": kernels.sampen(x), "apen": kernels.apen(x), **{k.lower(): v for k, v in kernels.rqa(x).items()}}
-
-    return kernels.apply(signals(spark, d), kernel, ["x"], "sampen double, apen double, rr double, det double, lmax long, lmean double, entr double")
-
-
-@query()
-def q_search_lag(spark, d):
-    """The shift of each user's events against the same readings two seconds later by another clock."""
-    e = to_series(events(spark, d).withColumn("t", F.col("t") - F.min("t").over(Window.partitionBy("id"))), "t", "v")
-
-    def kernel(t, v):
-        return kernels.search_lag(t, v, t + 2.0 * np.ptp(t) / 100, v, np.ptp(t) / 10, max(np.ptp(t) / 100, 1e-3), np.ptp(t) / 2)
-
-    import numpy as np
-
-    return kernels.apply(e, kernel, ["t", "v"], "lag_s double, r double, n_overlap long, confident boolean")
+# Queries of the other modules register themselves.
+from . import check_queries, filter_queries, spectral_queries  # noqa: E402,F401

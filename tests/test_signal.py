@@ -54,10 +54,12 @@ def test_complexity_of_known_processes():
     white, line = rng.normal(size=600), np.sin(np.arange(600) / 5)
     assert kernels.sampen(line) < kernels.sampen(white)
     assert kernels.rqa(line, tau=8)["DET"] > 0.9 > kernels.rqa(white, tau=8)["DET"]
-    with pytest.raises(ValueError, match="limit"):
-        kernels.rqa(white, limit=100)
-    s = kernels.iaaft(white, rng)
-    assert np.allclose(np.sort(s), np.sort(white))
+    for s in kernels.iaaft(white, rng, 3):
+        assert np.allclose(np.sort(s), np.sort(white)) and np.corrcoef(s, white)[0, 1] < 0.5
+    for s in kernels.phase_surrogate(line + 3, rng, 3):
+        assert np.allclose(np.abs(np.fft.rfft(s)), np.abs(np.fft.rfft(line + 3))) and abs(s.mean() - (line + 3).mean()) < 1e-9
+    for s in kernels.circular_shift_surrogate(line, rng, 3):
+        assert np.allclose(np.sort(s), np.sort(line))
 
 
 def test_lag_hull_and_breaths():
