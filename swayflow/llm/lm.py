@@ -67,6 +67,26 @@ def coded(total: np.ndarray, alone: np.ndarray) -> np.ndarray:
     return 2 * total + alone
 
 
+def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, rising, and the number of each: np.unique, by one sort of codes with their places where both fit into 64 bits."""
+    n = len(code)
+    bits = max(n - 1, 1).bit_length()
+    if not n or int(code.max()).bit_length() + bits > 63:
+        return np.unique(code, return_inverse=True)
+    both = np.sort((code << bits) | np.arange(n))
+    at, code = both & ((1 << bits) - 1), both >> bits
+    new = np.r_[True, code[1:] != code[:-1]]
+    number = np.empty(n, np.int64)
+    number[at] = np.cumsum(new) - 1
+    return code[new], number
+
+
+def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by bucket (else as it is), and where each bucket begins."""
+    bucket = bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    return np.argsort(bucket, kind="stable"), np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
+
+
 class Folder:
     """Files of the blocks in the shared folder. A name stands for its contents, so a repeated task writes the same file again."""
 
@@ -124,12 +144,12 @@ class Block:
         words, index, counts = words_in(texts)
         words += [START, END]
         bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-        order = np.argsort(bucket, kind="stable")
+        order, bounds = dealt(bucket, buckets)
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         to = np.cumsum(counts)
         flat = np.insert(index, np.stack([to - counts, to], 1).ravel(), np.tile([len(words) - 2, len(words) - 1], len(counts)))
-        return Block(ids, counts + 1, rank[flat], np.searchsorted(bucket[order], np.arange(buckets + 1))), [words[k] for k in order]
+        return Block(ids, counts + 1, rank[flat], bounds), [words[k] for k in order]
 
     def stored(self) -> bytes:
         ids = np.array([0 if d is None else d for d in self.ids], "<i8").tobytes()
@@ -161,7 +181,7 @@ class Block:
         k = len(self.number)
         at = np.flatnonzero(self.place >= k - 1)
         shorter = self.number[k - 1]
-        code, here = np.unique(shorter[at - 1] * self.words + self.word[at], return_inverse=True)
+        code, here = numbered(shorter[at - 1] * self.words + self.word[at])
         number = np.full(len(self.flat), -1)
         number[at] = here
         last = np.empty(len(code), np.int64)
@@ -189,9 +209,8 @@ class Block:
         h = np.zeros(len(open_), np.uint64)
         for c in self.names(open_):
             h = h * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64)
-        bucket = (mixed(h) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return open_[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        order, bounds = dealt(mixed(h) % np.uint64(buckets), buckets)
+        return open_[order], bounds
 
     def told(self, replies: dict[int, bytes], buckets: int) -> None:
         """Takes the counts of the n-grams it asked for."""
@@ -344,50 +363,59 @@ def _grams_sent(table: pa.Table, folder: str, order: int, buckets: int) -> pa.Ta
 class Automaton:
     """States, arcs and failure arcs of the model, as far as a block can reach them; weights are log10 probabilities.
 
-    State 0 is the root. Arcs are sorted by their key, state * words + word; every word has one from the root.
+    State 0 is the root; after it come the n-grams of up to ORDER - 1 words. arc: of each n-gram, as
+    the step from its context by its last word, the number of its arc, -1 if the model has none;
+    every word has an arc from the root.
     """
 
     def __init__(self, block: Block, n: int, v: int):
-        self.words = block.words
-        sizes = [1] + [len(block.total[k]) for k in range(1, ORDER)]
+        self.block = block
+        sizes = [1] + [len(block.total[k]) for k in range(1, ORDER + 1)]
         at = np.cumsum(sizes) - sizes  # the first state of each order
+        self.grams = at - 1  # where the n-grams of each order begin in `arc`
+        self.order = np.repeat(np.arange(ORDER), sizes[:ORDER])
         p = (block.total[1] + 0.5) / (n + 0.5 * (v + 1))
         self.base = np.log10(p)
-        self.failure, self.shorter = np.zeros(sum(sizes)), np.zeros(sum(sizes), np.int64)
-        keys, weights, to = [], [], []
+        self.failure, self.shorter = np.zeros(at[ORDER]), np.zeros(at[ORDER], np.int64)
+        arc, weights, to = [], [], []
         for k in range(1, ORDER + 1):
-            total, first, last, word = block.total[k], block.first[k], block.last[k], block.tail[k]
+            total, first, last = block.total[k], block.first[k], block.last[k]
             if k > 1:
                 p = (total + PRIOR[k] * p[last]) / (block.total[k - 1][first] + PRIOR[k])
             seen = total > 0
-            arc = seen | (k == 1)
-            keys.append((at[k - 1] + first[arc]) * self.words + word[arc])
-            weights.append(np.log10(p[arc]))
-            to.append(np.where(seen, at[k] + np.arange(len(total)), 0)[arc] if k < ORDER else at[k - 1] + last[arc])
+            arc.append(seen | (k == 1))
+            weights.append(np.log10(p))
+            to.append(np.where(seen, at[k] + np.arange(len(total)), 0) if k < ORDER else at[k - 1] + last)
             if k < ORDER:
                 states = slice(at[k], at[k] + len(total))
                 self.failure[states] = np.log10(PRIOR[k + 1] / (total + PRIOR[k + 1]))
                 self.shorter[states] = at[k - 1] + last
-        self.keys, self.weights, self.to = map(np.concatenate, (keys, weights, to))
+        arc = np.concatenate(arc)
+        self.arc = np.where(arc, np.cumsum(arc) - 1, -1)
+        self.weights, self.to = (np.concatenate(x)[arc] for x in (weights, to))
         self.start = int(at[1] + block.start) if block.total[1][block.start] else 0
 
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next state of each lane and the weight of the way there: failure arcs until the word has an arc, then that arc."""
+    def step(self, state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each lane, which reads the word at `place`, and the weight of the way there: failure arcs until the word has an arc, then that arc.
+
+        A state of k words stands for the k words before the place, so its arc is that of the n-gram of k + 1 words which ends there.
+        """
         state, weight = state.copy(), np.zeros(len(state))
-        arc = np.empty(len(state), np.int64)
-        left = np.arange(len(state))
+        arc, left = np.empty(len(state), np.int64), np.arange(len(state))
         while len(left):
-            key = state[left] * self.words + word[left]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[found] == key
+            k = self.order[state[left]] + 1
+            found = self.arc[self.grams[k] + self.numbers[k, place[left]]]
+            hit = found >= 0
             arc[left[hit]] = found[hit]
             left = left[~hit]
             weight[left] += self.failure[state[left]]
             state[left] = self.shorter[state[left]]
         return self.to[arc], weight + self.weights[arc]
 
-    def walk(self, block: Block) -> np.ndarray:
+    def walk(self) -> np.ndarray:
         """The log-probability of each text."""
+        block = self.block
+        self.numbers = np.stack(block.number)
         lanes = -(-block.size // LANE)
         doc = np.repeat(np.arange(len(block.size)), lanes)
         own = (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
@@ -399,7 +427,7 @@ class Automaton:
         first, length = block.begin[doc] + 1, to - at
         for j in range(int(length[0])):
             m = int(np.searchsorted(-length, -j, side="left"))  # lanes longer than j
-            state[:m], weight = self.step(state[:m], block.word[first[:m] + at[:m] + j])
+            state[:m], weight = self.step(state[:m], first[:m] + at[:m] + j)
             total[:m] += np.where(at[:m] + j >= own[:m], weight, 0.0)
         return np.bincount(doc, weights=total, minlength=len(block.size))
 
@@ -419,7 +447,7 @@ def _scored(table: pa.Table, folder: str, buckets: int, n: int, v: int) -> pa.Ta
     tokens = b.word[b.place > 0]
     first = np.cumsum(b.size) - b.size
     base, known = (np.add.reduceat(x[tokens], first) for x in (model.base, (b.total[1] > 0).astype(np.int64)))
-    cols = [pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.size), pa.array(known), pa.array(np.full(len(b.ids), n, np.int64)), pa.array(base), pa.array(model.walk(b))]
+    cols = [pa.array(b.ids, pa.int64()), pa.array(b.held), pa.array(b.size), pa.array(known), pa.array(np.full(len(b.ids), n, np.int64)), pa.array(base), pa.array(model.walk())]
     return pa.Table.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 

@@ -246,9 +246,12 @@ def test_lm_of_null_ids_repeated_rows_and_no_training_rows(spark):
 
 
 def test_automaton_is_a_distribution():
-    # All words and one unknown word after every state: the weights of the ways there sum to 1.
+    # Each context is followed by every word and by an unknown one in texts that are held out: the weights of the ways from its state sum to 1.
     rows = [(k, prose(12)) for k in range(40)]
-    block, words = lm.Block.of([i for i, _ in rows] + [HELD], pa.array([t for _, t in rows] + ["nowhere"], pa.large_string()), 4)
+    seen = sorted({w for i, t in rows if not lm.held_out(i) for w in t.split()})
+    contexts = [" ".join(c) for i, t in rows[:12] for c in zip(t.split(), t.split()[1:], t.split()[2:])] + ["w0", "w1 nowhere", "nowhere", ""]
+    probes = [f"{c} {w}".strip() for c in contexts for w in [*seen, "unknown", ""]]
+    block, words = lm.Block.of([i for i, _ in rows] + [HELD] * len(probes), pa.array([t for _, t in rows] + probes, pa.large_string()), 4)
     local = np.bincount(block.flat[block.trains], minlength=len(words))
     block.named(np.arange(len(words)), local, np.ones(len(words), bool))
     for _ in range(lm.ORDER - 1):
@@ -256,14 +259,26 @@ def test_automaton_is_a_distribution():
         block.take(lm.coded(block.local[-1], True))
     real = np.array([w != lm.START for w in words])
     model = lm.Automaton(block, int(local[real].sum()), int((local[real] > 0).sum()))
-    read = np.flatnonzero(real)
-    seen = np.concatenate([np.ones(1, int), *block.total[1 : lm.ORDER]])
-    ends = np.concatenate([[-1], *block.tail[1 : lm.ORDER]]) == block.end
-    states = np.flatnonzero((seen > 0) & ~ends)  # nothing is read after an end
-    assert len(states) > 500
-    for s in states:
-        to, weight = model.step(np.full(len(read), s), read)
-        assert abs((10**weight).sum() - 1) < 1e-9 and (seen[to] > 0).all()
+    model.walk()
+    brute = Backoff(rows)
+    for k, c in enumerate(contexts):
+        mass = 0.0
+        before = tokens_of(c)[:-1]
+        for j in range(len(seen) + 2):
+            doc = len(rows) + k * (len(seen) + 2) + j
+            state = np.array([model.start])
+            for t in range(len(before) + 1):
+                state, weight = model.step(state, np.array([block.begin[doc] + 1 + t]))
+            mass += 10 ** weight[0]
+            want = brute.p(tuple(["<s>", *before][-(lm.ORDER - 1) :]), tokens_of(probes[doc - len(rows)])[len(before)])
+            assert abs(10 ** weight[0] - want) < 1e-12
+        assert abs(mass - 1) < 1e-9
+
+
+def test_numbers_of_codes():
+    for code in (np.array([5, 3, 5, 9]), np.array([1 << 62, 4, 1 << 62]), np.zeros(0, np.int64)):
+        u, inv = lm.numbered(code)
+        assert u.tolist() == sorted(set(code.tolist())) and u[inv].tolist() == code.tolist()
 
 
 def test_warc(spark):
