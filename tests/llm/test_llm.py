@@ -347,19 +347,51 @@ def test_sharding_of_rows_in_several_groups(spark):
     assert sum(len({where[k] for k in range(g * 12, g * 12 + 12)}) > 1 for g in range(50)) <= 5
 
 
-def test_top_k(spark):
+def exact_top(rows, k=10):
+    """(query_id, rank, vec_id, score) by brute force, in Python integers; rows: (vec_id, whole numbers)."""
+    out = []
+    for n, (q, x) in enumerate(rows):
+        if q is not None and q % 100 == 0:
+            found = sorted((-sum(int(a) * int(b) for a, b in zip(x, y)), i) for m, (i, y) in enumerate(rows) if m != n and i is not None and len(x) == len(y))
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
+    return sorted(out)
+
+
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    vectors = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(1200)] + [(5000, None), (5001, [1.0] * 7 + [math.nan]), (5002, [0.5] * 8), (5003, [0.5] * 8)]
-    df = mtree.quantised(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
-    rows = {r["vec_id"]: np.array(r["v"]) for r in df.collect()}
-    got = {}
-    for r in mtree.top_k(df, df.where("vec_id % 100 = 0")).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert 5000 not in rows and 5001 not in rows and set(got) == {k for k in rows if k % 100 == 0}
-    for q, best in got.items():
-        want = sorted(((int(rows[q] @ v), i) for i, v in rows.items() if i != q), key=lambda x: (-x[0], x[1]))[:10]
-        assert [(s, i) for _, i, s in sorted(best)] == want
+    vectors = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(1200)] + [(5000, None), (5001, [1.0] * 7 + [math.nan]), (5002, [0.5] * 8), (5003, [0.5] * 8), (5100, [0.5, None] * 4), (None, [9.0] * 8)]
+    # Repeated rows and ids, other lengths, many equal vectors, and numbers that doubles can't multiply exactly.
+    vectors += [(100, vectors[100][1])] * 2 + [(200, [float(x) for x in rng.normal(size=8)]), (300, [1.0, 2.0]), (301, [2.0, 1.0]), (400, [])]
+    vectors += [(6000 + k, [0.25] * 8) for k in range(400)] + [(7000, [3.0e5 + 0.123] * 8), (7001, [-3.0e5] * 8)]
+    df = mtree.quantised(spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, rank string")).cache()
+    want = exact_top([(r["vec_id"], r["v"]) for r in df.collect() if r["vec_id"] is not None])
+    for size in (mtree.CHUNK_BYTES, 5000):
+        monkeypatch.setattr(mtree, "CHUNK_BYTES", size)
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.top_k(df, df.where("vec_id % 100 = 0")).collect())
+        assert got == want
     assert mtree.top_k(df.limit(0), df.limit(0)).count() == 0
+    large = mtree.quantised(spark.createDataFrame([(100, [3.0e6] * 8), (1, [3.0e6] * 8)], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="too large"):
+        mtree.top_k(large, large.where("vec_id = 100")).collect()
+
+
+@pytest.mark.parametrize(("noise", "most"), [(0.02, 0.25), (None, 1.3)])
+def test_the_tree_leaves_out_products(noise, most):
+    # Vectors in clusters need few of the products of brute force; those without any structure all, and the routing products besides.
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 32))
+    x = rng.normal(size=(8000, 32)) if noise is None else centres[rng.integers(0, 40, 8000)] + rng.normal(0, noise, (8000, 32))
+    x = np.floor(1024 * x)
+    tree = mtree.Tree.of(np.arange(8000), x)
+    assert tree.child.max() > 0 and (tree.children > 0).sum() > 3 and tree.count.max() <= mtree.PAGE and tree.count.sum() == 8000
+    made = 0
+    for q in x[::400]:
+        found, _, n = tree.search(q, 11, -math.inf)
+        made += n
+        s = x @ q
+        want = sorted(range(8000), key=lambda j: (-s[j], j))[:11]
+        assert [i for i, _, _ in sorted(found, key=lambda f: (-f[1], f[0]))] == want
+    assert made / (20 * 8000) < most
 
 
 def test_mixing(spark, none):
