@@ -77,7 +77,8 @@ def classifier(sample: DataFrame, scratch: Scratch) -> tuple[dict[str, float], D
 def posteriors(docs: DataFrame, bias: dict[str, float], table: DataFrame | None, text: str = "text") -> DataFrame:
     """Adds n_tokens (words) and p_<domain> to every row. table: see `tabled`."""
     names = ["_words", "_hits", "_table", *[f"_{x}{k}" for x in "se" for k in range(len(DOMAINS))]]
-    out = docs.withColumn("_words", words_of(F.col(text))).withColumn("n_tokens", F.size("_words").cast("long"))
+    # Lowered as a whole, as in `labelled`: a letter's lower form may depend on its neighbours. It leaves as many words.
+    out = docs.withColumn("_words", words_of(F.lower(F.col(text)))).withColumn("n_tokens", F.size("_words").cast("long"))
     if table is None:
         score = [F.lit(bias[d]) for d in DOMAINS]
     else:
@@ -86,8 +87,7 @@ def posteriors(docs: DataFrame, bias: dict[str, float], table: DataFrame | None,
         def weights_of(w: Column) -> Column:
             return F.try_element_at(F.get("_table", F.pmod(F.xxhash64(w), F.size("_table")).cast("int")), w)
 
-        # Lowered as in `labelled`: the text as a whole, as a letter's lower form may depend on its neighbours.
-        out = out.withColumn("_hits", F.filter(F.transform(F.array_distinct(words_of(F.lower(F.col(text)))), weights_of), lambda x: x.isNotNull()))
+        out = out.withColumn("_hits", F.filter(F.transform(F.array_distinct("_words"), weights_of), lambda x: x.isNotNull()))
 
         def summed(k: int) -> Column:
             return F.aggregate("_hits", F.lit(bias[DOMAINS[k]]), lambda a, w: a + F.get(w, F.lit(k)))
