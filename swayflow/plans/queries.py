@@ -234,7 +234,7 @@ def q_circ_corr(spark, d):
     return rounded(geometry.circ_corr(t).select("id", "n", "r", "z"))
 
 
-@query(P + """, m AS (SELECT id, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS g FROM p GROUP BY id) SELECT id, i, round((x - mx) * cos(g) + (y - my) * sin(g), 4) AS proj FROM p JOIN m USING (id)""")
+@query(P + """, m AS (SELECT id, avg(x) AS mx, avg(y) AS my, atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y)) / 2 AS g FROM p GROUP BY id) SELECT id, i, round((x - mx) * cos(g) + (y - my) * sin(g), 4) + 0 AS proj FROM p JOIN m USING (id)""")
 def q_principal_axis(spark, d):
     return rounded(geometry.principal_axis_projection(points(spark, d)).select("id", "i", "proj"), 4)
 
@@ -250,7 +250,7 @@ w AS (SELECT id, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM (SELECT id, sqrt(var
 SELECT id, round(dispersion, 4) AS dispersion, round(vol, 3) AS volume, round(sqrt(vol), 4) AS extent, round(a, 4) AS within, round(dispersion / a, 4) AS drift_ratio, round(dh / b, 4) AS drift_horizontal, round(dv / c, 4) AS drift_vertical FROM m JOIN w USING (id)""")
 def q_spatial_extent_flat(spark, d):
     got = geometry.spatial_extent(points(spark, d), 40, axes=("x", "y"), vertical="y")
-    return rounded(got, 4).withColumn("volume", F.round("volume", 3))
+    return rounded(got.drop("volume"), 4).join(got.select("id", F.round("volume", 3).alias("volume")), "id")
 
 
 @query(V + """ SELECT a.id, a.i, a.v AS e0, b.v AS e1, c.v AS e2 FROM s a JOIN s b ON a.id = b.id AND b.i = a.i + 3 JOIN s c ON a.id = c.id AND c.i = a.i + 6""")
