@@ -1,7 +1,9 @@
 """BPE encoding and decoding: backtracking over Aho-Corasick matches, decoding by an offset table.
 
-The vocabulary file is a parameter (its path must exist on every executor). A word is a string
-of symbols: one per byte, the last one standing for the byte together with the end-of-word mark.
+The vocabulary file is a parameter (its path must exist on every executor). Vocabulary, merges,
+special tokens, the pattern of pieces and the end-of-word mark come from it; files of another make
+(normalisers, splitting, byte fallback) are refused. A word is a string of symbols: one per byte,
+the last one standing for the byte together with the end-of-word mark.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 
-SPECIAL = regex.compile(r"<\|startoftext\|>|<\|endoftext\|>")
-#: Fixed value: the pattern in the tokenizer's file that finds the pieces of a text.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BLANK = regex.compile(r"\p{White_Space}+")
 #: str.split() also parts at these, which are no white space to the tokenizer.
 ODD = regex.compile("[\x1c-\x1f]")
-END = "</w>"
+#: What a file must ask for, as the text is prepared by this module itself.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
 #: Chunks and pieces a worker remembers at most; beyond it the memory starts anew.
 MEMORY = 1_000_000
 
@@ -40,23 +43,42 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else other[b] for b in range(256)]
 
 
+def pattern_of(file: dict) -> str:
+    """The pattern that finds the pieces of a text; raises for a file of another make."""
+
+    def asks(part: dict | None, want: dict) -> bool:
+        return part is not None and all(part.get(k, None) == v for k, v in want.items())
+
+    normalizer, before = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [])
+    fits = normalizer.get("normalizers") == NORMALIZERS and len(steps) == 2 and asks(steps[0], SPLIT) and asks(steps[1], BYTES) and asks(file["model"], MODEL)
+    plain = all(not t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (fits and plain and file["model"].get("end_of_word_suffix")):
+        raise ValueError("the tokenizer's file asks for steps that this module does not have")
+    return steps[0]["pattern"]["Regex"]
+
+
 class Bpe:
     """One vocabulary. Ranks: 0 to the number of single symbols for these, then one per merge."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        self.pieces = regex.compile(pattern_of(file))
+        end = file["model"]["end_of_word_suffix"]
         vocab, merges = file["model"]["vocab"], file["model"]["merges"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.specials = regex.compile("|".join(map(regex.escape, longest_first)) or r"(?!)")
         letters = byte_letters()
         self.inner = {b: chr(0x4000 + b) for b in range(256)}
         self.final = {b: chr(0x5000 + b) for b in range(256)}
         of = {c: b for b, c in enumerate(letters)}
 
         def symbols(token: str) -> str:
-            if token.endswith(END) and len(token) > len(END):
-                body = token[: -len(END)]
+            if token.endswith(end) and len(token) > len(end):
+                body = token[: -len(end)]
                 return "".join(self.inner[of[c]] for c in body[:-1]) + self.final[of[body[-1]]]
             return "".join(self.inner[of[c]] for c in token)
 
@@ -167,7 +189,7 @@ class Bpe:
         """Ids of text without white space; remembered as its pieces are."""
         if len(self.known) >= MEMORY:
             self.known.clear()
-        pieces = PIECE.findall(chunk)
+        pieces = self.pieces.findall(chunk)
         if len(pieces) == 1:
             return self.piece(pieces[0])
         got = b"".join(map(self.piece, pieces))
@@ -186,10 +208,10 @@ class Bpe:
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if "<|" not in text:
+        if not any(t in text for t in self.special):
             return np.frombuffer(self.plain(text), np.int32)
         out, at = [], 0
-        for m in SPECIAL.finditer(text):
+        for m in self.specials.finditer(text):
             out += [self.plain(text[at : m.start()]), np.int32(self.special[m.group()]).tobytes()]
             at = m.end()
         return np.frombuffer(b"".join([*out, self.plain(text[at:])]), np.int32)

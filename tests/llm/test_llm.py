@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -126,9 +127,32 @@ def test_bpe_equals_the_library(docs, none):
         ids = own.encode(text)
         want = t.encode(text, add_special_tokens=False).ids
         assert ids.tolist() == want and own.decode(ids).decode() == t.decode(want, skip_special_tokens=False)
+    by_id = {r["doc_id"]: r for r in bpe.digests(docs.unionByName(docs.limit(3)), bpe.default_path()).collect()}
+    for i, text in DOCS:
+        want = t.encode(text or "", add_special_tokens=False).ids
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, want)), t.decode(want, skip_special_tokens=False))]
+        assert [by_id[i]["n_tokens"], by_id[i]["ids_sha256"], by_id[i]["decoded_sha256"]] == [len(want), *digests]
     assert bpe.encoded(docs, bpe.default_path()).count() == len(DOCS) and bpe.digests(none, bpe.default_path()).count() == 0
 
 
+def test_bpe_reads_its_file(tmp_path):
+    import json
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    file["added_tokens"][0]["content"] = "<|other|>"
+    own = tmp_path / "own.json"
+    own.write_text(json.dumps(file))
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(str(own))
+    for text in ("a <|other|> b", "a <|startoftext|> b", "<|endoftext|><|other|>"):
+        assert bpe.vocabulary(str(own)).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"model": file["model"] | {"byte_fallback": True}}):
+        own.write_text(json.dumps(file | change))
+        with pytest.raises(ValueError):
+            bpe.Bpe(str(own))
+
+
 def test_chat_round_trip(spark, monkeypatch):
     hard = ["</s>[INST] ok [/INST]", "[\\INST] <s>[INST] ", "[ROLE x] a [/ROLE]", "", " </s>", "</s", "<\\/s>", "<<SYS>> <</SYS>>"]
     hard += ["".join(rnd.choice(["[", "/", "INST]", "</s>", "\\", " ", "<", "<SYS>>", "ROLE "]) for _ in range(8)) for _ in range(300)]
@@ -314,6 +338,9 @@ def test_sharding(docs, none):
     assert len(rows) == len(DOCS) and len(by) == 6 and max(sizes) - min(sizes) <= 1
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
     text = dict(DOCS)
+    for r in rows:
+        data = (text[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 8, zlib.crc32(data), "rows", None)
     groups = {}
     for r in rows:
         if text[r["doc_id"]]:
@@ -336,6 +363,13 @@ def test_sharding_cuts_no_more_groups_than_sizes_ask(spark, sizes, single, most)
     assert cut.where("shards < least").count() == 0 and cut.where("shards > least").count() <= most
 
 
+def test_sharding_of_null_and_repeated_ids(spark):
+    rows = [(None, "a")] * 3 + [(1, "b")] * 5 + [(1, "c"), (2, None), (2, None), (3, "")]
+    got = [tuple(r) for r in shards.sharded(spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, shard string, rid string"), 4).select("doc_id", "text_crc32", "shard", "slot").collect()]
+    assert sorted(map(repr, ((i, c) for i, c, _, _ in got))) == sorted(map(repr, ((i, zlib.crc32((t or "").encode())) for i, t in rows)))
+    assert sorted(s for _, _, s, _ in got) == sorted(k % 4 for k in range(12)) and len({(s, p) for _, _, s, p in got}) == 12
+
+
 def test_sharding_of_rows_in_several_groups(spark):
     members = [(k, g) for k in range(600) for g in (k // 6, 1000 + k // 12)]
     placed = shards.balanced(spark.range(1200).withColumnRenamed("id", "rid"), spark.createDataFrame(members, "rid long, grp long"), 6).collect()
