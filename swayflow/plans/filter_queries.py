@@ -20,19 +20,26 @@ FS = 32.0
 
 
 def passes(name: str, source: str, stages: list[tuple], pad: int) -> str:
-    """CTEs that filter `source` (id, i, v) by stages (b, a), each of order two, into `name`."""
+    """CTEs that filter `source` (id, i, v) by stages (b, a) into `name`."""
     out = [f"""{name}_n AS (SELECT id, max(i) + 1 AS n, arg_min(v, i) AS v0, arg_max(v, i) AS v1 FROM {source} GROUP BY id)""",
            f"""{name}_0 AS (SELECT id, i + {pad} AS k, v FROM {source} UNION ALL SELECT id, {pad} - i, 2 * v0 - v FROM {source} JOIN {name}_n USING (id) WHERE i BETWEEN 1 AND {pad} UNION ALL SELECT id, {pad} + 2 * (n - 1) - i, 2 * v1 - v FROM {source} JOIN {name}_n USING (id) WHERE i BETWEEN n - 1 - {pad} AND n - 2)"""]
     last = f"{name}_0"
     for way in range(2):
         gain, begin = 1.0, last
         for k, (b, a) in enumerate(stages):
-            b0, b1, b2, a1, a2 = (repr(float(x)) for x in (*[x / a[0] for x in b], a[1] / a[0], a[2] / a[0]))
-            z1, z2 = (repr(float(z * gain)) for z in signal.steady(np.array(b), np.array(a)))
+            b, a = ([x / a[0] for x in c] for c in (b, a))
+            n = len(a) - 1
+            z = [repr(float(x * gain)) for x in signal.steady(np.array(b), np.array(a))]
             now = f"{name}_{way}{k}"
-            y = f"{b0} * v + {z1} * lvl"
-            out.append(f"""{now}r(id, k, y, s1, s2) AS (SELECT id, k, {y}, {b1} * v - {a1} * ({y}) + {z2} * lvl, {b2} * v - {a2} * ({y}) FROM {last} JOIN (SELECT id, v AS lvl FROM {begin} WHERE k = 0) USING (id) WHERE k = 0
- UNION ALL SELECT x.id, x.k, {b0} * v + s1, {b1} * v - {a1} * ({b0} * v + s1) + s2, {b2} * v - {a2} * ({b0} * v + s1) FROM {now}r r JOIN {last} x ON x.id = r.id AND x.k = r.k + 1)""")
+
+            def states(y: str, before: list[str], b=b, a=a, n=n) -> str:
+                """What is kept of a sample: the next sample's sums."""
+                return ", ".join(f"{float(b[j])!r} * v - {float(a[j])!r} * ({y})" + (f" + {before[j]}" if j < n else "") for j in range(1, n + 1))
+
+            first, later = f"{float(b[0])!r} * v + {z[0]} * lvl", f"{float(b[0])!r} * v + s1"
+            names = ", ".join(f"s{j}" for j in range(1, n + 1))
+            out.append(f"""{now}r(id, k, y, {names}) AS (SELECT id, k, {first}, {states(first, [f"{x} * lvl" for x in z])} FROM {last} JOIN (SELECT id, v AS lvl FROM {begin} WHERE k = 0) USING (id) WHERE k = 0
+ UNION ALL SELECT x.id, x.k, {later}, {states(later, [f"s{j}" for j in range(1, n + 1)])} FROM {now}r r JOIN {last} x ON x.id = r.id AND x.k = r.k + 1)""")
             out.append(f"{now} AS (SELECT id, k, y AS v FROM {now}r)")
             last, gain = now, gain * sum(b) / sum(a)
         out.append(f"{name}_b{way} AS (SELECT id, n + {2 * pad - 1} - k AS k, v FROM {last} JOIN {name}_n USING (id))")
@@ -106,3 +113,28 @@ def q_qom_position(spark, d):
 
     got = kernels.apply(to_series(points(spark, d), "x", "y", "z"), kernel, ["x", "y", "z"], "mean double, median double, n_samples long, edge_samples long")
     return rounded(got.drop("warnings"), 4)
+
+
+@query(S + ", " + sos("y", "s", signal.sections(4, 1.0, 6.0, FS)) + " SELECT id, round(sqrt(avg(v * v)), 6) AS rms FROM y GROUP BY id")
+def q_band_rms(spark, d):
+    return rounded(kernels.apply(signals(spark, d), lambda x: {"rms": kernels.band_rms(x, FS, (1.0, 6.0))}, ["x"], "rms double").drop("warnings"))
+
+
+@query(S + ", " + sos("a", "s", signal.sections(4, 0.5, 5.0, FS)) + ", c AS (SELECT id, i, sum(v) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) / 32 AS v FROM a), " + sos("y", "c", signal.sections(4, 0.5, 5.0, FS)) + " SELECT id, i::BIGINT AS i, round(abs(v) * 1000, 4) AS v FROM y")
+def q_speed_from_acceleration(spark, d):
+    got = kernels.apply(signals(spark, d), lambda x: {"y": kernels.norm(kernels.velocity_from_acceleration(x, FS, lo=0.5, hi=5.0))}, ["x"], "y array<double>")
+    return rounded(got.select("id", F.posexplode("y").alias("i", "v")).select("id", F.col("i").cast("long").alias("i"), "v"), 4)
+
+
+@query(S + ", " + passes("y", "s", [signal.polynomial(2, 0.5, 6.0, FS)], 15) + ", v AS (SELECT id, abs(v - lag(v) OVER (PARTITION BY id ORDER BY i)) * 32 AS v FROM y) SELECT id, round(avg(v), 5) AS mean, count(v) AS n FROM v GROUP BY id")
+def q_older_speed(spark, d):
+    def kernel(x):
+        speed, _ = kernels.band_limited_qom(x[:, None], FS, 0.5, 6.0, 2)
+        return {"mean": speed.mean(), "n": len(speed)}
+
+    return rounded(kernels.apply(signals(spark, d), kernel, ["x"], "mean double, n long").drop("warnings"), 5)
+
+
+@query(S + ", " + passes("a", "s", [signal.polynomial(2, 1.0, None, FS)], 9) + ", c AS (SELECT id, i, sum(v) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) / 32 AS v FROM a), " + passes("y", "c", [signal.polynomial(2, 1.0, None, FS)], 9) + " SELECT id, round(avg(abs(v)), 6) AS mean FROM y GROUP BY id")
+def q_accel_to_speed(spark, d):
+    return rounded(kernels.apply(signals(spark, d), lambda x: {"mean": kernels.accel_to_speed(x[:, None], FS, 1.0).mean()}, ["x"], "mean double").drop("warnings"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal
+from ..model import to_series
 from ..operators import channels, geometry, kernels, scaling, timing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +143,25 @@ def q_channel_rate(spark, d):
     return rounded(timing.channel_rate(events(spark, d)), 9)
 
 
+@query("""WITH q AS (SELECT DISTINCT l_orderkey AS id, l_quantity::DOUBLE AS x, (l_extendedprice / 1000)::DOUBLE AS y FROM lineitem),
+e AS (SELECT a.id, a.x AS ax, a.y AS ay, b.x AS qx, b.y AS qy FROM q a JOIN q b ON a.id = b.id AND (a.x, a.y) <> (b.x, b.y)),
+t AS (SELECT e.id, ax, ay, qx, qy, (qx - ax) * (c.y - ay) - (qy - ay) * (c.x - ax) AS turn, (c.x - ax) * (c.x - qx) + (c.y - ay) * (c.y - qy) AS inside FROM e JOIN q c ON c.id = e.id),
+h AS (SELECT id, ax * qy - qx * ay AS a, max(turn) AS most FROM t GROUP BY id, ax, ay, qx, qy HAVING bool_and(turn > 1e-9 OR (abs(turn) <= 1e-9 AND inside <= 1e-9)))
+SELECT id, round(sum(a) / 2, 6) AS area FROM h GROUP BY id HAVING max(most) > 1e-9""")
+def q_convex_hull(spark, d):
+    """The hull of the lines of each order."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("i"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"))
+    got = kernels.apply(to_series(li, "x", "y"), lambda x, y: {"area": kernels.convex_hull_area(zip(x, y))}, ["x", "y"], "area double")
+    return rounded(got.where("area > 1e-9").select("id", "area"))
+
+
+@query(V + """, w AS (SELECT a.id, a.i, sum(b.v * (177 - 15 * (b.i - a.i) ** 2) / 693.0) AS y FROM s a JOIN s b ON a.id = b.id AND abs(b.i - a.i) <= 4 WHERE a.i BETWEEN 4 AND 59 GROUP BY a.id, a.i) SELECT id, i::BIGINT AS i, round(y, 6) AS y FROM w""")
+def q_envelope(spark, d):
+    """The inner samples of the smoothed signals; the ends are the polynomials of the outermost windows, which tests hold."""
+    got = kernels.apply(signals(spark, d), lambda x: {"y": kernels.envelope(x, 32.0, 0.25, False)}, ["x"], "y array<double>")
+    return rounded(got.select("id", F.posexplode("y").alias("i", "y")).where("i BETWEEN 4 AND 59").select("id", F.col("i").cast("long").alias("i"), "y"))
+
+
 @query(P + """, s AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM p WINDOW w AS (PARTITION BY id ORDER BY i)) SELECT id, round(coalesce(sum(d), 0), 4) AS path, round(coalesce(sum(d), 0) * 10 / count(*), 4) AS path_rate FROM s GROUP BY id""")
 def q_path_length(spark, d):
     return rounded(geometry.path_length(points(spark, d), 10.0), 4)
@@ -344,6 +364,16 @@ def q_icc_moments(spark, d):
     return geometry.group_moments(c).select("grp", "n", F.round("mean", 4).alias("mean"), F.round("ssw", 2).alias("ssw"))
 
 
+@query(V + """, g AS (SELECT id, v + (id % 7) / 10.0 AS v FROM s), m AS (SELECT id, count(*) AS n, avg(v) AS mean, var_pop(v) * count(*) AS ssw FROM g GROUP BY id), t AS (SELECT max(n) AS k, var_samp(mean) * max(n) AS msb, sum(ssw) / (sum(n) - count(*)) AS msw, count(*) AS groups, sum(n)::BIGINT AS n FROM m)
+SELECT groups AS n_groups, n, round((msb - msw) / (msb + (k - 1) * msw), 4) AS icc, round((msb - msw) / k, 4) AS between, round(msw, 4) AS within FROM t""")
+def q_icc(spark, d):
+    """Groups of equal size, where the restricted maximum likelihood is the analysis of variance."""
+    g = samples(spark, d).select(F.col("id").alias("grp"), (F.col("v") + F.col("id") % 7 / F.lit(10.0)).alias("v"))
+    rows = [(r["n"], r["mean"], r["ssw"]) for r in geometry.group_moments(g).collect()]  # a row for each group
+    got = geometry.intraclass_correlation(rows)
+    return rounded(spark.range(1).select(F.lit(len(rows)).cast("long").alias("n_groups"), F.lit(sum(n for n, _, _ in rows)).cast("long").alias("n"), *[F.lit(got[k]).alias(k) for k in ("icc", "between", "within")]), 4)
+
+
 @query("SELECT c_custkey AS k, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2.0 AS rank FROM customer")
 def q_average_rank(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), "c_nationkey", F.col("c_acctbal").alias("v"))
@@ -485,4 +515,4 @@ def q_welch_spectrum(spark, d):
 
 
 # Queries of the other modules register themselves.
-from . import check_queries, filter_queries, spectral_queries  # noqa: E402,F401
+from . import check_queries, filter_queries, live_queries, spectral_queries  # noqa: E402,F401

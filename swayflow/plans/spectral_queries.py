@@ -145,3 +145,21 @@ def q_search_lag(spark, d):
         return kernels.search_lag(t, np.r_[x, x[-1]], t, np.r_[x[::-1], x[0]], 8.0, 1.0, 50.0)
 
     return rounded(of(spark, d, kernel, "lag_s double, r double, n_overlap long, confident boolean"))
+
+
+@query(V + """, x AS (SELECT id, i, v - lag(v) OVER (PARTITION BY id ORDER BY i) AS d, v * v - lag(v * v) OVER (PARTITION BY id ORDER BY i) AS e FROM s),
+z AS (SELECT id, i, (d - avg(d) OVER w) / stddev_pop(d) OVER w AS a, (e - avg(e) OVER w) / stddev_pop(e) OVER w AS b, count(*) OVER w AS n FROM x WHERE d IS NOT NULL WINDOW w AS (PARTITION BY id)),
+r AS (SELECT a.id, l.lag, sum(a.a * b.b) / max(a.n) AS r FROM z a, (SELECT unnest(range(-6, 7)) AS lag) l JOIN z b ON a.id = b.id AND b.i = a.i + l.lag GROUP BY a.id, l.lag)
+SELECT id, arg_max(lag, r)::DOUBLE AS lag_s, round(max(r), 6) AS r, max(r) >= 0.5 AS reliable FROM r GROUP BY id""")
+def q_xcorr_lag(spark, d):
+    return rounded(of(spark, d, lambda x: kernels.xcorr_lag(x, x * x, 1.0, 6.0), "lag_s double, r double, reliable boolean"))
+
+
+@query(V + """, c AS (SELECT id, i, v - avg(v) OVER w AS a, v * v - avg(v * v) OVER w AS b FROM s WINDOW w AS (PARTITION BY id)),
+f AS (SELECT id, k, sum(a * cos(2 * pi() * k * i / 64)) AS ac, sum(a * sin(2 * pi() * k * i / 64)) AS sa, sum(b * cos(2 * pi() * k * i / 64)) AS bc, sum(b * sin(2 * pi() * k * i / 64)) AS sb FROM c, (SELECT unnest(range(1, 32)) AS k) GROUP BY id, k),
+h AS (SELECT f.id, i, sum(ac * sin(2 * pi() * k * i / 64) - sa * cos(2 * pi() * k * i / 64)) / 32 AS ai, sum(bc * sin(2 * pi() * k * i / 64) - sb * cos(2 * pi() * k * i / 64)) / 32 AS bi FROM f, (SELECT unnest(range(0, 64)) AS i) GROUP BY f.id, i),
+p AS (SELECT id, atan2(ai, a) - atan2(bi, b) AS d FROM h JOIN c USING (id, i))
+SELECT id, round(sqrt(avg(cos(d)) ** 2 + avg(sin(d)) ** 2), 5) AS plv, round(atan2(avg(sin(d)), avg(cos(d))), 4) + 0 AS phase FROM p GROUP BY id""")
+def q_phase_locking(spark, d):
+    got = of(spark, d, lambda x: kernels.plv(x, x * x), "plv double, phase double")
+    return got.select("id", F.round("plv", 5).alias("plv"), (F.round("phase", 4) + 0.0).alias("phase"))
