@@ -297,6 +297,20 @@ def group_moments(df: DataFrame) -> DataFrame:
     return df.where("v is not null").groupBy("grp").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("*")).alias("ssw"))
 
 
+def icc(df: DataFrame, log: bool | None = None) -> dict:
+    """The share of a measure's variance that lies between groups (grp, v), with both parts, counts, and whether the fit ended at 0.
+
+    log: on logarithms; if it is left open, where all values are positive. One row per group comes to the driver.
+    """
+    d = df.where("v is not null and grp is not null")
+    few = d.agg(F.count("*").alias("n"), F.countDistinct("grp").alias("g"), F.min("v").alias("least")).first()
+    if few["n"] < 3 or few["g"] < 2:
+        raise ValueError("two groups and three values are needed")
+    log = few["least"] > 0 if log is None else log
+    rows = group_moments(d.withColumn("v", F.log("v")) if log else d).collect()
+    return intraclass_correlation([(r["n"], r["mean"], r["ssw"]) for r in rows]) | {"n": few["n"], "n_groups": few["g"], "log": bool(log)}
+
+
 def intraclass_correlation(moments: list[tuple[int, float, float]]) -> dict:
     """Random-intercept REML from (n, mean, ssw) per group: a one-dimensional profile on the driver, as long as there are groups."""
     total = sum(n for n, _, _ in moments)

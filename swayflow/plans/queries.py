@@ -369,9 +369,8 @@ SELECT groups AS n_groups, n, round((msb - msw) / (msb + (k - 1) * msw), 4) AS i
 def q_icc(spark, d):
     """Groups of equal size, where the restricted maximum likelihood is the analysis of variance."""
     g = samples(spark, d).select(F.col("id").alias("grp"), (F.col("v") + F.col("id") % 7 / F.lit(10.0)).alias("v"))
-    rows = [(r["n"], r["mean"], r["ssw"]) for r in geometry.group_moments(g).collect()]  # a row for each group
-    got = geometry.intraclass_correlation(rows)
-    return rounded(spark.range(1).select(F.lit(len(rows)).cast("long").alias("n_groups"), F.lit(sum(n for n, _, _ in rows)).cast("long").alias("n"), *[F.lit(got[k]).alias(k) for k in ("icc", "between", "within")]), 4)
+    got = geometry.icc(g, False)
+    return rounded(spark.range(1).select(*[F.lit(got[k]).cast("long").alias(k) for k in ("n_groups", "n")], *[F.lit(got[k]).alias(k) for k in ("icc", "between", "within")]), 4)
 
 
 @query("SELECT c_custkey AS k, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2.0 AS rank FROM customer")

@@ -125,6 +125,13 @@ def test_older_speeds():
     scaled = kernels.accel_to_speed(acc * 37, FS, normalize_gravity=True)[3000:-3000]
     assert abs(scaled.max() / v.max() - 1) < 0.01
     pose = np.stack([body(3000)[:, :2]] * 4, 1)
+    hidden = pose.copy()
+    hidden[1000:2000, 1] = np.nan
+    seen, worn = (kernels.group_qom(hidden, 30, normalize=n) for n in ("visible", "worn"))
+    assert abs(seen["qom"] / kernels.group_qom(pose, 30)["qom"] - 1) < 0.05 and worn["qom"] < 0.95 * seen["qom"] and seen["fs"] == 30
+    assert math.isnan(kernels.group_qom(np.full((50, 2, 2), np.nan), 30)["qom"])
+    with pytest.raises(ValueError):
+        kernels.group_qom(pose, 30, normalize="all")
     assert abs(kernels.pose_qom(pose, 30)["qom"] - kernels.pose_qom(pose[:, 0], 30)["qom"]) < 1e-9
 
 
@@ -238,6 +245,17 @@ def test_directions(spark):
     assert abs(geometry.axial_rayleigh(axes).first()["mean_axis_deg"] - 89.75) < 0.3
 
 
+def test_icc_of_logarithms(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(np.exp(m + rng.normal()))) for g, m in enumerate(rng.normal(0, 2, 30)) for _ in range(10)]
+    got = geometry.icc(spark.createDataFrame(rows, "grp long, v double"))
+    assert got["log"] and (got["n"], got["n_groups"]) == (300, 30) and 0.6 < got["icc"] < 0.95 and not got["boundary"]
+    flat = geometry.icc(spark.createDataFrame([(k % 5, float(k // 5 % 4) - 2) for k in range(200)], "grp long, v double"))
+    assert flat["boundary"] and not flat["log"]
+    with pytest.raises(ValueError):
+        geometry.icc(spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0)], "grp long, v double"))
+
+
 def test_errors_are_all_listed(spark):
     f = spark.createDataFrame([(str(k), "x", "error", "m") for k in range(250)] + [("w", "x", "warning", "m")], "id string, check string, severity string, message string")
     with pytest.raises(ValueError) as e:
