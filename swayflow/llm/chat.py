@@ -208,3 +208,20 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :said), (-7L, 1L, 'assistant', :said) AS t(conv_id, turn, role, text)", {"said": said})
     return read_back(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
+#: A text is escaped where it holds a control string, with or without backslashes; each gets one character more.
+SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), m AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '(\[|<)(\\*)(/?INST\]|/?s>|</?SYS>>|/SYS>>|/?ROLE[ \]])')) AS body,
+         CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 16 + length(role) + len(regexp_extract_all(role, '[\\\]]')) END AS marks
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(body + marks)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""

@@ -18,6 +18,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLES = {
+    "op4_chat": chat.SQL,
     "op3_exact_top_k": mtree.SQL, "op5_ngram_jaccard_join": jaccard.SQL, "op6_url_filters": urls.SQL,
     "op8_warc": warc.SQL, "op10_quality_rules": quality.SQL,
 }
