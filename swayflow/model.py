@@ -52,7 +52,7 @@ def runs(df: DataFrame, flag: Column, name: str = "run") -> DataFrame:
 
 
 def to_series(df: DataFrame, *cols: str) -> DataFrame:
-    """One row per id with an array per column, in the order of i: the form kernels take. The only shuffle a kernel query needs."""
+    """One row per id with an array per column, in the order of i: the form kernels take. The only shuffle a kernel query needs. A series must fit into a row (2 GB) and into the memory of the task that holds it; what is longer has the relational operators."""
     packed = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", *cols))).alias("_s"))
     return packed.select("id", *[F.transform(F.col("_s"), _field(c)).alias(c) for c in cols])
 

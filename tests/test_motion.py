@@ -101,6 +101,26 @@ def test_bare_peaks_tell_where_there_is_none():
         kernels.cardiac_peak(np.cumsum(rng.normal(size=12_000)), FS)
 
 
+def test_an_estimate_that_is_the_edge_follows_it(spark):
+    rng, t = np.random.default_rng(9), np.arange(0, 300, 0.1)
+    tones = {k: np.sin(2 * np.pi * f * t) + 0.5 * rng.normal(size=len(t)) for k, f in enumerate((0.85, 0.9, 0.95, 1.0))}
+    red = {k: np.cumsum(rng.normal(size=len(t))) for k in range(4)}
+    for rows, follows in ((tones, False), (red, True)):
+        s = spark.createDataFrame([(k, [float(v) for v in x], 0.85 + 0.05 * k) for k, x in rows.items()], "id long, x array<double>, reference double")
+        got = kernels.edge_sweep(s, 10.0, (0.5, 2.0)).orderBy("edge").collect()
+        assert len(got) == 5 and {r["follows"] for r in got} == {follows}
+        if not follows:
+            assert all(abs(r["freq"] - 0.925) < 0.02 and r["r"] > 0.99 for r in got)
+    with pytest.raises(ValueError):
+        kernels.edge_sweep(s, 10.0, (0.5, 2.0), edges=[0.5, 0.4, 0.6])
+
+
+def test_claps_at_the_ends():
+    x = np.random.default_rng(10).normal(0, 0.01, 6000)
+    x[[300, 3000, 5700]] += 5
+    assert [round(v, -1) for v in kernels.find_transient(x, FS)] == [300, 3000, 5700] and [round(v, -1) for v in kernels.find_transient(x, FS, search_s=10)] == [300, 5700]
+
+
 def test_filters_tell_what_they_were_given():
     assert S.effective_band(100.0) == (0.2, 5.0) and S.effective_band(10.0) == (0.2, 4.95)
     with pytest.warns(RuntimeWarning, match="held"):
@@ -295,6 +315,12 @@ def test_layouts(spark, tmp_path):
     assert [r["v"] for r in got["ax3"] if r["channel"] == "y"] == [0.0, 0.5]
     assert sorted((r["channel"], r["v"]) for r in got["balance"] if r["i"] == 0) == [("cop x", 0.4 * 433.0), ("cop y", 0.6 * 238.0)] and all(r["v"] is None for r in got["balance"] if r["i"] == 1)
     assert {r["fs"] for r in got["fnirs"]} == {50.0} and [r["v"] for r in got["fnirs"]][:3] == [0.0, 0.0, 1.0]
+    about = readers.recordings(spark, str(tmp_path / "old.tsv")).first()
+    assert (about["layout"], about["n_samples"], about["channels"]) == ("qualisys", 2, ["A X", "A Y", "A Z"]) and about["meta"]["n_markers"] == "1" and about["meta"]["header_marker_names"] == "A"
+    gone = readers.read_qualisys(["NO_OF_FRAMES\t3", "FREQUENCY\t100", "MARKER_NAMES\tA", "1\t2\t3", "0\t0\t0", "4\t5\t6"], drop_gaps=True)
+    assert gone["x"].tolist() == [[1, 2, 3], [4, 5, 6]] and gone["t"].tolist() == [0.0, 0.02] and gone["fs"] == 100
+    phone = readers.read_phone(["time\tgFx\tgFy\tgFz\tax"] + [f"{k / 100 + (5 if k > 60 else 0)}\t{k // 2}\t1\t1\t0" for k in range(100)])
+    assert phone["meta"]["gaps"] == [(0.6, 5.61)] and phone["meta"]["segments"] == [(0, 61), (61, 100)] and abs(phone["fs"] - 100) < 1e-6 and abs(phone["meta"]["longest_continuous_s"] - 0.6) < 1e-9 and abs(phone["meta"]["channel_rates"]["accel"] - 50 / 5.99) < 0.1
     readers.write_channels(readers.read(spark, str(tmp_path / "sverm.txt"), "sverm"), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out")).where("layout = 'sverm'")
     assert back.count() == 6 and "PartitionFilters: [isnotnull(layout" in back._jdf.queryExecution().explainString(back.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
