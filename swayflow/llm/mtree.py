@@ -261,24 +261,21 @@ class Queries:
         return self.worst[dim, n]
 
 
-def searched(trees: Iterator[dict], queries: Queries) -> Iterator[list[tuple]]:
-    """Rows of FOUND for each subtree, best regions' bounds first known; leaves out whole subtrees by their distance to the upper centre."""
-    for r in trees:
-        dim, tree = r["dim"], None
+def searched(rows: list[dict], queries: Queries) -> Iterator[list[tuple]]:
+    """Rows of FOUND of each block of queries in some subtrees, by one pass over the queries; whole subtrees are left out by their distance to the upper centre."""
+    trees: dict[int, list[tuple[Tree, np.ndarray, float]]] = {}
+    for r in rows:
+        upper = queries.fit[r["dim"]][2][r["top"]] if r["dim"] in queries.fit else np.zeros(r["dim"])
+        trees.setdefault(r["dim"], []).append((Tree.read(r["tree"], r["dim"]), upper, r["to_top"] + r["far"]))
+    for dim, held in trees.items():
         for n, keys, q in queries.blocks(dim):
-            worst = queries.bounds(dim, n, q)
+            worst, out = queries.bounds(dim, n, q), []
             norm = np.sqrt((q * q).sum(1))
-            upper = queries.fit[dim][2][r["top"]] if dim in queries.fit else np.zeros(dim)
-            bound = q @ upper + norm * (r["to_top"] + r["far"])
-            open_ = np.flatnonzero(bound + SLACK * (np.abs(bound) + norm * norm + 1) >= worst)
-            if not len(open_):
-                continue
-            tree = tree or Tree.read(r["tree"], dim)
-            out = []
-            for j in open_.tolist():
-                got, worst[j], made = tree.search(q[j], queries.k, float(worst[j]))
-                queries.made = getattr(queries, "made", 0) + made
-                out += [(*keys[j], i, s, o and i == keys[j][0]) for i, s, o in got]
+            for tree, upper, far in held:
+                bound = q @ upper + norm * far
+                for j in np.flatnonzero(bound + SLACK * (np.abs(bound) + norm * norm + 1) >= worst).tolist():
+                    got, worst[j], _ = tree.search(q[j], queries.k, float(worst[j]))
+                    out += [(*keys[j], i, s, o and i == keys[j][0]) for i, s, o in got]
             if out:
                 yield out
 
@@ -290,7 +287,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     query's length are compared. Null ids take no part. Repeated rows are candidates each, and
     queries each: rows that share an id are told apart by their vectors, and the result of a row
     that stands several times is repeated as often. Other columns are not looked at; an empty table
-    gives none. A result whose score needs over 64 bits raises. A task holds one subtree, one block of queries, and 8 bytes for each query.
+    gives none. A result whose score needs over 64 bits raises. A task holds the subtrees of a split of their files, one block of queries, and 8 bytes for each query.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "mtree")
@@ -302,8 +299,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Queries(folder, k + 1, told.value)  # the query's own row may be among the best
-        for rows in searched((r for b in batches for r in b.to_pylist()), known):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for b in batches:
+            for rows in searched(b.to_pylist(), known):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     found = chunks.mapInArrow(search, FOUND)
     # Of each query the k + 1 best rows are kept before and after the shuffle; its own row, if it is among them, is left out once.
