@@ -4,8 +4,7 @@ DataFrame operations only. The classifier adds up, over the words, the log-odds
 against the others given that the text has the word or has it not. They count as far as the
 labelled rows bear them out: they are multiplied by 1 - EVIDENCE / G, G being the
 log-likelihood ratio of the word's counts, and are 0 below it. All words of the labelled rows are
-looked at; their weights are one row, an array of small maps by the words' hash, in which each
-text looks up its own words, so that no text is exploded or shuffled.
+looked at; those that say something meet the words of the texts by broadcast.
 
 Rates r >= 0 minimise the squared distance of the expected token totals sum(r * tokens *
 p(domain)) from the targets, with a slight pull (RIDGE) to r = 1 that makes them unique. The
@@ -74,39 +73,27 @@ def classifier(sample: DataFrame, scratch: Scratch) -> tuple[dict[str, float], D
     return {d: math.log(n[d] / rows) + (none[d] or 0.0) if d in used else -math.inf for d in DOMAINS}, words.select("word", "w")
 
 
-def posteriors(docs: DataFrame, bias: dict[str, float], table: DataFrame | None, text: str = "text") -> DataFrame:
-    """Adds n_tokens (words) and p_<domain> to every row. table: see `tabled`."""
-    names = ["_words", "_hits", "_table", *[f"_{x}{k}" for x in "se" for k in range(len(DOMAINS))]]
-    # Lowered as a whole, as in `labelled`: a letter's lower form may depend on its neighbours. It leaves as many words.
-    out = docs.withColumn("_words", words_of(F.lower(F.col(text)))).withColumn("n_tokens", F.size("_words").cast("long"))
-    if table is None:
-        score = [F.lit(bias[d]) for d in DOMAINS]
-    else:
-        out = out.crossJoin(F.broadcast(table))  # one row
-
-        def weights_of(w: Column) -> Column:
-            return F.try_element_at(F.get("_table", F.pmod(F.xxhash64(w), F.size("_table")).cast("int")), w)
-
-        out = out.withColumn("_hits", F.filter(F.transform(F.array_distinct("_words"), weights_of), lambda x: x.isNotNull()))
-
-        def summed(k: int) -> Column:
-            return F.aggregate("_hits", F.lit(bias[DOMAINS[k]]), lambda a, w: a + F.get(w, F.lit(k)))
+def posteriors(docs: DataFrame, bias: dict[str, float], words: DataFrame | None, text: str = "text") -> DataFrame:
+    """Adds n_tokens (words) and p_<domain> to every row, of which the text is dropped; words: as `classifier` gives them, of at most LABELLED_BYTES of text.
 
-        score = [summed(k) for k in range(len(DOMAINS))]
+    The distinct words of a text meet their weights by broadcast. A text's words are in one task, so
+    they are summed there, and one narrow row of each text is shuffled.
+    """
+    # Lowered as a whole, as in `labelled`: a letter's lower form may depend on its neighbours. It leaves as many words.
+    out = docs.withColumn("_words", words_of(F.lower(F.col(text)))).withColumn("n_tokens", F.size("_words").cast("long")).drop(text)
+    score = [F.lit(bias[d]) for d in DOMAINS]
+    if words is not None:
+        keys = [c for c in out.columns if c != "_words"]
+        weights = F.broadcast(words.select(F.col("word").alias("_word"), *[F.get("w", F.lit(k)).alias(f"_w{k}") for k in range(len(DOMAINS))]))
+        each = out.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keys, F.explode_outer(F.array_distinct("_words")).alias("_word")).join(weights, "_word", "left")
+        out = each.groupBy("_row", *keys).agg(*[F.sum(f"_w{k}").alias(f"_w{k}") for k in range(len(DOMAINS))]).drop("_row")
+        score = [b + F.coalesce(F.col(f"_w{k}"), F.lit(0.0)) for k, b in enumerate(score)]
     out = out.withColumns({f"_s{k}": s for k, s in enumerate(score)})
     top = F.greatest(*[F.col(f"_s{k}") for k in range(len(DOMAINS))])
     out = out.withColumns({f"_e{k}": F.exp(F.col(f"_s{k}") - top) for k in range(len(DOMAINS))})
     total = sum(F.col(f"_e{k}") for k in range(len(DOMAINS)))
     out = out.withColumns({f"p_{d}": F.col(f"_e{k}") / total for k, d in enumerate(DOMAINS)})
-    return out.drop(*names)
-
-
-def tabled(words: DataFrame) -> DataFrame:
-    """One row, _table: the words' weights as an array of small maps, by hash. It has at most the words of LABELLED_BYTES of text."""
-    size = max(64, words.count())
-    maps = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(size)).alias("k")).agg(F.collect_list(F.struct("word", "w")).alias("m"))
-    every = words.sparkSession.range(size).withColumnRenamed("id", "k").join(maps, "k", "left")
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: F.map_from_entries(x["m"])).alias("_table"))
+    return out.drop("_words", *[f"_{x}{k}" for x in "wse" for k in range(len(DOMAINS))])
 
 
 def rates(rows: DataFrame, targets: dict[str, float]) -> tuple[Column, dict[str, float], int]:
@@ -150,8 +137,8 @@ def rates(rows: DataFrame, targets: dict[str, float]) -> tuple[Column, dict[str,
     return rate(z), dict(zip(used, have.tolist())), steps
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>, rate, copies, residual of every row, after the columns named in `keep`.
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, p_<domain>, rate, copies, residual, place (a hash of the text) of every row.
 
     copies is the whole part of the rate, plus one with the chance of the rest by a hash of the
     row, so repeated rows are rated and copied alike. residual: how far the farthest domain's share
@@ -159,25 +146,18 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     Null or empty texts have no tokens and the domains' prior; domains of fewer than LEAST_LABELLED
     labelled rows have p 0 and no target, and where that holds for all, all are as likely. Rows
     without an id are never labelled. There are no ties to break. A text of any length is one row of
-    one task. An empty table gives none; columns that are not kept are not looked at, and kept ones
-    must not have the names above.
+    one task. An empty table gives none; other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     body = docs.select("doc_id", F.col(text).alias("text"))
     bias, words = classifier(labelled(body, labels, scratch), scratch)
-    table = None if words is None else scratch.save("table", tabled(words))
     draw = (F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("_u")
-    names = ["n_tokens", *[f"p_{d}" for d in DOMAINS]]
-    rows = scratch.save("rows", posteriors(body.select("doc_id", "text", draw), bias, table).select("doc_id", "_u", *names))
+    rows = scratch.save("rows", posteriors(body.select("doc_id", "text", F.xxhash64("text").alias("place"), draw), bias, words))
     rate, shares, _ = rates(rows, targets)
     met = sum(targets[d] for d in shares)
     residual = max((abs(x - (targets[d] / met if met else 1 / len(shares))) for d, x in shares.items()), default=0.0)
-    if keep:
-        # The posteriors of a row are made again rather than joined, so that no text is shuffled.
-        others = [c for c in keep if c not in ("doc_id", text)]
-        rows = posteriors(docs.select("doc_id", F.col(text).alias("text"), *others).select("doc_id", "text", *others, draw), bias, table).withColumnRenamed("text", text)
     out = rows.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + F.col("_u")).cast("int"))
-    return out.select(*dict.fromkeys([*keep, "doc_id", *names, "rate", "copies"]), F.lit(residual).alias("residual"))
+    return out.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies", F.lit(residual).alias("residual"), "place")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
