@@ -3,9 +3,10 @@
 A URL is expanded into the host suffixes and path prefixes that have the shape (labels of the host,
 length of the path) of some rule. The expressions meet the rules by the first four bytes of their
 digests; then the full digests, hosts and paths are compared, and the longest rule wins. While the
-rules are few enough to broadcast, they are one row, an array of small maps from short hash to rules,
-in which each page looks up its own expressions: no page is exploded, shuffled or grouped. Beyond
-that, the expressions of all distinct URLs are joined to the rules by short hash and salt.
+rules are few, they are one row, an array of small maps from short hash to rules, in which each page
+looks up its own expressions: no page is exploded, shuffled or grouped. Beyond that the row would
+be carried with every page, so the expressions of all distinct URLs are joined to the rules by short
+hash: by broadcast while these are few enough for it, else by shuffle with salted copies.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Rules up to this many are broadcast; more are joined by shuffle with salted copies.
-BROADCAST_RULES = 200_000
+#: Rules up to this many are carried with the pages, up to this many broadcast.
+CARRIED_RULES, BROADCAST_RULES = 64, 200_000
 SALTS = 16
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -59,7 +60,7 @@ def expressions(host, path, shapes):
     return F.transform(made, lambda e: F.struct(e["h"].alias("h"), e["p"].alias("p"), digest_of(e["h"], e["p"]).alias("digest")))
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", carried_rules: int = CARRIED_RULES, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """Adds host, path, rule and verdict to every row of `pages`; columns of these names are replaced, all others stay.
 
     rules: host, path, verdict; rows with a null are no rules, of rules for the same host and path
@@ -71,17 +72,17 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     rules = rules.groupBy("h", "p").agg(F.max("v").alias("v")).withColumn("digest", digest_of(F.col("h"), F.col("p")))  # block > allow
     shape = F.struct(F.size(F.split("h", r"\.")).alias("labels"), F.length("p").alias("chars"))
     shapes = rules.agg(F.collect_set(shape).alias("shapes"))  # one row
-    n = rules.limit(broadcast_rules + 1).count()
+    n = rules.limit(max(carried_rules, broadcast_rules) + 1).count()
     host, path = url_parts(F.col(url))
     own, best, table = fresh(pages, "_url", "_best", "_rules")
     out = pages.withColumns({"host": host, "path": path})
-    if n <= broadcast_rules:
+    if n <= carried_rules:
         size = max(16, n)
         maps = rules.groupBy(short_of(F.col("digest")).alias("short")).agg(F.collect_list(F.struct("h", "p", "v", "digest")).alias("of"))
         maps = maps.groupBy(F.pmod(F.xxhash64("short"), F.lit(size)).alias("k")).agg(F.collect_list(F.struct("short", "of")).alias("m"))
         every = pages.sparkSession.range(size).withColumnRenamed("id", "k").join(maps, "k", "left")
         one = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda x: F.map_from_entries(x["m"])).alias("maps")).crossJoin(shapes).select(F.struct("maps", "shapes").alias(table))
-        out = out.crossJoin(F.broadcast(one))  # one row of at most BROADCAST_RULES rules
+        out = out.crossJoin(F.broadcast(one))  # one row of at most CARRIED_RULES rules
 
         def rules_of(e):
             short = short_of(e["digest"])
@@ -96,9 +97,13 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         of_url = url_parts(F.col("url"))
         asked = urls.select("url", of_url[0].alias("host"), of_url[1].alias("path")).crossJoin(F.broadcast(shapes))
         asked = asked.select("url", F.explode(expressions(F.col("host"), F.col("path"), F.col("shapes"))).alias("e")).select("url", F.col("e.h").alias("eh"), F.col("e.p").alias("ep"), F.col("e.digest").alias("full"))
-        asked = asked.withColumns({"short": short_of(F.col("full")), "salt": F.pmod(F.xxhash64("url"), F.lit(SALTS))})
-        known = rules.withColumn("short", short_of(F.col("digest"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        hits = asked.join(known, ["short", "salt"]).where("full = digest AND eh = h AND ep = p")
+        asked, known = asked.withColumn("short", short_of(F.col("full"))), rules.withColumn("short", short_of(F.col("digest")))
+        if n <= broadcast_rules:
+            met = asked.join(F.broadcast(known), "short")
+        else:
+            known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+            met = asked.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS))).join(known, ["short", "salt"])
+        hits = met.where("full = digest AND eh = h AND ep = p")
         found = hits.groupBy("url").agg(F.max_by(F.struct("h", "p", "v"), rank_of(F.col("h"), F.col("p"))).alias(best)).withColumnRenamed("url", own)
         out = out.join(found, F.col(url) == F.col(own), "left").drop(own)
     out = out.withColumns({"rule": F.concat(F.col(f"{best}.h"), F.col(f"{best}.p")), "verdict": F.coalesce(F.col(f"{best}.v"), F.lit(default))})

@@ -204,8 +204,8 @@ def test_urls(spark):
     df = spark.createDataFrame([(k, u, "own", "x") for k, u in enumerate(pages)], "page_id long, url string, _url string, host string")
     more = [("h%d.example.com" % k, "/p%d/" % (k % 7), "block") for k in range(40)] + [("com", "/", "allow"), (None, "/", "block")]
     table = spark.createDataFrame(rules + more, "host string, path string, verdict string")
-    for few in (urls.BROADCAST_RULES, 3):
-        got = urls.judge(df, table, broadcast_rules=few)
+    for few in ((64, 200_000), (3, 200_000), (3, 3)):
+        got = urls.judge(df, table, "url", "allow", *few)
         assert set(got.columns) == {"page_id", "url", "_url", "host", "path", "rule", "verdict"}
         rows = got.collect()
         assert {r["page_id"]: r["rule"] for r in rows} == {k: judged(u) for k, u in enumerate(pages)} and all(r["_url"] == "own" for r in rows) and len(rows) == len(pages)
@@ -461,9 +461,8 @@ def test_rates_are_the_least_squares(spark):
 def test_mixing_of_repeated_ids_extra_columns_and_targets_out_of_reach(spark):
     docs = spark.createDataFrame([(None, None, "x"), (1, "", "y"), (1, "a b", "z"), (1, "a b", "z")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
-    got = mixing.mixed(docs, labels, keep=("doc_id", "text", "lang"))
-    rows = got.collect()
-    assert got.columns[:3] == ["doc_id", "text", "lang"] and sorted(repr(r[:3]) for r in rows) == sorted(repr(tuple(r)) for r in docs.collect())
+    rows = mixing.mixed(docs, labels).collect()
+    assert sorted(repr((r["doc_id"], r["n_tokens"])) for r in rows) == sorted(["(None, 0)", "(1, 0)", "(1, 2)", "(1, 2)"])
     assert all(abs(r["p_junk"] - 1 / 3) < 1e-12 and r["residual"] > 0.3 for r in rows)
 
 
@@ -514,7 +513,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     # Of 4, 5 and the copy (4, text of 5) the last is the first row of the group of 5.
     want = [w for w in want if w[0] != 5] + [(4, clean[5])]
     assert sorted((r["doc_id"], r["text"]) for r in alone.collect()) == sorted(want) and alone.columns == list(corpus_pipeline.COLUMNS)
-    copies = {(r["doc_id"], r["text"]): r["copies"] for r in mixing.mixed(alone, spark.read.parquet(f"{d}/labels.parquet"), keep=("doc_id", "text")).collect()}
+    places = {r["p"]: r["text"] for r in alone.select("text", F.xxhash64("text").alias("p")).collect()}
+    copies = {(r["doc_id"], places[r["place"]]): r["copies"] for r in mixing.mixed(alone, spark.read.parquet(f"{d}/labels.parquet")).collect()}
     mixed = corpus_pipeline.mixed_sources(spark, alone, d)
     assert sorted((r["doc_id"], r["text"]) for r in mixed.collect()) == sorted(w for w in want for _ in range(copies[w]))
     assert sum(copies[w] for w in want if w[0] >= 300) < 30 <= 80 <= sum(copies[w] for w in want if w[0] < 300)
