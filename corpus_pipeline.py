@@ -31,10 +31,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix asks for; rows with equal ids and texts are rated alike."""
-    out = mixing.mixed(docs, load(spark, sf_dir, "labels"), keep=COLUMNS)
-    # As in quality_rules: a filter on `copies`, or one that Spark infers from an inner explode, would be pushed below the posteriors and make them twice.
-    again = F.explode_outer(F.when(F.col("copies") > 0, F.sequence(F.lit(1), "copies"))).alias("_k")
-    return out.select(*COLUMNS, again).where("_k IS NOT NULL").select(*COLUMNS)
+    scratch = Scratch(spark, "mixed")
+    rated = mixing.mixed(docs, load(spark, sf_dir, "labels")).groupBy(F.col("doc_id").alias("_id"), F.col("place").alias("_place")).agg(F.max("copies").alias("_copies"))
+    rated = scratch.save("rated", rated.where("_copies > 0"))
+    out = docs.select(*COLUMNS, F.xxhash64("text").alias("_text")).join(rated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_place")))
+    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), "_copies"))).select(*COLUMNS)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
