@@ -35,8 +35,8 @@ WIDTH, PERCENT = 5, 75
 FRAGMENT_BYTES, GATHER, HEAVY = 24 << 20, 2_000_000, 256
 #: Document frequencies at which the global order is cut into the fragments that overlaps are counted in; rounds with pivots before the full comparison.
 PIVOTS, ROUNDS = (3, 6, 24), 2
-#: Texts hashed at once.
-SLICE = 512
+#: Texts hashed at once; linked classes up to which their places are broadcast.
+SLICE, BROADCAST_CLASSES = 512, 1_000_000
 _ODD = 0xC2B2AE3D27D4EB4F
 #: 128-bit digest of a set.
 CLASS = np.dtype([("a", "<i8"), ("b", "<i8")])
@@ -301,10 +301,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
-def confirmed(links: DataFrame, rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The links a, b (with what else they carry) whose texts are similar n-gram by n-gram; each class is read in one of its texts."""
+def confirmed(links: DataFrame, rows: DataFrame, docs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The links a, b (with what else they carry) whose texts are similar n-gram by n-gram; each class is read in one of its texts. Up to BROADCAST_CLASSES linked classes, only their texts are shuffled."""
     ends = links.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     first = rows.join(ends, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "place")).alias("at")).select("class", F.col("at.doc_id").alias("_id"), F.col("at.place").alias("_place"))
+    first = scratch.save(name, first)
+    if first.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
+        first = F.broadcast(first)
     found = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("place") == F.col("_place"))).groupBy("class").agg(F.first("text").alias("text"))
 
     names = links.columns
@@ -388,7 +391,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
             drawn = q.where((F.col("p.root") != F.col("q.root")) & may_link("p", "q", percent))
         lists = lists.select("token", "class", "n", "rest", "held")
         likely = scratch.save(f"likely-{k}", verified(pairs_of(drawn), sets, percent).select("a", "b", "ra", "rb"))
-        good = scratch.save(f"links-{k}", confirmed(likely, rows, texts, percent))
+        good = scratch.save(f"links-{k}", confirmed(likely, rows, texts, percent, scratch, f"read-{k}"))
         links = good if links is None else links.unionByName(good)
         if last:
             break
