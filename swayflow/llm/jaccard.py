@@ -416,9 +416,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
             of_class = now(of_class, "class", "root")
     # Of each component the smallest id, and the first row: by id (null last), then by place.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    of_class = of_class.join(real.groupBy("class").agg(F.min(order).alias("head")), "class")
+    of_class = scratch.save("rooted", of_class.join(real.groupBy("class").agg(F.min(order).alias("head")), "class"))
     of_root = of_class.groupBy("root").agg(F.min("low").alias("component_id"), F.min("head").alias("head"))
-    of_class = of_class.join(of_root.withColumnRenamed("head", "of_root"), "root").select("class", "component_id", F.col("of_root").alias("head"))
+    of_root = scratch.save("heads", of_root.withColumnRenamed("head", "of_root"))  # written, so that Spark splits the classes of a hot root in the join
+    of_class = of_class.join(of_root, "root").select("class", "component_id", F.col("of_root").alias("head"))
     of_class = scratch.save("components", of_class)  # written, so that Spark splits the rows of a hot class in the join
     out = real.join(of_class, "class").withColumn("first", F.equal_null(order, "head")).drop("head")
     out = out.unionByName(rows.where("n = 0").withColumns({"component_id": F.col("doc_id"), "first": F.lit(True)}))
