@@ -1,8 +1,10 @@
 """Soft-membership mixing: domain posteriors from labelled rows, document rates by projected gradients.
 
-DataFrame operations only. The classifier adds up, over the words, the log-odds of a domain
-against the others given that the text has the word or has it not. They count as far as the
-labelled rows bear them out: they are multiplied by 1 - EVIDENCE / G, G being the
+DataFrame operations only. The classifier holds every domain against the one with the most labelled
+rows. It adds up, over the words that speak for a domain, the log-odds of the domain against the
+others given that the text has the word or has it not; words that speak against a domain, such as
+those of another language, say nothing of it. The log-odds count as far as the labelled rows bear
+them out: they are multiplied by 1 - EVIDENCE / G, G being the
 log-likelihood ratio of the word's counts, and are 0 below it. All words of the labelled rows are
 looked at; those that say something meet the words of the texts by broadcast.
 
@@ -54,7 +56,7 @@ def classifier(sample: DataFrame, scratch: Scratch) -> tuple[dict[str, float], D
     used = [d for d in DOMAINS if n.get(d, 0) >= LEAST_LABELLED]
     if len(used) < 2:
         return {d: 0.0 if not used or d in used else -math.inf for d in DOMAINS}, None
-    rows = sum(n[d] for d in used)
+    rows, base = sum(n[d] for d in used), max(used, key=lambda d: n[d])
     counts = sample.where(F.col("domain").isin(used)).select("domain", F.explode("words").alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in used])
     total = sum(F.col(d) for d in used)
 
@@ -62,10 +64,10 @@ def classifier(sample: DataFrame, scratch: Scratch) -> tuple[dict[str, float], D
         cells = [(F.col(d), n[d], total), (n[d] - F.col(d), n[d], rows - total), (total - F.col(d), rows - n[d], total), (rows - n[d] - total + F.col(d), rows - n[d], rows - total)]
         ratio = 2 * sum((F.when(seen > 0, seen * F.log(seen * F.lit(float(rows)) / (F.lit(float(of)) * every))).otherwise(0.0) for seen, of, every in cells), F.lit(0.0))
         a, b, c, e = (seen + 0.5 for seen, _, _ in cells)
-        borne_out = F.when(ratio > EVIDENCE, 1 - EVIDENCE / ratio).otherwise(0.0)
+        borne_out = F.when((ratio > EVIDENCE) & (a * e > b * c), 1 - EVIDENCE / ratio).otherwise(0.0)
         return F.array(F.log(a * e / (b * c)) * borne_out, F.log(b * (c + e) / (e * (a + b))) * borne_out)
 
-    words = counts.select("word", *[(weight(d) if d in used else F.array(F.lit(0.0), F.lit(0.0))).alias(f"_{d}") for d in DOMAINS])
+    words = counts.select("word", *[(weight(d) if d in used and d != base else F.array(F.lit(0.0), F.lit(0.0))).alias(f"_{d}") for d in DOMAINS])
     words = words.select("word", *[F.array(*[F.get(f"_{d}", F.lit(k)) for d in DOMAINS]).alias(c) for k, c in enumerate(("w", "missing"))]).where(F.exists("w", lambda x: x != 0))
     words = scratch.save("weights", words)
     # What it says that a text has none of the words; a word that is there takes its part back.
