@@ -19,6 +19,11 @@ def finding(df: DataFrame, when: Column, check: str, severity: str | Column, mes
     return df.where(when).select(F.col("id").cast("string").alias("id"), F.lit(check).alias("check"), sev.alias("severity"), message.alias("message"))
 
 
+def three_places(x: Column) -> Column:
+    """As C's %.3f writes it, by the exact binary value; format_string rounds the shortest decimal half up, so 0.0625 would become 0.063."""
+    return F.call_function("format_number", x, F.lit("0.000"))
+
+
 def zero_triplets(df: DataFrame, max_fraction: float = 0.0) -> DataFrame:
     """Rows at exactly 0, 0, 0 are gaps in disguise."""
     zero = F.coalesce((F.col("x") == 0) & (F.col("y") == 0) & (F.col("z") == 0), F.lit(False))
@@ -30,7 +35,7 @@ def zero_triplets(df: DataFrame, max_fraction: float = 0.0) -> DataFrame:
 
 def finite_fraction(df: DataFrame, least: float = 0.8) -> DataFrame:
     m = df.groupBy("id").agg(F.avg(F.when(F.col("v").isNotNull(), 1.0).otherwise(0.0)).alias("f"))
-    return finding(m, F.col("f") < least, "finite_fraction", F.when(F.col("f") == 0, "error").otherwise("warning"), F.format_string("%.3f of the samples are there", "f"))
+    return finding(m, F.col("f") < least, "finite_fraction", F.when(F.col("f") == 0, "error").otherwise("warning"), F.format_string("%s of the samples are there", three_places(F.col("f"))))
 
 
 def findings(df: DataFrame, cases: list[tuple[Column, str, str | Column, Column]]) -> DataFrame:
@@ -52,7 +57,7 @@ def timestamps(df: DataFrame) -> DataFrame:
 
 def rate_agreement(df: DataFrame, documented_hz: float, tolerance: float = 0.02) -> DataFrame:
     m = df.groupBy("id").agg(ratio(F.count("*") - 1, F.max_by("t", "i") - F.min_by("t", "i")).alias("fs"))
-    return finding(m, F.abs(F.col("fs") - documented_hz) > tolerance * documented_hz, "rate_agreement", "error", F.format_string("measured %.3f Hz", "fs"))
+    return finding(m, F.abs(F.col("fs") - documented_hz) > tolerance * documented_hz, "rate_agreement", "error", F.format_string("measured %s Hz", three_places(F.col("fs"))))
 
 
 def held_runs(df: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def marker_average(df: DataFrame, max_gap: float = 0.5) -> DataFrame:
     """id, marker, v: markers without data bias an average; markers with many gaps are told."""
     m = df.groupBy("id", "marker").agg(F.count("v").alias("have"), F.count("*").alias("n"))
     dead = m.groupBy("id").agg(F.count_if(F.col("have") == 0).alias("dead"), F.count("*").alias("all"))
-    a = finding(dead, F.col("dead") > 0, "marker_average", "error", F.format_string("%d of %d markers are dead: an average is low by the factor %.3f", "dead", "all", (F.col("all") - F.col("dead")) / F.col("all")))
+    a = finding(dead, F.col("dead") > 0, "marker_average", "error", F.format_string("%d of %d markers are dead: an average is low by the factor %s", "dead", "all", three_places((F.col("all") - F.col("dead")) / F.col("all"))))
     b = finding(m, (F.col("have") > 0) & (F.col("n") - F.col("have") > max_gap * F.col("n")), "marker_average", "warning", F.format_string("marker %s is mostly gaps", "marker"))
     return a.unionByName(b)
 

@@ -179,6 +179,24 @@ def test_noisy_and_still_markers(spark):
     assert {r["id"] for r in checks.too_still(series(spark, {k: v for k, v in rows.items() if k != 3}), FS).collect()} == {"4"}
 
 
+def test_printed_fractions_round_by_their_binary_value(spark):
+    """Halves that binary holds exactly go to the even digit and others by what they hold, as C prints them."""
+    df = spark.range(1, 81).withColumnRenamed("id", "n").selectExpr("n", "explode(sequence(0, n)) AS k").selectExpr("n * 100 + k AS id", "explode(sequence(1, n)) AS i", "k").selectExpr("id", "CASE WHEN i <= k THEN 1.0D END AS v")
+    got = {int(r["id"]): r["message"].split()[0] for r in checks.finite_fraction(df, 2.0).collect()}
+    assert got == {n * 100 + k: f"{k / n:.3f}" for n in range(1, 81) for k in range(n + 1)} and got[1601] == "0.062"
+    rates = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 16.0)], "id string, i long, t double")
+    assert [r["message"] for r in checks.rate_agreement(rates, 1.0).collect()] == ["measured 0.062 Hz"]
+    dead = spark.range(16).selectExpr("1 AS id", "id AS marker", "CASE WHEN id < 1 THEN 1.0D END AS v")
+    assert [r["message"] for r in checks.marker_average(dead).collect()] == ["15 of 16 markers are dead: an average is low by the factor 0.062"]
+
+
+def test_finite_fraction_of_events_without_values(spark, tmp_path):
+    from swayflow.plans.check_queries import q_finite_fraction
+
+    spark.sql("SELECT id AS event_id, timestamp_seconds(id) AS ts, 3L AS user_id, CAST(NULL AS double) AS value FROM range(40)").write.parquet(f"{tmp_path}/events.parquet")
+    assert q_finite_fraction(spark, str(tmp_path)).count() == 0  # four of five are there, by its SQL
+
+
 def test_a_kernel_that_fails_gives_its_reason(spark):
     def kernel(x):
         if len(x) == 1:
