@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 
@@ -72,6 +73,15 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
 
 
+def spare_memory() -> None:
+    """Gives back what the allocators of this worker keep of freed memory: it stands beside the JVM's, and idle workers keep theirs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads them."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -80,7 +90,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Words whose hashes a worker remembers at most; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 _HASHES: dict[bytes, int] = {}
 
 

@@ -25,14 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, load, mixed, text_bytes, word_hashes, words_in
+from .common import Scratch, load, mixed, spare_memory, text_bytes, word_hashes, words_in
 
 WIDTH, PERCENT = 5, 75
-#: Text bytes per fragment of the hash space, n-grams gathered before they are sent, holders in one gathering from which an n-gram is heavy.
-FRAGMENT_BYTES, GATHER, HEAVY = 24 << 20, 2_000_000, 256
+#: Text bytes per fragment of the hash space, n-grams gathered before they are sent, holders in one gathering from which an n-gram is heavy, n-grams of a fragment that are sorted at once.
+FRAGMENT_BYTES, GATHER, HEAVY, SORTED = 24 << 20, 1_000_000, 128, 500_000
 #: Document frequencies at which the global order is cut into the fragments that overlaps are counted in; rounds with pivots before the full comparison.
 PIVOTS, ROUNDS = (3, 6, 24), 2
 #: Texts hashed at once.
@@ -177,37 +178,55 @@ def by_home(f: int, classes: np.ndarray, sizes: np.ndarray, who: np.ndarray, key
 
 
 def _counted(table: pa.Table, homes: int) -> pa.Table:
-    """One fragment: drops n-grams of one class, ranks the others by how many classes hold them."""
-    rows = table.to_pylist()
-    out = [tuple(r.values()) for r in rows if r["kind"] != "runs" and r["kind"] != "heavy"]
-    runs = [r for r in rows if r["kind"] == "runs"]
+    """One fragment: drops n-grams of one class, ranks the others by how many classes hold them.
+
+    The n-grams stay in the table's own buffers; a part of the hash space is copied and sorted at a time, and only what is kept of it stays.
+    """
+    spare_memory()
+    small = table.drop(["keys"]).to_pylist()
+    keys = [x.as_buffer() for x in table.column("keys")]
+    out = [(*r.values(),) for r in table.filter(pc.invert(pc.is_in(table.column("kind"), pa.array(["runs", "heavy"])))).to_pylist()]
+    runs = [k for k, r in enumerate(small) if r["kind"] == "runs"]
     if runs:
-        f = runs[0]["frag"]
-        classes, sizes, who = _numbered([(r["classes"], r["sizes"], r["counts"]) for r in runs])
-        key = np.frombuffer(b"".join(r["keys"] for r in runs), "<u8")
-        heavy = [np.frombuffer(r["keys"], "<u8") for r in rows if r["kind"] == "heavy"]
-        del rows, runs
-        order = np.lexsort((who, key))
-        key, who = key[order], who[order]
-        new_key = np.r_[True, key[1:] != key[:-1]]
-        one = new_key | np.r_[True, who[1:] != who[:-1]]  # copies sent by several tasks count once
-        key, who, new_key = key[one], who[one], new_key[one]
-        df = np.diff(np.r_[np.flatnonzero(new_key), len(key)])
-        df = np.repeat(df, df)
-        hot = np.isin(key, np.unique(np.concatenate(heavy))) if heavy else np.zeros(len(key), bool)
-        keep = (df >= 2) | hot
-        rank = np.where(hot, 255, np.minimum(df, 254)).astype(np.uint8)
-        if keep.any():
-            out += by_home(f, classes, sizes, who[keep], key[keep], rank[keep], homes, False)
+        f = small[runs[0]]["frag"]
+        classes, sizes, who = _numbered([(small[k]["classes"], small[k]["sizes"], small[k]["counts"]) for k in runs])
+        key = [np.frombuffer(keys[k], "<u8") for k in runs]
+        heavy = [np.frombuffer(keys[k], "<u8") for k, r in enumerate(small) if r["kind"] == "heavy"]
+        heavy = np.unique(np.concatenate(heavy)) if heavy else None
+        del small
+        who = np.split(who, np.cumsum([len(x) for x in key])[:-1])
+        parts = min(256, sum(map(len, key)) // SORTED + 1)
+        part = [((x >> np.uint64(40)) % np.uint64(parts)).astype(np.uint8) for x in key]
+        kept = [_ranked(*(np.concatenate([x[p == k] for x, p in zip(xs, part)]) for xs in (who, key)), heavy) for k in range(parts)]
+        del key, part, who
+        who, key, rank = (np.concatenate(x) for x in zip(*kept))
+        del kept
+        if len(key):
+            out += by_home(f, classes, sizes, who, key, rank, homes, False)
     return pa.Table.from_batches([_table(out, _RUNS)])
 
 
+def _ranked(who: np.ndarray, key: np.ndarray, heavy: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all holders of some n-grams: class number, n-gram and rank of those that are kept."""
+    order = np.lexsort((who, key))
+    key, who = key[order], who[order]
+    new_key = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    one = new_key | np.r_[True, who[1:] != who[:-1]][: len(key)]  # copies sent by several tasks count once
+    key, who, new_key = key[one], who[one], new_key[one]
+    df = np.diff(np.r_[np.flatnonzero(new_key), len(key)])
+    df = np.repeat(df, df)
+    hot = np.isin(key, heavy) if heavy is not None else np.zeros(len(key), bool)
+    keep = (df >= 2) | hot
+    return who[keep], key[keep], np.where(hot, 255, np.minimum(df, 254)).astype(np.uint8)[keep]
+
+
 SETS = "kind string, doc_id long, place long, class binary, n int, kept array<long>, cuts array<int>"
 _SETS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("place", pa.int64()), ("class", pa.binary()), ("n", pa.int32()), ("kept", pa.list_(pa.int64())), ("cuts", pa.list_(pa.int32()))])
 
 
 def _assembled(table: pa.Table, percent: int) -> pa.Table:
     """One home: the documents' rows, and the sets of which enough is held by others, in the global order, with the places where its fragments begin."""
+    spare_memory()
     out: list[pa.RecordBatch] = []
     parts, keys, ranks = [], [], []
     for r in table.to_pylist():
@@ -257,6 +276,7 @@ def sets_of(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
                     if g.total >= GATHER or len(g.docs) >= 100_000:
                         yield _table(g.sent(), _RUNS)
         yield _table(g.sent(), _RUNS)
+        spare_memory()
 
     sent = docs.mapInArrow(send, RUNS)
     counted = sent.groupBy("frag").applyInArrow(lambda t: _counted(t, homes), RUNS)

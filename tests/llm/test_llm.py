@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -94,6 +95,37 @@ def test_quality_counts(docs, none):
     assert quality.judged(none).count() == 0
 
 
+def test_jaccard_fragment_is_counted_in_parts():
+    """What is kept of a fragment, against a dictionary; beside the fragment itself only a part of it is worked on at a time."""
+    r = np.random.default_rng(3)
+    shared, rows, want = r.integers(0, 1 << 63, 3000).astype("<u8"), [], {}
+    for k in range(160):
+        classes = np.array([(8 * k + j, 5) for j in range(8)], jaccard.CLASS)
+        own = [np.unique(np.r_[r.choice(shared, 20), r.integers(0, 1 << 63, 1600).astype("<u8")]) for _ in classes]
+        for c, x in zip(classes["a"].tolist(), own):
+            for g in x.tolist():
+                want.setdefault(g, set()).add(c)
+        n = np.array([len(x) for x in own], "<i4").tobytes()
+        rows += [jaccard._row(4, 0, "runs", classes=classes.tobytes(), sizes=n, counts=n, keys=np.concatenate(own).tobytes())] * (1 + (k == 7))
+    hot = [next(g for g, c in want.items() if len(c) == 1), next(g for g, c in want.items() if len(c) > 1)]
+    rows.append(jaccard._row(4, 0, "heavy", keys=np.array(hot, "<u8").tobytes()))
+    passed = jaccard._row(-3, 2, "docs", docs=b"d" * 16, classes=b"c" * 16, sizes=b"s" * 4, ranks=b"\0")
+    table = pa.Table.from_batches([jaccard._table([passed, *rows], jaccard._RUNS)])
+    tracemalloc.start()
+    out = jaccard._counted(table, 7).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * table.nbytes
+    assert tuple(out[0].values()) == passed and all(x["frag"] == 4 for x in out[1:])
+    got = {}
+    for x in out[1:]:
+        n, keys, ranks = np.frombuffer(x["counts"], "<i4"), np.frombuffer(x["keys"], "<u8"), np.frombuffer(x["ranks"], np.uint8)
+        for c, g, rank in zip(np.repeat(np.frombuffer(x["classes"], jaccard.CLASS)["a"], n).tolist(), keys.tolist(), ranks.tolist()):
+            assert c % 7 == x["at"] and (g, c) not in got
+            got[g, c] = rank
+    assert got == {(g, c): 255 if g in hot else min(254, len(cs)) for g, cs in want.items() if len(cs) > 1 or g in hot for c in cs}
+
+
 def test_jaccard_join(docs, none):
     def grams(t):
         w = (t or "").split()
